@@ -8,7 +8,7 @@ from nearmiss.functions.numeric import clean_output
 from nearmiss.operators import indicators as ind
 from nearmiss.plans import fixture
 
-DIGITS = 4
+DIGITS = {"PSD": 9}
 
 CORNERS = """
 ci AS (
@@ -82,7 +82,7 @@ def _floor(x: str) -> str:
 
 
 def _final(name: str, expr: str, source: str) -> str:
-    return (f"SELECT event_id, target_id, k, {clean([name], DIGITS)} "
+    return (f"SELECT event_id, target_id, k, {clean([name], DIGITS.get(name, 4))} "
             f"FROM (SELECT event_id, target_id, k, {expr} AS {name} FROM {source})")
 
 
@@ -158,7 +158,7 @@ a0 AS (
          b.owner * ((vx_ego - vx_sur) * b.gx + (vy_ego - vy_sur) * b.gy) / nullif(sqrt(b.gx * b.gx + b.gy * b.gy), 0) AS c
   FROM best JOIN pairs USING (event_id, target_id, k)),
 a1 AS (SELECT *, d / ({_floor('c')}) AS r FROM a0)
-""" + _final("ACT", f"CASE WHEN r < 0 THEN {INF} ELSE r END", "a1"),
+""" + _final("ACT", f"CASE WHEN d < 1e-9 THEN NULL WHEN r < 0 THEN {INF} ELSE r END", "a1"),
     "EI": f"""{P},
 e0 AS (SELECT *, x_sur - x_ego AS dx, y_sur - y_ego AS dy, cos(psi_ego) AS ca, sin(psi_ego) AS sa,
               cos(psi_sur) AS cb, sin(psi_sur) AS sb FROM pairs),
@@ -199,7 +199,7 @@ COVERS = {"TTC": "G1 G5 G6 G8 G9", "DRAC": "G10", "MTTC": "G11", "PSD": "G12", "
 def _job(name):
     def run(spark, sf_dir):
         scored = ind.INDICATORS[name](fixture.pairs(spark, sf_dir, varied_dims=True))
-        return clean_output(scored.select("event_id", "target_id", "k", name), [name], DIGITS)
+        return clean_output(scored.select("event_id", "target_id", "k", name), [name], DIGITS.get(name, 4))
     return run
 
 

@@ -211,7 +211,8 @@ def act(pairs: DataFrame) -> DataFrame:
     df = with_exprs(df, {"_approach": f"CASE {choice} END"})
     df = with_exprs(df, {"_closing": snap("_approach")})
     score = f"_dist / ({floor_speed('_closing')})"
-    return _done(df, pairs, {"ACT": f"CASE WHEN {score} < 0D THEN {INF} ELSE {score} END"})
+    return _done(df, pairs, {
+        "ACT": f"CASE WHEN _dist < {NOISE}D THEN NULL WHEN {score} < 0D THEN {INF} ELSE {score} END"})
 
 
 def ei(pairs: DataFrame, safe_distance: float = 0.0) -> DataFrame:

@@ -24,7 +24,7 @@ def number_rows(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str | Column],
-    chunk: Column,
+    chunk: Column | Sequence[Column],
     idx: str = "idx",
     total: str | None = None,
     sums: dict[str, Column] | None = None,
@@ -32,21 +32,20 @@ def number_rows(
     """0-based position of each row within its key, in the given order, and running sums if asked.
 
     `chunk` must never decrease along the order; it sets the unit of parallel work. Counts and sums
-    per chunk are aggregated before the shuffle, and only those few rows are ordered per key.
+    per chunk are aggregated before the shuffle, and only those few rows are ordered per key. Give
+    several chunk columns, coarse first, where one key has too many chunks for a single task.
     """
     keys, sums = list(keys), sums or {}
-    base = df.withColumns({"_chunk": chunk} | {f"_v_{n}": c for n, c in sums.items()})
-    per_chunk = base.groupBy(*keys, "_chunk").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_chunk.select(
-        *keys,
-        "_chunk",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        *([F.sum("_n").over(whole).alias(total)] if total else []),
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0.0)).alias(f"_p_{n}") for n in sums],
-    )
+    levels = list(chunk) if isinstance(chunk, (list, tuple)) else [chunk]
+    level_names = [f"_level{i}" for i in range(len(levels) - 1)] + ["_chunk"]
+    base = df.withColumns(
+        dict(zip(level_names, levels)) | {f"_v_{n}": c for n, c in sums.items()})
+    per_chunk = base.groupBy(*keys, *level_names).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    offsets = _chunk_offsets(per_chunk, keys, level_names, list(sums))
+    if total:
+        offsets = offsets.withColumn(total, F.sum("_rows").over(_within(keys)))
+    offsets = offsets.drop("_rows", *level_names[:-1])
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     out = base.withColumns(
@@ -62,6 +61,36 @@ def number_rows(
     )
 
 
+def _within(keys: Sequence[str]):
+    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+
+
+def _chunk_offsets(per_chunk: DataFrame, keys: list[str], levels: list[str], sums: list[str]) -> DataFrame:
+    """Rows and sums before each chunk, summed level by level so no task orders all chunks at once."""
+    *coarse, last = levels
+    before = _within([*keys, *coarse]).orderBy(last).rowsBetween(Window.unboundedPreceding, -1)
+    out = per_chunk.select(
+        *keys, *levels, "_rows",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0.0)).alias(f"_p_{n}") for n in sums],
+    )
+    if not coarse:
+        return out
+    upper = per_chunk.groupBy(*keys, *coarse).agg(
+        F.sum("_rows").alias("_rows"), *[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in sums])
+    upper = _chunk_offsets(upper, keys, coarse, sums).drop("_rows")
+    added = ["_offset", *[f"_p_{n}" for n in sums]]
+    upper = upper.withColumnsRenamed({c: f"{c}_up" for c in added})
+    out = out.join(upper, [*keys, *coarse], "inner")
+    return out.withColumns({c: F.col(c) + F.col(f"{c}_up") for c in added}).drop(
+        *[f"{c}_up" for c in added])
+
+
+def id_levels(column: str) -> list[Column]:
+    """Coarse-to-fine chunks for numbering by an integer id."""
+    return [F.expr(f"shiftright({column}, 20)"), F.expr(f"shiftright({column}, 8)")]
+
+
 def spread_blocks(
     df: DataFrame, idx: str = "idx", before: int = 0, after: int = 0, block: int = BLOCK
 ) -> DataFrame:
@@ -114,7 +143,20 @@ def coarse_value(v: Column, per_octave: int = 1024) -> Column:
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key without bringing a key's values together.
+    """Linear-interpolated quantiles per key without bringing a key's values together."""
+    ranks, out = {}, []
+    for name, p in probs.items():
+        place = (F.col("n") - 1) * F.lit(p)
+        lo, hi = F.floor(place).cast("long"), F.ceil(place).cast("long")
+        ranks |= {f"_lo_{name}": lo, f"_hi_{name}": hi}
+        out.append((F.col(f"_lo_{name}") + (place - lo) * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name))
+    return order_statistics(df, keys, value, ranks).select(*keys, "n", *out)
+
+
+def order_statistics(
+    df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]
+) -> DataFrame:
+    """Values at the given 0-based ranks per key; a rank may depend on the group size n.
 
     Equal values are counted first, values are counted per log bucket, and only the buckets that
     hold a wanted rank are ordered. NULL and NaN values are ignored; values must be finite.
@@ -127,46 +169,25 @@ def exact_quantiles(
         .withColumn("_bucket", coarse_value(F.col("_v")))
     )
     buckets = values.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_bc"))
-    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = _within(keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumns({
         "_start": F.coalesce(F.sum("_bc").over(before), F.lit(0)),
-        "_n": F.sum("_bc").over(whole),
-    })
-
-    def low(p: float) -> Column:
-        return F.floor((F.col("_n") - 1) * F.lit(p)).cast("long")
-
-    def high(p: float) -> Column:
-        return F.ceil((F.col("_n") - 1) * F.lit(p)).cast("long")
-
-    def holds(rank: Column) -> Column:
-        return (rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_bc"))
-
-    wanted = None
-    for p in probs.values():
-        cond = holds(low(p)) | holds(high(p))
-        wanted = cond if wanted is None else wanted | cond
+        "n": F.sum("_bc").over(_within(keys)),
+    }).withColumns({f"_r_{name}": rank for name, rank in ranks.items()})
+    wanted = F.lit(False)
+    for name in ranks:
+        rank = F.col(f"_r_{name}")
+        wanted = wanted | ((rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_bc")))
     needed = buckets.where(wanted).drop("_bc")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         values.join(needed, [*keys, "_bucket"], "inner")
-        .withColumn("_end", F.col("_start")
-                    + F.sum("_c").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
         .withColumn("_begin", F.col("_end") - F.col("_c"))
     )
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_begin")) & (rank < F.col("_end")), F.col("_v")))
-
-    aggs = []
-    for name, p in probs.items():
-        aggs += [at(low(p)).alias(f"_lo_{name}"), at(high(p)).alias(f"_hi_{name}")]
-    found = placed.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs)
-    out = []
-    for name, p in probs.items():
-        frac = (F.col("_n") - 1) * F.lit(p) - low(p)
-        out.append(
-            (F.col(f"_lo_{name}") + frac * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name)
-        )
-    return found.select(*keys, *out)
+    found = [
+        F.max(F.when((F.col(f"_r_{name}") >= F.col("_begin")) & (F.col(f"_r_{name}") < F.col("_end")),
+                     F.col("_v"))).alias(name)
+        for name in ranks]
+    grouped = placed.groupBy(*keys) if keys else placed.groupBy()
+    return grouped.agg(F.max("n").alias("n"), *found)
