@@ -12,6 +12,7 @@ from nearmiss.operators import indicators as ind
 from nearmiss.operators import metrics as mt
 from nearmiss.operators import warnings as wn
 from nearmiss.plans import fixture, scored
+from nearmiss.session import cut_lineage
 
 SMALL_TH = wn.threshold_grid("TTC2D")
 LARGE_TH = wn.threshold_grid("GSSM")
@@ -36,12 +37,6 @@ def riskiest_job(spark, sf_dir):
     return rounded(wn.riskiest_target(scores, meta, small=True), ["mean_score"], 4)
 
 
-def _act_sql():
-    from nearmiss.catalog.q_indicators import CHECKS
-    text = CHECKS["ACT"]
-    return text[:text.rindex("SELECT event_id, target_id, k, CASE WHEN isfinite")]
-
-
 def _act_check():
     from nearmiss.catalog.q_indicators import CHECKS, P
     head = "WITH " + pairs_sql()
@@ -79,13 +74,13 @@ SELECT event_id, target_id, count(*) FILTER (dg) AS n_danger, count(*) FILTER (p
 for _kind, _small in (("small", True), ("large", False)):
     def _target_job(spark, sf_dir, kind=_kind, small=_small):
         scores = getattr(scored, f"{kind}_scores")(spark, sf_dir)
-        out = wn.determine_target(scores, wn.eligible(scored.annotated_meta(spark, sf_dir)), small)
+        out = wn.determine_target(cut_lineage(scores, "scores"), wn.eligible(scored.annotated_meta(spark, sf_dir)), small)
         return rounded(out, QUART)
     register(f"determine_target_{_kind}", "R3 A5 A6", _target_job, f"""{sql.base(_kind)}, {sql.targets(_small)}
 SELECT event_id, target_id, n_danger, {rsql(QUART)} FROM tg""")
 
     def _records_job(spark, sf_dir, kind=_kind, small=_small):
-        scores = getattr(scored, f"{kind}_scores")(spark, sf_dir)
+        scores = cut_lineage(getattr(scored, f"{kind}_scores")(spark, sf_dir), "scores")
         th = SMALL_TH if small else LARGE_TH
         out = wn.warning_records(scores, scored.annotated_meta(spark, sf_dir), th, small)
         return rounded(out, QUART)
@@ -132,7 +127,7 @@ SELECT 'm' || (target_id % 10) AS model, event_id, arg_min(CASE WHEN (k + event_
 def voted_records(spark, sf_dir, kind="large"):
     targets = wn.vote_target(scored.votes(spark, sf_dir), 16).where("target_id >= 0")
     # the given tracks end at the last event numbers, so a voted object may not exist
-    scores = getattr(scored, f"{kind}_scores")(spark, sf_dir)
+    scores = cut_lineage(getattr(scored, f"{kind}_scores")(spark, sf_dir), "scores")
     seen = scores.select("event_id", "target_id").distinct()
     targets = targets.join(seen, ["event_id", "target_id"], "left_semi")
     th = SMALL_TH if kind == "small" else LARGE_TH
@@ -157,16 +152,16 @@ for _kind in ("small", "large"):
 
 
 def issue_job(spark, sf_dir):
-    out = wn.issue_warning(scored.large_scores(spark, sf_dir), scored.annotated_meta(spark, sf_dir), 3.0, small=False)
-    return rounded(out, [*QUART, *TIMES], 4)
+    out = wn.issue_warning(cut_lineage(scored.large_scores(spark, sf_dir), "scores"), scored.annotated_meta(spark, sf_dir), 3.0, small=False)
+    return rounded(out, [*QUART, *TIMES])
 
 
 register("issue_warning", "R7 W10", issue_job, f"""{sql.base('large')}, {sql.targets(False)}, {sql.records(False, [3.0], onset=True)}
-SELECT event_id, threshold AS optimal_threshold, danger_start, danger_end, danger_recorded, target_id, {rsql([*QUART, *TIMES], 4)} FROM rec""")
+SELECT event_id, threshold AS optimal_threshold, danger_start, danger_end, danger_recorded, target_id, {rsql([*QUART, *TIMES])} FROM rec""")
 
 
 def safe_ids_job(spark, sf_dir):
-    scores, meta = scored.large_scores(spark, sf_dir), wn.eligible(scored.annotated_meta(spark, sf_dir))
+    scores, meta = cut_lineage(scored.large_scores(spark, sf_dir), "scores"), wn.eligible(scored.annotated_meta(spark, sf_dir))
     targets = wn.determine_target(scores, meta, False).where("n_danger >= 20")
     safe = wn.safe_targets(scores, meta, targets, LARGE_TH, False)
     return wn.attach_safe_ids(meta.select("event_id"), safe)
@@ -217,7 +212,8 @@ raw AS (
 
 
 def recs(spark, sf_dir):
-    return voted_records(spark, sf_dir).withColumn("model", F.lit("GSSM"))
+    """Records as a stored table: the metrics read them more than once."""
+    return cut_lineage(voted_records(spark, sf_dir).withColumn("model", F.lit("GSSM")), "records")
 
 
 register("confusion_by_threshold", "A7", lambda s, d: mt.confusion_by_threshold(recs(s, d)),
@@ -308,12 +304,11 @@ FROM sc WHERE score < 1e9 GROUP BY 1""")
 
 TTI = f"""
 tt AS (SELECT *, impact_time - warning_timestamp / 1000 AS tti FROM recs),
-fstar AS (SELECT model, arg_max(threshold, f1) AS threshold FROM (SELECT * FROM rated ORDER BY model, f1 DESC, threshold) GROUP BY 1),
 fbest AS (SELECT model, threshold FROM rated QUALIFY row_number() OVER (PARTITION BY model ORDER BY f1 DESC, threshold) = 1),
-at AS (SELECT tt.* FROM tt JOIN fbest USING (model, threshold) WHERE tti IS NOT NULL),
-stat AS (SELECT model, count(*) AS n, list_sort(list(tti)) AS vs, quantile_cont(tti, 0.5) AS m, quantile_cont(tti, 0.25) AS q1, quantile_cont(tti, 0.75) AS q3 FROM at WHERE tti < 10 GROUP BY 1),
+timed AS (SELECT tt.* FROM tt JOIN fbest USING (model, threshold) WHERE tti IS NOT NULL),
+stat AS (SELECT model, count(*) AS n, list_sort(list(tti)) AS vs, quantile_cont(tti, 0.5) AS m, quantile_cont(tti, 0.25) AS q1, quantile_cont(tti, 0.75) AS q3 FROM timed WHERE tti < 10 GROUP BY 1),
 {BINOM.format(src='stat')},
-share AS (SELECT model, count(*) FILTER (tti >= 1.5) / count(*) AS PTTI_star FROM at GROUP BY 1),
+share AS (SELECT model, count(*) FILTER (tti >= 1.5) / count(*) AS PTTI_star FROM timed GROUP BY 1),
 ttis AS (SELECT model, PTTI_star, m AS mTTI_star, q1 AS TTI_star_q25, q3 AS TTI_star_q75, vs[lo + 1] AS TTI_star_lowCI, vs[hi + 1] AS TTI_star_upCI
          FROM share LEFT JOIN stat USING (model) LEFT JOIN ci USING (n))"""
 TTI_COLS = ["PTTI_star", "mTTI_star", "TTI_star_q25", "TTI_star_q75", "TTI_star_lowCI", "TTI_star_upCI"]
@@ -369,7 +364,7 @@ SELECT subset, threshold, FP, TP + FP AS warnings, FN FROM opt""")
 
 
 def model_records_job(spark, sf_dir):
-    out = wn.warning_records(scored.model_scores(spark, sf_dir), scored.annotated_meta(spark, sf_dir), LARGE_TH, False,
+    out = wn.warning_records(cut_lineage(scored.model_scores(spark, sf_dir), "scores"), scored.annotated_meta(spark, sf_dir), LARGE_TH, False,
                              by=["model"], models=scored.MODELS_LARGE)
     return mt.confusion_by_threshold(out)
 

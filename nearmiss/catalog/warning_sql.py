@@ -43,8 +43,8 @@ ph AS (
   FROM {sc} s JOIN {meta} USING (event_id)),
 mean_by AS (SELECT event_id, target_id, avg(score) FILTER (dg) AS mean, count(*) FILTER (dg) AS n_danger, count(*) FILTER (pre) AS n_pre
             FROM ph GROUP BY ALL),
-some AS (SELECT event_id FROM ph GROUP BY 1 HAVING count(score) FILTER (dg) > 0 AND count(score) FILTER (pre) > 0),
-chosen AS (SELECT * FROM mean_by SEMI JOIN some USING (event_id) WHERE mean IS NOT NULL
+both_seen AS (SELECT event_id FROM ph GROUP BY 1 HAVING count(score) FILTER (dg) > 0 AND count(score) FILTER (pre) > 0),
+chosen AS (SELECT * FROM mean_by SEMI JOIN both_seen USING (event_id) WHERE mean IS NOT NULL
            QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY mean {order}, target_id) = 1),
 quart AS (
   SELECT event_id, target_id, n_danger, {', '.join(f"quantile_cont({rep}, {p}) FILTER ({f}) AS {n}_{t}"

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from nearmiss.functions.numeric import SMALL
 from nearmiss.operators.tracks import order_statistics
+from nearmiss.session import cut_lineage
 
 GRID = 1000          # points of the curves' common grid
 FLOORS = (0.80, 0.90)
@@ -76,7 +77,8 @@ def curve_points(points: DataFrame, x: str, y: str, by: Sequence[str], size: int
         "_x2": F.lead("_x").over(w), "_y2": F.lead("_first").over(w), "_lead_in": F.row_number().over(w) == 1})
     clip = lambda c: F.least(F.greatest(c, F.lit(0)), F.lit(size - 1)).cast("long")
     start = F.when(F.col("_lead_in"), F.lit(0).cast("long")).otherwise(clip(F.floor((F.col("_x") - lo) / step) - 1))
-    stop = F.coalesce(clip(F.ceil((F.col("_x2") - lo) / step) + 1), F.lit(size - 1).cast("long"))
+    stop = F.when(F.col("_x2").isNotNull(), clip(F.ceil((F.col("_x2") - lo) / step) + 1)).otherwise(
+        F.lit(size - 1).cast("long"))
     g = seg.withColumn("g", F.explode(F.sequence(start, stop))).withColumn("x", F.lit(lo) + F.col("g") * F.lit(step))
     mine = ((F.col("x") >= F.col("_x")) | F.col("_lead_in")) & (F.col("_x2").isNull() | (F.col("x") < F.col("_x2")))
     slope = (F.col("_y2") - F.col("_last")) / (F.col("_x2") - F.col("_x"))
@@ -115,8 +117,8 @@ def max_precision_at_recall(rated: DataFrame, by: Sequence[str] = ("model",), fl
 def half_binomial_quantile(n: str, p: float) -> str:
     """Smallest k whose binomial(n, 1/2) distribution function reaches p, as SQL text.
 
-    Starts at 0 for small n and five standard deviations times two below the mean for large n, with
-    the first probability from the Stirling series, and adds probabilities upward.
+    Adds probabilities upward, from 0 for small n and from ten standard deviations below the mean
+    for large n, where the first probability comes from the Stirling series.
     """
     def lgamma1(v: str) -> str:  # ln(v!)
         return (f"(({v} + 0.5D) * ln({v} + 0D) - {v} + 0.5D * ln(2D * pi()) + 1D / (12D * {v}) "
@@ -184,7 +186,8 @@ def eval_metrics(records: DataFrame, by: Sequence[str] = ("model",), with_time:
     """Area under the precision-recall curve, partial ROC areas and precision at the recall floors;
     with_time adds the time-to-impact summary."""
     by = list(by)
-    rated = rates(confusion_by_threshold(records, by))
+    # read once, then every metric starts from these few rows
+    rated = cut_lineage(rates(confusion_by_threshold(records, by)), "rates")
     out = auprc(rated, by)
     for floor in FLOORS:
         out = out.join(partial_auc(rated, by, floor), by, "left")

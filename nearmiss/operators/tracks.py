@@ -173,7 +173,13 @@ def order_statistics(
     buckets = buckets.withColumns({
         "_start": F.coalesce(F.sum("_bc").over(before), F.lit(0)),
         "n": F.sum("_bc").over(_within(keys)),
-    }).withColumns({f"_r_{name}": rank for name, rank in ranks.items()})
+    })
+    # ranks may be costly to work out: once per key, on its first bucket, then handed to the others
+    buckets = buckets.withColumns(
+        {f"_f_{name}": F.when(F.col("_start") == 0, rank) for name, rank in ranks.items()})
+    buckets = buckets.withColumns(
+        {f"_r_{name}": F.max(f"_f_{name}").over(_within(keys)) for name in ranks}
+    ).drop(*[f"_f_{name}" for name in ranks])
     wanted = F.lit(False)
     for name in ranks:
         rank = F.col(f"_r_{name}")
