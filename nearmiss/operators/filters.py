@@ -204,6 +204,7 @@ def choose_direction(frames: DataFrame, params: Mapping[str, float] | None = Non
     """Filters each event forward and backward and keeps the forward result unless the backward one
     fits better by 0.02 per row. With invalid speeds at one end only the other direction counts; with
     both ends invalid the event is dropped."""
+    frames = cut_lineage(frames, "ego-frames")  # read by both runs and the check of the ends
     ends = edge_speed_valid(frames)
     runs = {rev: filter_ego_tracks(frames, params, rev).withColumn("reverse", F.lit(rev)) for rev in (False, True)}
     both = cut_lineage(runs[False].unionByName(runs[True]), "ego-runs")
@@ -302,70 +303,70 @@ def reconnect_tracks(radar: DataFrame) -> DataFrame:
 
 # --- parameter search ----------------------------------------------------------------------------
 
-def parameter_grid(spark: SparkSession, space: Mapping[str, Sequence[float]], per_set: int = 256) -> DataFrame:
-    """All combinations of the listed values, numbered, in sets that are tried together. Names ending
-    in _pi hold multiples of pi."""
-    total = int(np.prod([len(v) for v in space.values()]))
-    df = spark.range(total).withColumnRenamed("id", "combo")
+PER_SET = 256   # combinations tried together by one pass over a track
+
+
+def _size(space: Mapping[str, Sequence[float]]) -> int:
+    return int(np.prod([len(v) for v in space.values()]))
+
+
+def _values(name: str, values: Sequence[float]) -> np.ndarray:
+    return np.asarray(values, dtype=float) * (np.pi if name.endswith("_pi") else 1.0)
+
+
+def parameters_of(space: Mapping[str, Sequence[float]], combos: np.ndarray) -> dict[str, np.ndarray]:
+    """Parameter values of numbered combinations: the number written in mixed radix, last name fastest."""
+    out, rest = {}, combos
+    for name, values in reversed(space.items()):
+        out[name.removesuffix("_pi")] = _values(name, values)[rest % len(values)]
+        rest = rest // len(values)
+    return out
+
+
+def parameter_grid(spark: SparkSession, space: Mapping[str, Sequence[float]]) -> DataFrame:
+    """All combinations of the listed values, numbered. Names ending in _pi hold multiples of pi."""
     exprs, rest = {}, "combo"
     for name, values in reversed(space.items()):
-        scale = np.pi if name.endswith("_pi") else 1.0
-        listed = ", ".join(f"{float(v) * scale!r}D" for v in values)
+        listed = ", ".join(f"{float(v)!r}D" for v in _values(name, values))
         exprs[name.removesuffix("_pi")] = f"array({listed})[CAST({rest} % {len(values)} AS INT)]"
         rest = f"({rest} div {len(values)})"
-    return with_exprs(df, exprs).withColumn("set_id", F.expr(f"combo div {per_set}"))
+    return with_exprs(spark.range(_size(space)).withColumnRenamed("id", "combo"), exprs)
 
 
-def _search_rows(rows: DataFrame, grid: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Each row once per parameter set, with the set's parameter arrays."""
-    sets = grid.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("combo", *names))).alias("sets"))
-    # a set holds a fixed number of combinations; the list of sets is a small constant table
-    every = sets.agg(F.collect_list(F.struct("set_id", "sets")).alias("all")).scalar()
-    return rows.withColumn("_s", F.explode(every)).select(
-        *rows.columns, "_s.set_id", *[F.col(f"_s.sets.{n}").alias(f"p_{n}") for n in ("combo", *names)])
-
-
-def _search(rows: DataFrame, keys: Sequence[str], names: Sequence[str], make, errors, outputs: Sequence[str]) -> DataFrame:
-    """Error sums per parameter combination and track."""
-    keys = list(keys)
-    group = [*keys, "set_id"]
-    key_types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"{k} {key_types[k]}" for k in keys) + ", combo long" + "".join(f", {o} double" for o in outputs)
+def _search(rows: DataFrame, keys: Sequence[str], space: Mapping[str, Sequence[float]], make, errors,
+            outputs: Sequence[str]) -> DataFrame:
+    """Error sums per parameter combination and track. A row goes once to every set of combinations;
+    the parameters themselves follow from the set's number."""
+    keys, total = list(keys), _size(space)
+    sets = -(-total // PER_SET)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", combo long" + "".join(f", {o} double" for o in outputs)
 
     def task(batches):
-        # the rows of a task are sorted by set, so one set's filter is active at a time
-        def of_one_set():
-            for pdf in batches:
-                for set_id, part in pdf.groupby("set_id", sort=False):
-                    yield set_id, part
-        active, model, width, slots, sums, combos = None, None, 0, {}, None, None
-
-        def flush():
-            if sums is not None:
-                for i, key in enumerate(slots):
-                    yield pd.DataFrame({
-                        **{k: key[j] for j, k in enumerate(keys)}, "combo": combos,
-                        **{o: sums[i, :, c] for c, o in enumerate(outputs)}})
-
-        state = None
-        for set_id, part in of_one_set():
-            if set_id != active:
-                yield from flush()
-                head = part.iloc[0]
-                combos = np.asarray(head["p_combo"], dtype=np.int64)
-                model = make({n: np.asarray(head[f"p_{n}"], dtype=float) for n in names})
-                active, width, slots, sums = set_id, len(combos), {}, np.zeros((0, len(combos), len(outputs)))
-                state = _Resumable(keys, model, width)
-            est = state.feed(part)
-            values = errors(part, est)
-            ids = list(zip(*[part[k].to_numpy() for k in keys]))
-            at = np.array([slots.setdefault(i, len(slots)) for i in ids], dtype=int)
-            if len(slots) > len(sums):
-                sums = np.concatenate([sums, np.zeros((len(slots) - len(sums), width, len(outputs)))])
-            np.add.at(sums, at, values)
-        yield from flush()
-
-    placed = rows.repartition(*[F.col(k) for k in group]).sortWithinPartitions("set_id", "idx", *keys)
+        active, combos, slots, sums, state = None, None, {}, None, None
+
+        def results():
+            for key, i in slots.items():
+                yield pd.DataFrame({**{k: key[j] for j, k in enumerate(keys)}, "combo": combos,
+                                    **{o: sums[i, :, c] for c, o in enumerate(outputs)}})
+
+        for pdf in batches:
+            # rows are sorted by set, so one set is active at a time
+            for set_id, part in pdf.groupby("set_id", sort=False):
+                if set_id != active:
+                    yield from results()
+                    combos = np.arange(set_id * PER_SET, min((set_id + 1) * PER_SET, total), dtype=np.int64)
+                    active, slots, sums = set_id, {}, np.zeros((0, len(combos), len(outputs)))
+                    state = _Resumable(keys, make(parameters_of(space, combos)), len(combos))
+                values = errors(part, state.feed(part))
+                at = np.array([slots.setdefault(i, len(slots)) for i in zip(*[part[k].to_numpy() for k in keys])], dtype=int)
+                if len(slots) > len(sums):
+                    sums = np.concatenate([sums, np.zeros((len(slots) - len(sums), *sums.shape[1:]))])
+                np.add.at(sums, at, values)
+        yield from results()
+
+    spread = rows.withColumn("set_id", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    placed = spread.repartition(*[F.col(k) for k in keys], F.col("set_id")).sortWithinPartitions("set_id", "idx", *keys)
     return placed.mapInPandas(task, schema)
 
 
@@ -374,10 +375,11 @@ class _Resumable:
 
     def __init__(self, keys, model, width):
         self.queue: list[pd.DataFrame] = []
-        self.run = _steps(iter(self._next, None), keys, model, width)
+        self.run = _steps(self._waiting(), keys, model, width)
 
-    def _next(self):
-        return self.queue.pop(0) if self.queue else None
+    def _waiting(self):
+        while self.queue:
+            yield self.queue.pop(0)
 
     def feed(self, pdf):
         self.queue.append(pdf)
@@ -387,8 +389,6 @@ class _Resumable:
 def search_ego_params(frames: DataFrame, space: Mapping[str, Sequence[float]] = fv.EGO_SEARCH) -> DataFrame:
     """Score of every parameter combination on the sample frames: the scaled root mean square errors
     of speed, turn rate and acceleration, each track in its better direction."""
-    names = [n.removesuffix("_pi") for n in space]
-    grid = parameter_grid(frames.sparkSession, space)
     outputs = ("fit", "n", "speed", "yaw_rate", "acc")
 
     def errors(pdf, est):
@@ -401,20 +401,18 @@ def search_ego_params(frames: DataFrame, space: Mapping[str, Sequence[float]] =
 
     runs = None
     for rev in (False, True):
-        rows = _search_rows(_ego_measurements(frames.select("event_id", "k", "speed_comp", "yaw_rate", "acc_lon"), rev), grid, names)
-        out = _search(rows, ["event_id"], names, EgoFilter, errors, outputs).withColumn("reverse", F.lit(rev))
+        rows = _ego_measurements(frames.select("event_id", "k", "speed_comp", "yaw_rate", "acc_lon"), rev)
+        out = _search(rows, ["event_id"], space, EgoFilter, errors, outputs).withColumn("reverse", F.lit(rev))
         runs = out if runs is None else runs.unionByName(out)
     order = F.col("fit") - F.when(~F.col("reverse"), F.col("n") * FORWARD_BONUS).otherwise(0.0)
     best = runs.groupBy("event_id", "combo").agg(F.min_by(F.struct("n", "speed", "yaw_rate", "acc"), F.struct(order, "reverse")).alias("b"))
     rmse = {c: F.sqrt(F.sum(f"b.{c}") / F.sum("b.n")) / fv.ERROR_SCALES[c] for c in ("speed", "yaw_rate", "acc")}
     scores = best.groupBy("combo").agg((rmse["speed"] + rmse["yaw_rate"] + rmse["acc"]).alias("score"))
-    return grid.drop("set_id").join(scores, "combo", "inner")
+    return parameter_grid(frames.sparkSession, space).join(scores, "combo", "inner")
 
 
 def search_sur_params(frames: DataFrame, space: Mapping[str, Sequence[float]] = fv.SUR_SEARCH) -> DataFrame:
     """Score of every combination on object frames: scaled mean displacement plus scaled speed error."""
-    names = [n.removesuffix("_pi") for n in space]
-    grid = parameter_grid(frames.sparkSession, space)
     keys = ["event_id", "target_id"]
     outputs = ("n", "displacement", "speed")
 
@@ -425,12 +423,12 @@ def search_sur_params(frames: DataFrame, space: Mapping[str, Sequence[float]] =
         return np.stack([np.ones_like(dv), np.sqrt(dx ** 2 + dy ** 2), dv ** 2], axis=-1)
 
     rows = number_rows(frames.select(*keys, "k", "x", "y", "speed_comp"), keys, ["k"], time_chunk())
-    rows = _search_rows(with_exprs(rows, {"dt": "0.1D", "psi0": "0D", "update": "1D"}), grid, names)
-    runs = _search(rows, keys, names, ObjectFilter, errors, outputs)
+    rows = with_exprs(rows, {"dt": "0.1D", "psi0": "0D", "update": "1D"})
+    runs = _search(rows, keys, space, ObjectFilter, errors, outputs)
     scores = runs.groupBy("combo").agg(
         (F.sum("displacement") / F.sum("n") / fv.ERROR_SCALES["displacement"]
          + F.sqrt(F.sum("speed") / F.sum("n")) / fv.ERROR_SCALES["speed"]).alias("score"))
-    return grid.drop("set_id").join(scores, "combo", "inner")
+    return parameter_grid(frames.sparkSession, space).join(scores, "combo", "inner")
 
 
 def best_params(scores: DataFrame) -> DataFrame:
