@@ -35,7 +35,7 @@ ego AS (SELECT event_id, k, timestamp, round(timestamp / 1000, 1) AS time, speed
 radar AS (
   SELECT event_id, CAST(i + 8 * (k // 60) AS BIGINT) AS raw_id, timestamp, -(i - 2 + CAST(0.005 AS DOUBLE) * (k % 60)) AS local_dx,
          10 * i + CAST(0.02 AS DOUBLE) * k + CASE WHEN i = 3 THEN 5 * (k // 60) ELSE 0 END AS local_dy,
-         -round(psi / 4, 4) AS delta_vx, round(acc / 2, 4) AS delta_vy, round(timestamp / 1000, 1) AS time, k
+         -round(psi / 4, 6) AS delta_vx, round(acc / 2, 6) AS delta_vy, round(timestamp / 1000, 1) AS time, k
   FROM tel, (VALUES (1), (2), (3)) t(i) WHERE event_id % 13 <> 10 AND (kk + i) % 5 > 0)"""
 EGO_NUM = ["speed_comp", "yaw_rate", "acc_lat", "acc_lon", "wheel_steering"]
 
@@ -409,9 +409,11 @@ def telemetry_job(spark, sf_dir):
         F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in tel.columns[1:]]),
         F.when(F.col("timestamp") % 4700 == 0, ",1,2,3").otherwise("")).alias("value"))
     lines.write.partitionBy("file").text(path)
-    good, bad = tl.read_telemetry(spark, path, "timestamp LONG, speed_network DOUBLE, gyro_z DOUBLE, accel_x DOUBLE, accel_y DOUBLE")
-    return good.groupBy("event_id").agg(F.count(F.lit(1)).alias("rows"))
+    good, bad = tl.read_telemetry(spark, path, "timestamp LONG, speed_network DOUBLE, gyro_z DOUBLE, accel_x DOUBLE, accel_y DOUBLE",
+                                  id_pattern=r"file=event_(\d+)/", header=False)
+    part = lambda df, name: df.groupBy("event_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("part", F.lit(name))
+    return part(good, "good").unionByName(part(bad, "malformed"))
 
 
-register("track_rows_per_event", "A23", lambda s, d: fixture.frames(s, d).groupBy("track_id").agg(F.min("k").alias("first_k"), F.count(F.lit(1)).alias("n")),
-         f"WITH {FRAMES} SELECT track_id, min(k) AS first_k, count(*) AS n FROM fr GROUP BY 1")
+register("read_telemetry", "S2", telemetry_job, f"""WITH {TEL}
+SELECT event_id, count(*) AS rows, CASE WHEN timestamp % 4700 = 0 THEN 'malformed' ELSE 'good' END AS part FROM tel GROUP BY 1, 3""")

@@ -39,8 +39,8 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
         out[f"TRACK{i}_TARGET_ID"] = f"CASE WHEN {used} AND {hole} THEN CAST({i} + 8 * (k div 60) AS INT) ELSE 0 END" if used else "0"
         out[f"TRACK{i}_X_POS_PROCESSED"] = f"{10 * i}D + 0.02D * k + {jump}" if used else "CAST(NULL AS DOUBLE)"
         out[f"TRACK{i}_Y_POS_PROCESSED"] = f"{i - 2}D + 0.005D * (k % 60)" if used else "CAST(NULL AS DOUBLE)"
-        out[f"TRACK{i}_X_VEL_PROCESSED"] = "round(acc / 2D, 4)" if used else "CAST(NULL AS DOUBLE)"
-        out[f"TRACK{i}_Y_VEL_PROCESSED"] = "round(psi / 4D, 4)" if used else "CAST(NULL AS DOUBLE)"
+        out[f"TRACK{i}_X_VEL_PROCESSED"] = "round(acc / 2D, 6)" if used else "CAST(NULL AS DOUBLE)"
+        out[f"TRACK{i}_Y_VEL_PROCESSED"] = "round(psi / 4D, 6)" if used else "CAST(NULL AS DOUBLE)"
     return with_exprs(fr, out).drop("k", "kk", "v", "psi", "acc")
 
 

@@ -16,14 +16,16 @@ BAD = "_malformed"
 ROWS_PER_FILE = 2_000_000
 
 
-def read_telemetry(spark: SparkSession, path: str, schema: str = TELEMETRY_SCHEMA) -> tuple[DataFrame, DataFrame]:
-    """Rows of all event files with the event id taken from the file name, and the malformed lines
+def read_telemetry(
+    spark: SparkSession, path: str, schema: str = TELEMETRY_SCHEMA, id_pattern: str = r"(\d+)\.csv$", header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of all event files with the event id taken from the file path, and the malformed lines
     (wrong number or type of fields), which are set aside instead of stopping the job."""
     raw = (
-        spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True)
+        spark.read.option("header", header).option("mode", "PERMISSIVE").option("enforceSchema", True)
         .option("columnNameOfCorruptRecord", BAD).option("ignoreCorruptFiles", True)
         .schema(f"{schema}, {BAD} STRING").csv(path)
-        .withColumn("event_id", F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)\.csv", 1).cast("long"))
+        .withColumn("event_id", F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).cast("long"))
     )
     return raw.where(f"{BAD} IS NULL").drop(BAD), raw.where(f"{BAD} IS NOT NULL").select("event_id", BAD)
 
