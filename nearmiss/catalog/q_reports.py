@@ -152,11 +152,11 @@ register("describe", "A17", lambda s, d: rounded(rp.describe(fixture.frames(s, d
 
 
 def hist_job(spark, sf_dir):
-    return rounded(rp.histogram_density(fixture.frames(spark, sf_dir), "v", 0.0, 40.0, 29), ["density"])
+    return rounded(rp.histogram_density(fixture.frames(spark, sf_dir), "v", 0.0, 40.0, 29), ["density"], 9)
 
 
 register("histogram_density", "A24", hist_job, f"""WITH {FRAMES}, b AS (SELECT least(CASE WHEN v = 40 THEN 28 ELSE CAST(floor(v / (40.0::DOUBLE / 29)) AS INT) END, 28) AS bin FROM fr WHERE v BETWEEN 0 AND 40)
-SELECT bin, count(*) AS n, round(count(*) / (sum(count(*)) OVER () * (40.0::DOUBLE / 29)), 6) AS density FROM b GROUP BY 1""")
+SELECT bin, count(*) AS n, round(count(*) / (sum(count(*)) OVER () * (40.0::DOUBLE / 29)), 9) AS density FROM b GROUP BY 1""")
 
 
 def loss_log(spark, sf_dir):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearmiss.functions.numeric import SMALL, angle, rotate, with_exprs, wrap
+from nearmiss.session import cut_lineage
 from nearmiss.operators.tracks import (
     block_window, id_levels, number_rows, own_rows, spread_blocks, time_chunk,
 )
@@ -261,7 +262,8 @@ def sample_scenes(pairs: DataFrame, stride: int, seed: int = SEED, min_rows: int
     scenes = current_features(scenes)
     bad_history = F.exists("profiles", lambda p: p["yaw_ego"].isNull() | p["v_ego"].isNull()
                            | p["vx_sur"].isNull() | p["vy_sur"].isNull())
-    scenes = scenes.where(~_has_gap([*CURRENT, "s"]) & ~bad_history)
+    # the numbering counts the scenes first, so they are worked out once and stored
+    scenes = cut_lineage(scenes.where(~_has_gap([*CURRENT, "s"]) & ~bad_history), "scenes")
     return number_rows(
         scenes, [], ["event_id", "target_id", F.desc("idx")], id_levels("event_id"), idx="scene_id"
     ).drop("_end")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from nearmiss.functions.numeric import INF, NEG_INF, null_nan, slot_of
 from nearmiss.operators.frames import settle_slice
+from nearmiss.session import cut_lineage
 from nearmiss.operators.tracks import block_window, exact_quantiles, number_rows, own_rows, spread_blocks, time_chunk
 
 MIN_DANGER_ROWS = 20     # 2 s of danger before a target counts as recorded
@@ -196,10 +197,13 @@ def warning_records(
     else:
         meta = eligible(meta)
         targets = determine_target(scores, meta, small, by).where(F.col("n_danger") >= MIN_DANGER_ROWS)
+    targets = cut_lineage(targets, "targets")  # one row per event, needed by every part below
     frames = _phases(scores, meta)
     own = frames.join(targets.select(*ev, "target_id"), [*ev, "target_id"], "left_semi").select(
         *ev, "target_id", "k", "time", "_danger", (F.col("time") <= F.col("_impact")).alias("_upto"),
         _slots("score", thresholds, small).alias("_slot"))
+    if with_onset:
+        own = cut_lineage(own, "target-frames")  # numbering reads the frames more than once
     hits = own.where("_danger").groupBy(*ev, F.col("_slot").alias("i")).agg(F.count(F.lit(1)).alias("_hits"))
     safe = safe_targets(scores, meta, targets, thresholds, small, by)
     alarms = safe.groupBy(*ev, F.col("slot").alias("i")).agg(F.count(F.lit(1)).alias("_alarms"))

@@ -20,14 +20,17 @@ def read_telemetry(
     spark: SparkSession, path: str, schema: str = TELEMETRY_SCHEMA, id_pattern: str = r"(\d+)\.csv$", header: bool = True
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of all event files with the event id taken from the file path, and the malformed lines
-    (wrong number or type of fields), which are set aside instead of stopping the job."""
-    raw = (
-        spark.read.option("header", header).option("mode", "PERMISSIVE").option("enforceSchema", True)
-        .option("columnNameOfCorruptRecord", BAD).option("ignoreCorruptFiles", True)
-        .schema(f"{schema}, {BAD} STRING").csv(path)
-        .withColumn("event_id", F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).cast("long"))
-    )
-    return raw.where(f"{BAD} IS NULL").drop(BAD), raw.where(f"{BAD} IS NOT NULL").select("event_id", BAD)
+    (wrong number or type of fields), which are set aside instead of stopping the job. Files that
+    cannot be read at all are passed over, so their events simply have no rows."""
+    lines = spark.read.option("ignoreCorruptFiles", True).text(path).select(
+        F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).cast("long").alias("event_id"), "value")
+    if header:
+        lines = lines.where(~F.col("value").rlike(r'^\W*[A-Za-z_]'))
+    parsed = lines.withColumn("_r", F.from_csv(
+        "value", f"{schema}, {BAD} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
+    broken = F.col(f"_r.{BAD}").isNotNull()
+    good = parsed.where(~broken).select("event_id", "_r.*").drop(BAD)
+    return good, parsed.where(broken).select("event_id", F.col("value").alias(BAD))
 
 
 def write_partitioned(df: DataFrame, path: str, column: str = "event_category", mode: str = "overwrite") -> None:
