@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot event in a join even where a later step then has to shuffle again
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # methods above 8,000 bytes are not compiled by the JVM; let Spark split them instead
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -30,6 +32,14 @@ def build_session(app: str = "nearmiss", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """The same settings on a session someone else built, wherever it leaves them open."""
+    for key, value in DEFAULTS.items():
+        if spark.conf.get(key, None) is None and spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach. A cluster names it in spark.checkpoint.dir; only a
     session that runs inside this one process may fall back to a local folder."""

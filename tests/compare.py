@@ -49,6 +49,10 @@ def kind(name: str) -> str:
 def compare(spark, con, sf_dir, job, sql):
     df = job(spark, sf_dir)
     cols = sorted(df.columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        if node in plan:
+            return 0, f"plan holds {node}"
     got = sorted(tuple(norm(r[c]) for c in cols) for r in df.collect())
     if sql is None:
         return len(got), None
