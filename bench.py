@@ -17,7 +17,7 @@ HEADLINE = (
     "riskiest_target", "indicator_ttc", "indicator_tadv", "indicator_ttc2d", "indicator_act", "indicator_ei",
     "current_features", "every_frame_scenes", "sample_scenes", "interaction_pairs", "regrid_interpolate",
     "reconnect_tracks", "determine_target_large", "warning_records_large", "warning_records_voted_large",
-    "threshold_sweep_gssm", "eval_metrics", "score_intensity", "exact_quartiles", "vehicle_dims", "unnest_ragged",
+    "threshold_sweep_intensity", "eval_metrics", "score_intensity", "exact_quartiles", "vehicle_dims", "unnest_ragged",
     "attribution_by_condition", "filter_ego_tracks", "attribute_intensity",
 )
 

@@ -398,7 +398,7 @@ def bundle_job(spark, sf_dir):
 
 
 register("feature_bundle", "S5", bundle_job, f"""WITH {pairs_sql()}, n AS (SELECT *, row_number() OVER (PARTITION BY event_id, target_id ORDER BY k) - 1 AS idx FROM pairs)
-SELECT event_id, target_id, k, 25 AS history, 13 AS width, round(sqrt(power(x_sur - x_ego, 2) + power(y_sur - y_ego, 2)), 6) AS spacing, round(v_ego * v_ego, 5) AS v_ego2 FROM n WHERE idx >= 26""")
+SELECT event_id, target_id, k, 25::BIGINT AS history, 13::BIGINT AS width, round(sqrt(power(x_sur - x_ego, 2) + power(y_sur - y_ego, 2)), 6) AS spacing, round(v_ego * v_ego, 5) AS v_ego2 FROM n WHERE idx >= 26""")
 
 
 def telemetry_job(spark, sf_dir):

@@ -15,7 +15,7 @@ from nearmiss.plans import fixture, scored
 from nearmiss.session import cut_lineage
 
 SMALL_TH = wn.threshold_grid("TTC2D")
-LARGE_TH = wn.threshold_grid("GSSM")
+LARGE_TH = wn.threshold_grid("intensity")
 QUART = [f"{n}_{t}" for t in ("pre_danger", "danger") for n in ("q25", "q50", "q75")]
 TIMES = ["impact_time", "reaction_time", "warning_timestamp", "true_warning_period"]
 
@@ -178,7 +178,7 @@ GRIDS = {  # start, stop and step of each sweep, as the check computes them
     "TTC2D": "SELECT round(power(i * 0.0135::DOUBLE, 7), 2) AS t FROM range(144) r(i)",
     "EI": """SELECT round((power(8, i * 0.0265::DOUBLE) - 1) / 50, 2) * f AS t FROM range(88) r(i), (VALUES (1), (-3)) v(f) WHERE f = 1 OR i % 2 = 0""",
     "UCD": "SELECT round(power(10, i * 0.055::DOUBLE)) - 2 AS t FROM range(109) r(i)",
-    "GSSM": "SELECT round(i * 0.06::DOUBLE - 0.06, 2) AS t FROM range(100) r(i)",
+    "intensity": "SELECT round(i * 0.06::DOUBLE - 0.06, 2) AS t FROM range(100) r(i)",
 }
 
 
@@ -196,7 +196,7 @@ for _name, _grid in GRIDS.items():
 grid AS (SELECT DISTINCT round(t + 0, 4) AS threshold FROM ({_grid}))
 SELECT target_id % 10 AS lane, threshold, count(*) FILTER (score {'<' if _small else '>'} threshold) AS flagged FROM sc, grid GROUP BY ALL""")
 
-REC = voted_sql("large") + ", recs AS (SELECT 'GSSM' AS model, * FROM rec)"
+REC = voted_sql("large") + ", recs AS (SELECT 'intensity' AS model, * FROM rec)"
 CONF = """
 conf AS (
   SELECT model, threshold, count(*) FILTER (danger_recorded AND true_warning > 0.5) AS TP,
@@ -213,7 +213,7 @@ raw AS (
 
 def recs(spark, sf_dir):
     """Records as a stored table: the metrics read them more than once."""
-    return cut_lineage(voted_records(spark, sf_dir).withColumn("model", F.lit("GSSM")), "records")
+    return cut_lineage(voted_records(spark, sf_dir).withColumn("model", F.lit("intensity")), "records")
 
 
 register("confusion_by_threshold", "A7", lambda s, d: mt.confusion_by_threshold(recs(s, d)),

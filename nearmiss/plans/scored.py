@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nearmiss.operators.warnings import danger_window
 from nearmiss.plans import fixture
 
-MODELS_LARGE = ("GSSM_a", "GSSM_b")
+MODELS_LARGE = ("intensity_a", "intensity_b")
 # Conflict kinds dealt out to the events in turn
 CONFLICTS = ("leading", "adjacent_lane", "merging", "turning_into_parallel", "pedestrian", "none",
              "intersection_crossing", "oncoming")

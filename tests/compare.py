@@ -22,6 +22,9 @@ def duck(sf_dir: str):
     return con
 
 
+WIDTHS: list[tuple] = []  # integer columns whose width differs between the engines
+
+
 def norm(v):
     if isinstance(v, bool) or v is None or isinstance(v, str):
         return str(v)
@@ -64,6 +67,8 @@ def compare(spark, con, sf_dir, job, sql):
         return len(got), f"columns differ: spark {cols} duckdb {sorted(names)}"
     for f in df.schema.fields:
         a, b = kind(f.dataType.simpleString()), kind(types[f.name])
+        if a == b == "int" and (f.dataType.simpleString() == "int") != (types[f.name].upper() == "INTEGER"):
+            WIDTHS.append((f.name, f.dataType.simpleString(), types[f.name]))
         if a != b and not a.startswith(("array", "struct", "map")):
             return len(got), f"type of {f.name}: spark {a} duckdb {types[f.name]}"
     at = [names.index(c) for c in cols]
@@ -76,10 +81,11 @@ def compare(spark, con, sf_dir, job, sql):
 
 
 def session():
-    from nearmiss.session import build_session
-    spark = build_session("compare", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false"})
+    """A session without our settings, as a driver might hand it over."""
+    from pyspark.sql import SparkSession
+    spark = (SparkSession.builder.master("local[8]").appName("compare")
+             .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
+             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -99,6 +105,9 @@ def main(argv):
             n, problem = compare(spark, con, sf_dir, job, checks.get(name))
         except Exception as e:  # report and go on with the next query
             n, problem = -1, f"{type(e).__name__}: {str(e)[:1500]}"
+        if WIDTHS:
+            print("  widths", name, WIDTHS, flush=True)
+            WIDTHS.clear()
         label = "rows-only" if name not in checks else "ok" if problem is None else "DIFF"
         if problem:
             label = "DIFF"

@@ -78,7 +78,7 @@ def test_vote_notes(spark):
 
 
 def test_threshold_grids():
-    assert len(wn.threshold_grid("GSSM")) == 100 and wn.threshold_grid("GSSM")[:2] == [-0.06, 0.0]
+    assert len(wn.threshold_grid("intensity")) == 100 and wn.threshold_grid("intensity")[:2] == [-0.06, 0.0]
     tadv = wn.threshold_grid("TAdv")
     assert tadv[0] == 0 and tadv == sorted(set(tadv)) and tadv[-1] == round((152 * 0.0115) ** 7, 2)
     assert wn.threshold_grid("UCD")[0] == -1 and min(wn.threshold_grid("EI")) < 0
