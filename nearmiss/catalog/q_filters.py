@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nearmiss.catalog.fixture_sql import FRAMES, pairs as pairs_sql
+from nearmiss.catalog.fixture_sql import FRAMES
 from nearmiss.catalog.registry import register
 from nearmiss.functions.numeric import with_exprs
 from nearmiss.operators import clean, filters as fl

@@ -12,10 +12,8 @@ from nearmiss.functions import fixed_values as fv
 from nearmiss.functions.numeric import with_exprs
 from nearmiss.operators import clean as cl
 from nearmiss.operators import indicators as ind
-from nearmiss.operators import metrics as mt
 from nearmiss.operators import reports as rp
 from nearmiss.plans import derived, fixture, scored
-from nearmiss.session import cut_lineage
 
 
 def rounded(df, columns, digits=6):
