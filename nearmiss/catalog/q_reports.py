@@ -54,12 +54,12 @@ SELECT {cases('conflict', fv.CONFLICT_GROUPS)} AS conflict_group, count(*) AS n
 
 
 def crosstab_job(spark, sf_dir):
-    env = cl.environment_clean(derived.event_table(spark, sf_dir), ("weather", "surfaceCondition")).where("o_totalprice > 400000 AND event_id % 5 > 0")
+    env = cl.environment_clean(derived.event_table(spark, sf_dir), ("weather", "surfaceCondition"))
     return rp.crosstab(env, "weather", fv.WEATHER_ORDER, "surfaceCondition", fv.SURFACE_ORDER)
 
 
 register("crosstab", "A15", crosstab_job, f"""WITH {EVT},
-en AS (SELECT weather, CASE WHEN surfaceCondition = 'Other' THEN 'Unknown' ELSE coalesce(surfaceCondition, 'Unknown') END AS surfaceCondition FROM evt WHERE o_totalprice > 400000 AND event_id % 5 > 0),
+en AS (SELECT weather, CASE WHEN surfaceCondition = 'Other' THEN 'Unknown' ELSE coalesce(surfaceCondition, 'Unknown') END AS surfaceCondition FROM evt),
 w AS (SELECT unnest([{derived.sql_list(fv.WEATHER_ORDER)}]) AS weather), s AS (SELECT unnest([{derived.sql_list(fv.SURFACE_ORDER)}]) AS surfaceCondition)
 SELECT w.weather, s.surfaceCondition, count(en.weather) AS n FROM w CROSS JOIN s LEFT JOIN en ON en.weather = w.weather AND en.surfaceCondition = s.surfaceCondition GROUP BY 1, 2""")
 

@@ -192,7 +192,7 @@ def set_ops_job(spark, sf_dir):
     ids = stt.split_by_event(fixture.table(spark, sf_dir, "orders"), "o_custkey")
     val = ids.select("o_custkey").exceptAll(ids.where("part = 'train'").select("o_custkey"))
     priced = fixture.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return val.intersect(priced).orderBy("o_custkey").limit(200)
+    return val.intersect(priced)
 
 
-register("split_set_operations", "M1 J11", set_ops_job, f"""WITH {SPLIT} SELECT o_custkey FROM split WHERE r >= floor(0.8::DOUBLE * n) AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ORDER BY 1 LIMIT 200""")
+register("split_set_operations", "M1 J11", set_ops_job, f"""WITH {SPLIT} SELECT o_custkey FROM split WHERE r >= floor(0.8::DOUBLE * n) AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")

@@ -113,7 +113,7 @@ register("vote_target", "R5 A18", vote_job, f"""WITH {META}, {VOTES_SQL} SELECT
 
 
 def first_votes_job(spark, sf_dir):
-    base = fixture.pairs(spark, sf_dir).where("k % 20 = 0").selectExpr(
+    base = fixture.pairs(spark, sf_dir).selectExpr(
         "concat('m', target_id % 10) AS model", "event_id", "CAST(k AS DOUBLE) AS threshold",
         "CASE WHEN (k + event_id) % 60 = 0 THEN target_id + k END AS target_id")
     return wn.first_votes(base)
@@ -121,7 +121,7 @@ def first_votes_job(spark, sf_dir):
 
 register("first_non_null", "A19", first_votes_job, f"""WITH {pairs_sql()}
 SELECT 'm' || (target_id % 10) AS model, event_id, arg_min(CASE WHEN (k + event_id) % 60 = 0 THEN target_id + k END, k)
-       FILTER ((k + event_id) % 60 = 0) AS target_id FROM pairs WHERE k % 20 = 0 GROUP BY 1, 2""")
+       FILTER ((k + event_id) % 60 = 0) AS target_id FROM pairs GROUP BY 1, 2""")
 
 
 def voted_records(spark, sf_dir, kind="large"):
