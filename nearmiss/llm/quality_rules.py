@@ -1,8 +1,8 @@
 """Quality rules: an isolation forest on rule statistics.
 
-Word, line and symbol statistics of the whole text feed the hard rules (the base) and the forest. Each tree
-splits a random subsample at random values; the mean path length of a document tells how isolated it is. The
-forest is fitted on at most `fit_rows` labelled rows taken by hash order, and its threshold on the scores of all
+Word, line and symbol statistics of the whole text feed the hard rules (the base) and, as distances from the
+range usual among good rows, the forest. Each tree splits a random subsample at random values; the mean path
+length tells how isolated a document is. Ranges and trees are fitted on at most `fit_rows` labelled rows taken by hash order, and its threshold on the scores of all
 labelled rows: the score that gains most rejected bad rows against `price` times the rejected good rows. Null
 texts have no words and fail the base. Without labels only the base rejects. Repeated rows each get a row.
 """
@@ -132,12 +132,30 @@ def grow(x: np.ndarray, trees: int, sample: int, seed: int) -> Forest:
     return Forest(out, sample)
 
 
-def score(stats: DataFrame, forest: Forest) -> DataFrame:
-    sent = stats.sparkSession.sparkContext.broadcast(forest)  # trees x 2 x sample nodes at most
+@dataclass
+class Rules:
+    """The usual range of each statistic among good rows. What counts is how far a row lies outside."""
+    low: np.ndarray
+    high: np.ndarray
+
+    def violations(self, x: np.ndarray) -> np.ndarray:
+        outside = np.maximum(np.maximum(self.low - x, x - self.high), 0)
+        return np.log1p(outside / np.maximum(self.high - self.low, 0.01))
+
+
+def usual(good: np.ndarray, tail: float = 0.005) -> Rules:
+    if not len(good):
+        return Rules(np.full(len(FEATURES), -np.inf), np.full(len(FEATURES), np.inf))
+    return Rules(np.quantile(good, tail, axis=0), np.quantile(good, 1 - tail, axis=0))
+
+
+def score(stats: DataFrame, rules: Rules, forest: Forest) -> DataFrame:
+    sent = stats.sparkSession.sparkContext.broadcast((rules, forest))  # trees x 2 x sample nodes at most
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rules, forest = sent.value
         for batch in batches:
-            yield batch.assign(score=sent.value.score(batch[list(FEATURES)].to_numpy(float)))
+            yield batch.assign(score=forest.score(rules.violations(batch[list(FEATURES)].to_numpy(float))))
 
     return stats.mapInPandas(work, STATS + ", score double")
 
@@ -149,13 +167,15 @@ def quality(docs: DataFrame, marks: DataFrame, fit_rows: int = 8192, trees: int
     marks = (marks.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("good"))
              .where(F.col("good").isNotNull()).groupBy("doc_id").agg(F.max("good").alias("good")))
     known = stats.where(~base_failed()).join(marks, "doc_id")
-    # the bounded, labelled sample the trees are grown on: good rows, so that what differs is isolated
-    rows = (known.where("good = 1").select(*FEATURES, F.xxhash64(F.lit(seed), "doc_id").alias("h"))
+    # the bounded, labelled sample that ranges and trees are fitted on
+    rows = (known.select(*FEATURES, "good", F.xxhash64(F.lit(seed), "doc_id").alias("h"))
             .orderBy("h", *FEATURES).limit(fit_rows).drop("h").toPandas())
-    forest = grow(rows.to_numpy(float), trees, sample, seed)
-    scored = score(stats, forest)
+    values, good = rows[list(FEATURES)].to_numpy(float), rows["good"].to_numpy() == 1
+    rules = usual(values[good])
+    forest = grow(rules.violations(values), trees, sample, seed)
+    scored = score(stats, rules, forest)
     # all labelled rows, counted in a thousand score steps
-    steps = (score(known.drop("good"), forest).join(marks, "doc_id").groupBy(F.floor(F.col("score") * 1000).alias("step"))
+    steps = (score(known.drop("good"), rules, forest).join(marks, "doc_id").groupBy(F.floor(F.col("score") * 1000).alias("step"))
              .agg(F.sum(F.col("good")).alias("good"), F.sum(1 - F.col("good")).alias("bad")).orderBy(F.desc("step")).collect())
     threshold, best, gain = 2.0, 0.0, 0.0
     for r in steps:
