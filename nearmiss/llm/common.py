@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import json
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +17,8 @@ from nearmiss.session import cut_lineage  # noqa: F401  (re-exported for the ope
 DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: ASCII white space of the contracts, [\x20\x09-\x0D].
 BLANKS = " \t\n\v\f\r"
-#: Entries of a per-worker cache; a full cache is emptied, results never depend on it.
-CACHE_ENTRIES = 300_000
+#: Entries of a per-worker cache; a full one takes no more, results never depend on it.
+CACHE_ENTRIES = 500_000
 
 _TWO_BLANKS = re.compile(r"\s\s")
 _CHUNK = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
@@ -38,11 +38,6 @@ def fold(doc_id: Column | str, of: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % of
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Only what the scan gives: no shuffle. A place to change the dealing of texts for all operators."""
-    return df
-
-
 def cut_chunks(text: str) -> tuple[list[str], bool]:
     """Parts of a text that the byte-level pattern never matches across, and whether every part but the
     first stands for a blank followed by the part."""
@@ -51,56 +46,63 @@ def cut_chunks(text: str) -> tuple[list[str], bool]:
     return _CHUNK.findall(text), False
 
 
+class Known(dict):
+    """Values by chunk, computed where they are missing. A full table takes no more; results never depend on it."""
+
+    def __init__(self, compute, before: str = ""):
+        super().__init__()
+        self.compute, self.before = compute, before
+
+    def __missing__(self, chunk: str):
+        value = self.compute(self.before + chunk)
+        if len(self) < CACHE_ENTRIES and len(chunk) < 100:
+            self[chunk] = value
+        return value
+
+
 class ChunkCache:
-    """Values of text chunks, computed once per worker for a list of unseen chunks at a time."""
+    """Values of text chunks, computed once per worker."""
 
     def __init__(self, compute):
-        self.compute, self.whole, self.after_blank = compute, {}, {}
-
-    def values(self, texts: list[str]) -> list[list]:
-        """For each text the values of its chunks, in order. An empty text has none."""
-        cut = [cut_chunks(t) if t else ([], False) for t in texts]
-        whole, after = {}, {}
-        for parts, spaced in cut:
-            if spaced:
-                if parts[0] and parts[0] not in self.whole:
-                    whole[parts[0]] = None
-                after.update(dict.fromkeys(p for p in parts[1:] if p not in self.after_blank))
-            else:
-                whole.update(dict.fromkeys(p for p in parts if p not in self.whole))
-        keys = [*whole, *(" " + p for p in after)]
-        made = self.compute(keys) if keys else []
-        self.whole.update(zip(whole, made[:len(whole)], strict=True))
-        self.after_blank.update(zip(after, made[len(whole):], strict=True))
-        out = []
-        for parts, spaced in cut:
-            if spaced:
-                first = [self.whole[parts[0]]] if parts[0] else []
-                out.append(first + list(map(self.after_blank.__getitem__, parts[1:])))
-            else:
-                out.append(list(map(self.whole.__getitem__, parts)))
-        if len(self.whole) + len(self.after_blank) > CACHE_ENTRIES:
-            self.whole.clear()
-            self.after_blank.clear()
-        return out
+        self.whole, self.after_blank = Known(compute), Known(compute, " ")
+
+    def of(self, text: str) -> list:
+        """The values of a text's chunks, in order. An empty text has none."""
+        if not text:
+            return []
+        parts, spaced = cut_chunks(text)
+        if not spaced:
+            return list(map(self.whole.__getitem__, parts))
+        first = [self.whole[parts[0]]] if parts[0] else []
+        return first + list(map(self.after_blank.__getitem__, parts[1:]))
+
+
+def byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, others follow from code point 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
 @lru_cache(maxsize=4)
 def byte_encoder(path: str) -> ChunkCache:
-    """Chunks to the library's ids as little-endian unsigned 32-bit integers."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-
-    def compute(chunks: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(chunks), 20_000):
-            out += [np.array(e.ids, "<u4").tobytes()
-                    for e in tok.encode_batch(chunks[i:i + 20_000], add_special_tokens=False)]
-        return out
+    """Chunks to the ids of a byte-level vocabulary as little-endian unsigned 32-bit integers. The vocabulary's
+    ids follow merge order, so they serve as ranks; the special string becomes its id wherever it stands."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    back = {c: b for b, c in byte_letters().items()}
+    ranks = {bytes(back[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+    plain = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                              special_tokens={}).encode_ordinary
+    cut = re.compile("(" + "|".join(map(re.escape, special)) + ")")
+
+    def compute(chunk: str) -> bytes:
+        if "<|" not in chunk:
+            return array("I", plain(chunk)).tobytes()
+        return b"".join(array("I", [special[p]] if p in special else plain(p)).tobytes() for p in cut.split(chunk))
 
     return ChunkCache(compute)
 

@@ -44,8 +44,8 @@ def pieces(docs: DataFrame, capacity: Capacity = Capacity(), path: str | None =
             keys, texts = batch["doc_id"].tolist(), batch["text"].tolist()
             for i, part in slices(texts):
                 rows = []
-                for key, chunks in zip(keys[i:i + len(part)], cache.values(part), strict=True):
-                    raw = b"".join(chunks) + CLOSING
+                for key, text in zip(keys[i:i + len(part)], part, strict=True):
+                    raw = b"".join(cache.of(text)) + CLOSING
                     n = len(raw) // 4
                     cuts = [0, *range(n % most or most, n + 1, most)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):

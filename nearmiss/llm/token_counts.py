@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from public_tokenizers import PATTERN
 
-from nearmiss.llm.common import CACHE_ENTRIES, ChunkCache, documents, slices, tokenizer_path
+from nearmiss.llm.common import CACHE_ENTRIES, ChunkCache, byte_letters, documents, slices, tokenizer_path
 
 SPECIAL = "<|endoftext|>"
 LIMIT = 1024
@@ -28,13 +28,6 @@ _LEADING = regex.compile(r"\p{White_Space}*")
 _CONTRACTIONS = ("'re", "'ve", "'ll")
 
 
-def byte_letters() -> dict[int, str]:
-    """The byte-level alphabet: printable bytes stand for themselves, others follow from code point 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    other = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
-
-
 class PrefixCounter:
     """Exact token counts of all prefixes of a chunk under a byte-level vocabulary whose ids follow merge order."""
 
@@ -116,9 +109,7 @@ class PrefixCounter:
             for c in piece:
                 at += len(c.encode())
                 ends.append(counts[at])
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        if len(piece) < 100:
+        if len(self.pieces) < CACHE_ENTRIES and len(piece) < 100:
             self.pieces[piece] = ends
         return ends
 
@@ -155,8 +146,7 @@ class PrefixCounter:
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> ChunkCache:
-    made = PrefixCounter(path)
-    return ChunkCache(lambda chunks: [made.chunk(c) for c in chunks])
+    return ChunkCache(PrefixCounter(path).chunk)
 
 
 def prefix_table(chunks: list[np.ndarray]) -> np.ndarray:
@@ -190,7 +180,7 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None, s
         for batch in batches:
             ids, texts = batch["doc_id"], batch["text"].tolist()
             for i, part in slices(texts):
-                tables = [prefix_table(c) for c in cache.values(part)]
+                tables = [prefix_table(cache.of(t)) for t in part]
                 n = [int(t[-1]) if len(t) else 0 for t in tables]
                 out = {"doc_id": ids.iloc[i:i + len(part)].to_numpy(), "n_bytes": [len(t.encode()) for t in part],
                        "n_tokens": n, "over_limit": [x > limit for x in n],
