@@ -143,7 +143,7 @@ class Rules:
         return np.log1p(outside / np.maximum(self.high - self.low, 0.01))
 
 
-def usual(good: np.ndarray, tail: float = 0.005) -> Rules:
+def usual(good: np.ndarray, tail: float = 0.0) -> Rules:
     if not len(good):
         return Rules(np.full(len(FEATURES), -np.inf), np.full(len(FEATURES), np.inf))
     return Rules(np.quantile(good, tail, axis=0), np.quantile(good, 1 - tail, axis=0))
