@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+from nearmiss.llm.bpe_pairs import op10_bpe_pairs
 from nearmiss.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from nearmiss.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from nearmiss.llm.language_id import op5_language_id
+from nearmiss.llm.license_scan import OP1_SQL, op1_license_scan
 from nearmiss.llm.packing import op9_best_fit_packing
 from nearmiss.llm.quality_rules import op3_quality_rules
 from nearmiss.llm.token_counts import op2_token_counts
+from nearmiss.llm.toxicity import op4_toxicity
+from nearmiss.llm.training_order import op8_training_order
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
     "op3_quality_rules": op3_quality_rules,
+    "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_training_order": op8_training_order,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_bpe_pairs": op10_bpe_pairs,
 }
 
-SQL = {"op6_exact_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL}
+SQL = {"op1_license_scan": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL}
