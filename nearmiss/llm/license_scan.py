@@ -120,11 +120,11 @@ plain(kind, template, doc_id, r, w) AS (
          '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') FROM documents
   UNION ALL SELECT 't', template, NULL, 0, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')
   FROM t),
-s AS (SELECT kind, template, doc_id, r, unnest(range(0, len(w) - 4)) AS at, w FROM plain WHERE len(w) >= 5),
-g AS (SELECT kind, template, doc_id, r, at, array_to_string(w[at + 1:at + 5], ' ') AS g FROM s),
+s AS (SELECT kind, template, doc_id, r, unnest(range(0, len(w) - 4)) AS pos, w FROM plain WHERE len(w) >= 5),
+g AS (SELECT kind, template, doc_id, r, pos, array_to_string(w[pos + 1:pos + 5], ' ') AS g FROM s),
 ts AS (SELECT DISTINCT template, g FROM g WHERE kind = 't'),
 n AS (SELECT template, count(*) AS n_shingles FROM ts GROUP BY template),
-m AS (SELECT g.doc_id, g.r, ts.template, count(DISTINCT g.g) AS n_matched, min(g.at) AS first_word
+m AS (SELECT g.doc_id, g.r, ts.template, count(DISTINCT g.g) AS n_matched, min(g.pos) AS first_word
       FROM g JOIN ts ON g.g = ts.g WHERE g.kind = 'd' GROUP BY g.doc_id, g.r, ts.template)
 SELECT doc_id, template, n_matched, n_shingles, n_matched / n_shingles AS containment, first_word
 FROM m JOIN n USING (template) WHERE n_matched / n_shingles >= {CONTAINMENT}
