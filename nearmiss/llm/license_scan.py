@@ -56,6 +56,11 @@ def bands(shingles: Column) -> Column:
         k, F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, k)))))
 
 
+def bind(value: Column, use) -> Column:
+    """An array of one element: use(value), with the value computed once."""
+    return F.transform(F.array(value), use)
+
+
 def template_tables(spark: SparkSession, templates: dict[str, str]) -> list[tuple[str, list[str], list[int]]]:
     """name, shingles and bands of each template. The driver holds the templates alone, a fixed list."""
     df = spark.createDataFrame(list(templates.items()), "template string, text string").coalesce(1)
@@ -76,12 +81,16 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     keys = sorted({b for _, _, own in known for b in own})
     table = F.broadcast(spark.createDataFrame(known, "template string, shingles array<string>, bands array<bigint>")
                         .select("template", "shingles", F.explode("bands").alias("band")).coalesce(1))
-    text = docs.select(F.col("doc_id").cast("long"), words(F.col("text").cast("string")).alias("w"))
-    places = F.when(F.size("w") >= WORDS, F.sequence(F.lit(0), F.size("w") - WORDS)).otherwise(
-        F.array().cast("array<int>"))
-    hit = text.withColumn("hits", F.filter(places, lambda i: F.xxhash64(shingle(F.col("w"), i)).isin(wanted)))
+    def hits(w: Column) -> Column:
+        places = F.when(F.size(w) >= WORDS, F.sequence(F.lit(0), F.size(w) - WORDS)).otherwise(
+            F.array().cast("array<int>"))
+        return F.filter(places, lambda i: F.xxhash64(shingle(w, i)).isin(wanted))
+
+    # words are bound once: as a column they would be made again for every shingle
+    held = bind(words(F.col("text").cast("string")), lambda w: F.struct(w.alias("w"), hits(w).alias("hits")))
     # rows are told apart by number, so equal ids stay apart; the few texts with a hit are stored once
-    hit = cut_lineage(hit.where(F.size("hits") > 0), "hits").withColumn("row", F.monotonically_increasing_id())
+    hit = docs.select(F.col("doc_id").cast("long"), F.explode(F.filter(held, lambda h: F.size(h["hits"]) > 0)).alias("h"))
+    hit = cut_lineage(hit.select("doc_id", "h.w", "h.hits"), "hits").withColumn("row", F.monotonically_increasing_id())
     starts = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.transform(
         F.sequence(F.lit(0), F.lit(WINDOW // STRIDE - 1)),
         lambda k: F.greatest(F.floor(p / STRIDE) - k, F.lit(0)).cast("int") * STRIDE))))
@@ -90,8 +99,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     inside = F.transform(F.sequence(F.col("start"), F.least(F.col("start") + (WINDOW - 1), last)),
                          lambda i: shingle(F.col("w"), i))
     # values that no template has are left out before they become rows
-    equal = F.filter(bands(F.col("inside")), lambda b: b.isin(keys))
-    found = (window.withColumn("inside", F.array_distinct(inside)).select("row", F.explode(equal).alias("band"))
+    equal = F.flatten(bind(F.array_distinct(inside), lambda x: F.filter(bands(x), lambda b: b.isin(keys))))
+    found = (window.select("row", F.explode(equal).alias("band"))
              .join(table.select("template", "band"), "band").select("row", "template").distinct())
     sets = F.broadcast(spark.createDataFrame([x[:2] for x in known], "template string, shingles array<string>").coalesce(1))
     own = hit.select("row", "doc_id", "hits", F.transform("hits", lambda i: shingle(F.col("w"), i)).alias("own"))
