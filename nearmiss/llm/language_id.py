@@ -23,32 +23,59 @@ from nearmiss.llm.common import CACHE_ENTRIES, documents, fold
 PROFILE = 300
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = ord("_")
-_grams: dict[str, np.ndarray] = {}
 
 
-def grams(word: str) -> np.ndarray:
+def codes_of(word: str) -> np.ndarray:
     """Codes of a word's n-grams, 21 bits a letter from the left, so that codes sort as the n-grams do."""
-    known = _grams.get(word)
-    if known is None:
-        c = np.frombuffer(f"_{word}_".encode("utf-32-le"), "<u4").astype(np.int64)
-        single = c[1:-1] << 42
-        double = (c[:-1] << 42) | (c[1:] << 21)
-        triple = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
-        known = np.concatenate([single, double, triple])
-        if len(word) < 100:
-            if len(_grams) > CACHE_ENTRIES:
-                _grams.clear()
-            _grams[word] = known
-    return known
-
-
-def ranked(words: Counter, size: int) -> np.ndarray:
+    c = np.frombuffer(f"_{word}_".encode("utf-32-le"), "<u4").astype(np.int64)
+    single = c[1:-1] << 42
+    double = (c[:-1] << 42) | (c[1:] << 21)
+    triple = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+    return np.concatenate([single, double, triple])
+
+
+class Grams:
+    """Numbers n-grams as they come, so that counting them is adding up an array."""
+
+    def __init__(self):
+        self.words: dict[str, np.ndarray] = {}
+        self.number: dict[int, int] = {}
+        self.codes = np.zeros(1024, np.int64)
+
+    def of(self, word: str) -> np.ndarray:
+        known = self.words.get(word)
+        if known is None:
+            known = np.empty(3 * len(word) + 1, np.int64)
+            for i, code in enumerate(codes_of(word).tolist()):
+                n = self.number.get(code)
+                if n is None:
+                    n = self.number[code] = len(self.number)
+                    if n == len(self.codes):
+                        self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+                    self.codes[n] = code
+                known[i] = n
+            if len(word) < 100 and len(self.words) < CACHE_ENTRIES:
+                self.words[word] = known
+        return known
+
+    def counts(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and counts of the n-grams of counted words."""
+        if len(self.number) > CACHE_ENTRIES:
+            self.__init__()
+        parts = [self.of(w) for w in words]
+        weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
+        total = np.bincount(np.concatenate(parts), weight)
+        some = np.flatnonzero(total)
+        return self.codes[some], total[some]
+
+
+_grams = Grams()
+
+
+def ranked(words: dict[str, int], size: int) -> np.ndarray:
     """Codes of the most frequent n-grams, the most frequent first, ties by the n-gram."""
-    parts = [grams(w) for w in words]
-    weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-    codes, at = np.unique(np.concatenate(parts), return_inverse=True)
-    counts = np.bincount(at, weight)
-    return codes[np.argsort(-counts, kind="stable")[:size]]
+    codes, counts = _grams.counts(words)
+    return codes[np.lexsort((codes, -counts))[:size]]
 
 
 def words_of(text: str | None) -> Counter:
@@ -67,10 +94,7 @@ def profiles(train: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
                 total = defaultdict(int)
                 todo = list(words.items())
                 for i in range(0, len(todo), 50_000):
-                    some = todo[i:i + 50_000]
-                    parts = [grams(w) for w, _ in some]
-                    codes, at = np.unique(np.concatenate(parts), return_inverse=True)
-                    n = np.bincount(at, np.repeat([c for _, c in some], [len(p) for p in parts]))
+                    codes, n = _grams.counts(dict(todo[i:i + 50_000]))
                     for code, c in zip(codes.tolist(), n.tolist(), strict=True):
                         total[code] += int(c)
                 yield pd.DataFrame({"lang": lang, "gram": list(total), "n": list(total.values())})
