@@ -32,7 +32,7 @@ def rsql(columns, digits=6):
 
 def riskiest_job(spark, sf_dir):
     scores = ind.act(fixture.pairs(spark, sf_dir)).select(
-        "event_id", "target_id", "k", "time", F.least(F.col("ACT"), F.lit(100.0)).alias("score"))
+        "event_id", "target_id", "k", "time", F.col("ACT").alias("score"))
     meta = wn.danger_window(fixture.event_meta(spark, sf_dir))
     return rounded(wn.riskiest_target(scores, meta, small=True), ["mean_score"], 4)
 
@@ -43,12 +43,12 @@ def _act_check():
     body = CHECKS["ACT"][len(P):]
     body = body[:body.rindex("SELECT event_id, target_id, k, CASE WHEN isfinite")]
     return f"""{head}{body}, {META},
-s AS (SELECT event_id, target_id, k, least(CASE WHEN d < 1e-9 THEN NULL WHEN r < 0 THEN 'inf'::DOUBLE ELSE r END, 100) AS score FROM a1),
-g AS (SELECT event_id, target_id, avg(CASE WHEN isfinite(score) THEN score END) AS mean
+s AS (SELECT event_id, target_id, k, CASE WHEN d < 1e-9 THEN NULL WHEN r < 0 THEN 'inf'::DOUBLE ELSE r END AS score FROM a1),
+g AS (SELECT event_id, target_id, avg(score) AS mean
       FROM s JOIN meta USING (event_id)
       WHERE CAST(k AS DOUBLE) / 10 BETWEEN least(impact_timestamp - 4500, start_timestamp) / 1000 AND least(impact_timestamp + 500, end_timestamp) / 1000
       GROUP BY ALL)
-SELECT event_id, target_id, round(mean, 4) AS mean_score FROM g
+SELECT event_id, target_id, round(mean, 4) AS mean_score FROM g WHERE mean IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY mean, target_id) = 1"""
 
 

@@ -190,10 +190,11 @@ def best_second_flag(table: DataFrame, columns: Sequence[str], largest: bool = T
     whole = Window.partitionBy(F.lit(0))  # one row per model: a report table
     out = table
     for c in columns:
-        v = F.when(F.avg(c).over(whole) > 0.01, F.round(c, 3)).otherwise(F.col(c))
+        known = F.when(~F.isnan(c), F.col(c))  # NaN is no value: it is neither averaged nor ranked
+        v = F.when(F.avg(known).over(whole) > 0.01, F.round(c, 3)).otherwise(F.col(c))
         out = out.withColumn(c, v)
     for c in columns:
-        ordered = F.sort_array(F.collect_list(c).over(whole), asc=not largest)
+        ordered = F.sort_array(F.collect_list(F.when(~F.isnan(c), F.col(c))).over(whole), asc=not largest)
         out = out.withColumn(f"{c}_mark", F.when(F.col(c) == F.get(ordered, 0), 1).when(F.col(c) == F.get(ordered, 1), 2).otherwise(0))
     return out
 
