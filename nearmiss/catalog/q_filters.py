@@ -42,7 +42,7 @@ register("choose_direction", "K2", lambda s, d: rounded(
 def object_frames(spark, sf_dir):
     ego = cut_lineage(fl.choose_direction(ego_frames(spark, sf_dir)), "ego")
     sur = fl.attach_ego_pose(radar(spark, sf_dir), ego, derived.ego_lengths(spark, sf_dir).where("ego_length IS NOT NULL"))
-    return op.regrid_interpolate(cut_lineage(sur, "objects"), ["event_id", "target_id"], ["x", "y", "speed_comp"])
+    return op.regrid_interpolate(fl.long_enough(cut_lineage(sur, "objects")), ["event_id", "target_id"], ["x", "y", "speed_comp"])
 
 
 register("filter_surrounding_tracks", "K3 J5 W1", lambda s, d: rounded(

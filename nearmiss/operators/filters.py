@@ -234,13 +234,21 @@ def attach_ego_pose(sur: DataFrame, ego: DataFrame, lengths: DataFrame) -> DataF
         "speed_comp": "sqrt(delta_vx * delta_vx + pow(_v + delta_vy, 2))"}).drop("_x", "_y", "_psi", "_v", "ego_length")
 
 
-def filter_surrounding_tracks(frames: DataFrame, params: Mapping[str, float] | None = None, min_rows: int = 10) -> DataFrame:
+def long_enough(sur: DataFrame, min_rows: int = 10) -> DataFrame:
+    """Rows of targets that were measured at least min_rows times. It counts measured rows, so it belongs before
+    the grid, which drops rows and fills gaps."""
+    keys = ["event_id", "target_id"]
+    enough = sur.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
+    return sur.join(enough.select(*keys), keys, "left_semi")
+
+
+def filter_surrounding_tracks(frames: DataFrame, params: Mapping[str, float] | None = None) -> DataFrame:
     """Constant heading and speed filter over gap-free object frames (event_id, target_id, k, x, y,
-    speed_comp) of targets with at least min_rows rows."""
+    speed_comp); `long_enough` takes out short targets before the grid."""
     p = {**fv.SUR_DEFAULTS, **(params or {})}
     keys = ["event_id", "target_id"]
-    rows = number_rows(frames, keys, ["k"], time_chunk(), total="_n").where(F.col("_n") >= min_rows)
-    rows = with_exprs(rows, {"dt": "0.1D", "psi0": "0D", "update": "1D"}).drop("_n")
+    rows = number_rows(frames, keys, ["k"], time_chunk())
+    rows = with_exprs(rows, {"dt": "0.1D", "psi0": "0D", "update": "1D"})
     return _run(rows, keys, lambda: ObjectFilter(p), OBJECT_STATE).drop("idx", "dt", "psi0", "update")
 
 

@@ -66,7 +66,7 @@ def test_direction(spark):
 def test_objects(spark):
     rows = [(1, t, k, 3.0 * t + k, 2.0, 10.0) for t, n in ((1, 60), (2, 5)) for k in range(n)]
     df = spark.createDataFrame(rows, "event_id long, target_id long, k long, x double, y double, speed_comp double")
-    out = fl.filter_surrounding_tracks(df).toPandas().sort_values("k")
+    out = fl.filter_surrounding_tracks(fl.long_enough(df)).toPandas().sort_values("k")
     assert set(out.target_id) == {1} and len(out) == 60
     assert out.x_ekf.iloc[-1] == pytest.approx(62, abs=0.5) and out.v_ekf.iloc[-1] == pytest.approx(10, abs=0.1)
 
@@ -100,3 +100,9 @@ def test_alias_chain(spark):
     edges = spark.createDataFrame([(1, i, i - 1) for i in range(2, 40)] + [(2, 9, 4)], "event_id long, target_id long, parent long")
     got = {(r["event_id"], r["target_id"]): r["parent"] for r in fl.resolve_aliases(edges).collect()}
     assert all(got[1, i] == 1 for i in range(2, 40)) and got[2, 9] == 4
+
+
+def test_length_gate_counts_measured_rows(spark):
+    rows = [(1, 1, k) for k in range(10)] + [(1, 2, 4 * k) for k in range(5)]
+    got = fl.long_enough(spark.createDataFrame(rows, "event_id long, target_id long, k long"))
+    assert {r["target_id"] for r in got.collect()} == {1}
