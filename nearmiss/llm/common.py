@@ -8,6 +8,7 @@ from array import array
 from functools import lru_cache
 
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,26 @@ _TWO_BLANKS = re.compile(r"\s\s")
 _CHUNK = regex.compile(r"\p{White_Space}*\P{White_Space}+|\p{White_Space}+")
 
 
+#: Rows handed to a Python worker at a time; texts are long, and a worker holds a batch in several forms.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def keep_rows(docs: DataFrame, decide) -> DataFrame:
+    """The rows whose text passes, with all their columns, without a shuffle. decide: a list of texts to booleans."""
+    def work(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(decide(batch.column("text").to_pylist()), pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(work, docs.schema)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

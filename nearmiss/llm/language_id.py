@@ -16,11 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from nearmiss.llm.common import CACHE_ENTRIES, documents, fold
+from nearmiss.llm.common import CACHE_ENTRIES, documents, fold, keep_rows, small_batches
 
 PROFILE = 300
+#: Words whose n-grams a worker keeps; a full table takes no more, results never depend on it.
+WORD_ENTRIES = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = ord("_")
 
@@ -45,7 +46,7 @@ class Grams:
     def of(self, word: str) -> np.ndarray:
         known = self.words.get(word)
         if known is None:
-            known = np.empty(3 * len(word) + 1, np.int64)
+            known = np.empty(3 * len(word) + 1, np.int32)
             for i, code in enumerate(codes_of(word).tolist()):
                 n = self.number.get(code)
                 if n is None:
@@ -54,7 +55,7 @@ class Grams:
                         self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
                     self.codes[n] = code
                 known[i] = n
-            if len(word) < 100 and len(self.words) < CACHE_ENTRIES:
+            if len(word) < 100 and len(self.words) < WORD_ENTRIES:
                 self.words[word] = known
         return known
 
@@ -99,6 +100,7 @@ def profiles(train: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
                         total[code] += int(c)
                 yield pd.DataFrame({"lang": lang, "gram": list(total), "n": list(total.values())})
 
+    small_batches(train.sparkSession)
     counted = (train.select("text", "lang").mapInPandas(count, "lang string, gram long, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -110,37 +112,46 @@ def profiles(train: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
     return {lang: np.array(g, np.int64) for lang, g in sorted(out.items())}
 
 
-def identify(docs: DataFrame, learned: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
-    """All columns of docs and lang_pred, score (second nearest distance over the sum of the two nearest, at
-    least a half) and misfit (mean out-of-place distance to the nearest profile over the largest one)."""
+def judged(learned: dict[str, np.ndarray], size: int = PROFILE):
+    """A function of texts that gives language, score and misfit of each."""
     names = list(learned)
     every = np.unique(np.concatenate([*learned.values(), np.zeros(0, np.int64)]))
     ranks = np.full((len(names), len(every) + 1), -1, np.int64)  # the last column: n-grams of no profile
     for k, g in enumerate(learned.values()):
         ranks[k, np.searchsorted(every, g)] = np.arange(len(g))
 
+    def judge(texts) -> list[tuple[str, float, float]]:
+        out = []
+        for text in texts:
+            words = words_of(text)
+            if not words or not names:
+                out.append(("und", 0.0, 1.0))
+                continue
+            mine = ranked(words, size)
+            at = np.searchsorted(every, mine)
+            at[(at == len(every)) | (every[np.minimum(at, len(every) - 1)] != mine)] = len(every)
+            theirs = ranks[:, at]
+            far = np.where(theirs < 0, size, np.minimum(np.abs(theirs - np.arange(len(mine))), size)).sum(axis=1)
+            best = int(far.argmin())
+            rest = np.delete(far, best)
+            second = int(rest.min()) if len(rest) else len(mine) * size
+            out.append((names[best], second / max(second + int(far[best]), 1), far[best] / (len(mine) * size)))
+        return out
+
+    return judge
+
+
+def identify(docs: DataFrame, learned: dict[str, np.ndarray], size: int = PROFILE) -> DataFrame:
+    """doc_id, held_out, lang_pred, score (second nearest distance over the sum of the two nearest) and misfit (mean
+    out-of-place distance to the nearest profile over the largest one) of rows with doc_id, held_out and text."""
+    judge = judged(learned, size)
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for text in batch["text"]:
-                words = words_of(text)
-                if not words or not names:
-                    out.append(("und", 0.0, 1.0))
-                    continue
-                mine = ranked(words, size)
-                at = np.searchsorted(every, mine)
-                at[(at == len(every)) | (every[np.minimum(at, len(every) - 1)] != mine)] = len(every)
-                theirs = ranks[:, at]
-                far = np.where(theirs < 0, size, np.minimum(np.abs(theirs - np.arange(len(mine))), size)).sum(axis=1)
-                best = int(far.argmin())
-                rest = np.delete(far, best)
-                second = int(rest.min()) if len(rest) else len(mine) * size
-                out.append((names[best], second / max(second + int(far[best]), 1), far[best] / (len(mine) * size)))
-            lang, score, misfit = zip(*out, strict=True) if out else ((), (), ())
-            yield batch.assign(lang_pred=list(lang), score=np.array(score, float), misfit=np.array(misfit, float))
-
-    schema = StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double").add("misfit", "double")
-    return docs.mapInPandas(work, schema)
+            said = pd.DataFrame(judge(batch["text"]), columns=["lang_pred", "score", "misfit"])
+            yield pd.concat([batch.drop(columns="text").reset_index(drop=True), said], axis=1)
+
+    return docs.mapInPandas(work, "doc_id long, held_out boolean, lang_pred string, score double, misfit double")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
@@ -149,15 +160,15 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def language_id(docs: DataFrame) -> DataFrame:
     learned = profiles(training_rows(docs))
-    slim = docs.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "text")
-    return identify(slim, learned).drop("text")
+    slim = docs.select(F.col("doc_id").cast("long"), (fold("doc_id", 3) == 1).alias("held_out"),
+                       F.col("text").cast("string"))
+    return identify(slim, learned)
 
 
 def keep_known(docs: DataFrame, max_misfit: float = 0.97) -> DataFrame:
     """Documents in a learned language: texts without a letter go, and texts whose n-grams fit no profile."""
-    named = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    found = identify(named, profiles(training_rows(docs)))
-    return found.where((F.col("lang_pred") != "und") & (F.col("misfit") <= max_misfit)).select("row.*")
+    judge = judged(profiles(training_rows(docs)))
+    return keep_rows(docs, lambda texts: [lang != "und" and misfit <= max_misfit for lang, _, misfit in judge(texts)])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

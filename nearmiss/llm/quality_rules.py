@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearmiss.llm.common import cut_lineage, documents, labels
+from nearmiss.llm.common import cut_lineage, documents, keep_rows, labels, small_batches
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS, SPACE = b"#*$%&|<>", b" \t\n\v\f\r"
@@ -65,6 +65,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def rule_statistics(docs: DataFrame) -> DataFrame:
     names = [f.split()[0] for f in STATS.split(", ")]
+    small_batches(docs.sparkSession)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,21 +150,29 @@ def usual(good: np.ndarray, tail: float = 0.0) -> Rules:
     return Rules(np.quantile(good, tail, axis=0), np.quantile(good, 1 - tail, axis=0))
 
 
-def score(stats: DataFrame, rules: Rules, forest: Forest) -> DataFrame:
-    sent = stats.sparkSession.sparkContext.broadcast((rules, forest))  # trees x 2 x sample nodes at most
+def score(stats: DataFrame, made: Verdict) -> DataFrame:
+    sent = stats.sparkSession.sparkContext.broadcast(made)  # trees x 2 x sample nodes at most
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rules, forest = sent.value
         for batch in batches:
-            yield batch.assign(score=forest.score(rules.violations(batch[list(FEATURES)].to_numpy(float))))
+            yield batch.assign(score=sent.value.scores(batch[list(FEATURES)].to_numpy(float)))
 
     return stats.mapInPandas(work, STATS + ", score double")
 
 
-def quality(docs: DataFrame, marks: DataFrame, fit_rows: int = 8192, trees: int = 100, sample: int = 256,
-            price: float = 20.0, seed: int = 7) -> DataFrame:
-    """doc_id, the base statistics, base_failed, score, threshold and kept, one row per document."""
-    stats = cut_lineage(rule_statistics(docs), "rules")
+@dataclass
+class Verdict:
+    rules: Rules
+    forest: Forest
+    threshold: float
+
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        return self.forest.score(self.rules.violations(features))
+
+
+def learn(stats: DataFrame, marks: DataFrame, fit_rows: int = 8192, trees: int = 100, sample: int = 256,
+          price: float = 20.0, seed: int = 7) -> Verdict:
+    """Fits ranges, forest and threshold on the labelled rows among stored statistics."""
     marks = (marks.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("good"))
              .where(F.col("good").isNotNull()).groupBy("doc_id").agg(F.max("good").alias("good")))
     known = stats.where(~base_failed()).join(marks, "doc_id")
@@ -172,32 +181,41 @@ def quality(docs: DataFrame, marks: DataFrame, fit_rows: int = 8192, trees: int
             .orderBy("h", *FEATURES).limit(fit_rows).drop("h").toPandas())
     values, good = rows[list(FEATURES)].to_numpy(float), rows["good"].to_numpy() == 1
     rules = usual(values[good])
-    forest = grow(rules.violations(values), trees, sample, seed)
-    scored = score(stats, rules, forest)
+    made = Verdict(rules, grow(rules.violations(values), trees, sample, seed), 2.0)
     # all labelled rows, counted in a thousand score steps
-    steps = (score(known.drop("good"), rules, forest).join(marks, "doc_id").groupBy(F.floor(F.col("score") * 1000).alias("step"))
+    steps = (score(known.drop("good"), made).join(marks, "doc_id").groupBy(F.floor(F.col("score") * 1000).alias("step"))
              .agg(F.sum(F.col("good")).alias("good"), F.sum(1 - F.col("good")).alias("bad")).orderBy(F.desc("step")).collect())
-    threshold, best, gain = 2.0, 0.0, 0.0
+    best, gain = 0.0, 0.0
     for r in steps:
         gain += r["bad"] - price * r["good"]
         if gain > best:
-            threshold, best = r["step"] / 1000, gain
+            made.threshold, best = r["step"] / 1000, gain
+    return made
+
+
+def quality(docs: DataFrame, marks: DataFrame, **options) -> DataFrame:
+    """doc_id, the base statistics, base_failed, score, threshold and kept, one row per document."""
+    stats = cut_lineage(rule_statistics(docs), "rules")
+    made = learn(stats, marks, **options)
     failed = base_failed()
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         failed.alias("base_failed"), (~failed & (F.col("score") < threshold)).alias("kept"),
-                         "score", F.lit(threshold).alias("threshold"))
-
-
-def keep_good(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The documents whose text passes. The verdict is a function of the text, so rows that share an id and
-    differ in text are told apart by the text's hash."""
-    key = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    numbered = docs.withColumn("quality_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), key))
-    verdict = quality(numbered.select(F.col("quality_key").alias("doc_id"), "text"),
-                      marks.join(numbered.select("doc_id", "quality_key"), "doc_id")
-                      .select(F.col("quality_key").alias("doc_id"), "quality"))
-    passed = verdict.where("kept").select(F.col("doc_id").alias("quality_key")).distinct()
-    return numbered.join(passed, "quality_key", "left_semi").drop("quality_key")
+    return score(stats, made).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & (F.col("score") < made.threshold)).alias("kept"), "score", F.lit(made.threshold).alias("threshold"))
+
+
+def keep_good(docs: DataFrame, marks: DataFrame, **options) -> DataFrame:
+    """The documents whose text passes. The verdict depends on the text alone, so it is taken where the text is
+    read, and texts do not move."""
+    made = learn(cut_lineage(rule_statistics(docs), "rules"), marks, **options)
+
+    def decide(texts: list) -> np.ndarray:
+        rows = [statistics(0, t or "") for t in texts]
+        if not rows:
+            return np.zeros(0, bool)
+        failed = np.array([r[1] < MIN_WORDS or 100 * r[5] > MAX_REPEAT_PERCENT * r[1] for r in rows])
+        return ~failed & (made.scores(np.array([r[6:] for r in rows], float)) < made.threshold)
+
+    return keep_rows(docs, decide)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
