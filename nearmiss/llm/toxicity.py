@@ -3,7 +3,7 @@
 A character trigram model counts the letters of all documents. A suspicious word (digits or signs among letters,
 a letter three times in a row, single letters with gaps) becomes a lattice: a sign may stand for letters, a run for
 one or two letters, a gap for nothing. Viterbi decoding takes the path with the best product of model and channel.
-The restored words of at most `fit_rows` labelled training rows, taken by hash order, give each word a smoothed
+The restored words, and the beginnings of long ones, of at most `fit_rows` labelled training rows, taken by hash order, give each a smoothed
 log-odds weight where its documents differ clearly between the labels; a document's evidence is the sum over its
 distinct words, and a logistic curve fitted on the same rows turns it into the score.
 
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearmiss.llm.common import CACHE_ENTRIES, documents, fold, labels
+from nearmiss.llm.common import CACHE_ENTRIES, cut_lineage, documents, fold, labels
 
 #: What a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a",
@@ -42,6 +42,7 @@ TOKEN = re.compile(r"[^\s]+")
 EDGE = "\"'(),.:;?!*&%#|[]{}<>-_=/\\~`"
 #: Signs that start no word; others may stand for its first letter.
 OPENING = "".join(c for c in EDGE if c not in SIGNS)
+STEM = 5  # letters of a word's beginning
 _SUSPECT = re.compile(r"(?=.*[^\W\d_])(?:.*[^\W\d_][.*_-][^\W_].*|.*[0-9@$!+|€*].*|.*([^\W\d_])\1\1.*)")
 
 
@@ -148,6 +149,12 @@ class Decoder:
         out.discard("")
         return out
 
+    def features(self, text: str | None) -> set[str]:
+        """The distinct words and the beginnings of longer ones, which stand for a word with any ending."""
+        words = self.words(text)
+        words.update(["^" + w[:STEM] for w in words if len(w) > STEM])
+        return words
+
 
 _RUN = re.compile(r"(.)\1\1")
 
@@ -161,7 +168,7 @@ class Model:
 
     def evidence(self, text: str | None) -> float:
         get = self.weights.get
-        return float(sum(sorted(w for w in map(get, self.decoder.words(text)) if w)))
+        return float(sum(sorted(w for w in map(get, self.decoder.features(text)) if w)))
 
     def score(self, evidence: float) -> float:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * evidence + self.shift))))
@@ -197,13 +204,13 @@ def learn(docs: DataFrame, marks: DataFrame, fit_rows: int = 20_000, clear: floa
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
                 seen[int(toxic)] += 1
-                for w in sent.value.words(text):
+                for w in sent.value.features(text):
                     by[w][int(toxic)] += 1
         # the empty word carries the number of documents
         yield pd.DataFrame([("", *seen), *((w, *n) for w, n in by.items())], columns=["word", "clean", "toxic"])
 
-    counted = (rows.mapInPandas(count, "word string, clean long, toxic long")
-               .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    counted = cut_lineage(rows.mapInPandas(count, "word string, clean long, toxic long")
+                          .groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "words")
     both = counted.where("word = ''").first()
     if both is None or not both["toxic"] or not both["clean"]:
         label = 1.0 if both is not None and both["toxic"] else 0.0
