@@ -3,9 +3,10 @@
 A character trigram model counts the letters of all documents. A suspicious word (digits or signs among letters,
 a letter three times in a row, single letters with gaps) becomes a lattice: a sign may stand for letters, a run for
 one or two letters, a gap for nothing. Viterbi decoding takes the path with the best product of model and channel.
-The restored words, and the beginnings of long ones, of at most `fit_rows` labelled training rows, taken by hash order, give each a smoothed
-log-odds weight where its documents differ clearly between the labels; a document's evidence is the sum over its
-distinct words, and a logistic curve fitted on the same rows turns it into the score.
+The restored words, and the beginnings of long ones, of at most `fit_rows` labelled training rows, taken by hash order,
+each weigh their smoothed log-odds times how much their counts raise the chance that the word differs between the labels,
+so rare words shrink and no number of documents is a threshold; a document's evidence is the sum over its distinct words.
+A logistic curve turns it into the score; it is fitted on the same rows, each without its own share of the counts.
 
 Null, empty and wordless texts have evidence 0 and the score of that. With no labels every score is 0. Whole
 texts are read; repeated rows each give a row.
@@ -18,6 +19,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -157,18 +159,36 @@ class Decoder:
 
 
 _RUN = re.compile(r"(.)\1\1")
+#: Chance, before any count, that a word differs between the labels.
+DIFFER = 0.01
+
+
+def weight(clean: int, toxic: int, share: float) -> float:
+    """Log-odds of a word in `clean` and `toxic` documents against the toxic `share` of all, times the rise of the
+    chance that it differs between the labels over DIFFER. The counts are beta-binomial if it does, binomial if not;
+    a single document tells nothing, so its words weigh 0."""
+    if min(clean, toxic) < 0 or clean + toxic < 2:
+        return 0.0
+    factor = (math.lgamma(toxic + share) - math.lgamma(share) + math.lgamma(clean + 1 - share) - math.lgamma(1 - share)
+              - math.lgamma(clean + toxic + 1) - toxic * math.log(share) - clean * math.log(1 - share))
+    chance = 1 / (1 + math.exp(-max(-60.0, min(60.0, factor + math.log(DIFFER / (1 - DIFFER))))))
+    odds = math.log((toxic + share) / (clean + 1 - share)) - math.log(share / (1 - share))
+    return max(0.0, (chance - DIFFER) / (1 - DIFFER)) * odds
 
 
 @dataclass
 class Model:
     decoder: Decoder
-    weights: dict[str, float]
+    words: dict[str, int]  # the place of a word's counts in the weights
+    weights: list[tuple[float, float, float]]  # by all rows, by all but a clean one with the word, but a toxic one
     slope: float = 1.0
     shift: float = -60.0
 
-    def evidence(self, text: str | None) -> float:
-        get = self.weights.get
-        return float(sum(sorted(w for w in map(get, self.decoder.features(text)) if w)))
+    def evidence(self, text: str | None, left_out: int | None = None) -> float:
+        """left_out: the label of a fitted row, whose own count then does not weigh."""
+        k = 0 if left_out is None else 1 + left_out
+        found = map(self.words.get, self.decoder.features(text))
+        return math.fsum(self.weights[at][k] for at in found if at is not None)
 
     def score(self, evidence: float) -> float:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * evidence + self.shift))))
@@ -188,9 +208,9 @@ def curve(evidence: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(beta[0]), float(beta[1])
 
 
-def learn(docs: DataFrame, marks: DataFrame, fit_rows: int = 20_000, clear: float = 4.0, seed: int = 11) -> Model:
-    """Fits on labelled rows outside the held-out fold alone. Only the words whose weight is clear reach the
-    driver, and one evidence and label a fitted row."""
+def learn(docs: DataFrame, marks: DataFrame, fit_rows: int = 20_000, seed: int = 11) -> Model:
+    """Fits on labelled rows outside the held-out fold alone. The words with a weight reach the driver, and one
+    evidence and label a fitted row."""
     spark = docs.sparkSession
     decoder = Decoder(trigram_model(letter_counts(docs)))
     chosen = (marks.where((fold("doc_id", 5) != 0) & F.col("toxic").isNotNull())
@@ -214,28 +234,36 @@ def learn(docs: DataFrame, marks: DataFrame, fit_rows: int = 20_000, clear: floa
     both = counted.where("word = ''").first()
     if both is None or not both["toxic"] or not both["clean"]:
         label = 1.0 if both is not None and both["toxic"] else 0.0
-        return Model(decoder, {}, 0.0, 60.0 if label else -60.0)
-    rate_t, rate_c = F.col("toxic") / both["toxic"], F.col("clean") / both["clean"]
-    n_t, n_c = float(both["toxic"]), float(both["clean"])
-    odds = F.log(((F.col("toxic") + 0.5) / (n_t + 1)) / ((F.col("clean") + 0.5) / (n_c + 1)))
-    spread = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    weights = {r["word"]: r["odds"] for r in counted.where("word != ''").where((rate_t + rate_c) > 0)
-               .withColumn("odds", odds).where(F.abs("odds") > clear * spread).select("word", "odds").collect()}
-    model = Model(decoder, weights)
-    tried = with_evidence(rows, model).select("evidence", "toxic").toPandas()  # fit_rows rows at most by id
+        return Model(decoder, {}, [], 0.0, 60.0 if label else -60.0)
+    share = both["toxic"] / (both["toxic"] + both["clean"])
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = lru_cache(maxsize=CACHE_ENTRIES)(lambda c, t: (weight(c, t, share), weight(c - 1, t, share),
+                                                              weight(c, t - 1, share)))
+        for batch in batches:
+            three = [known(c, t) for c, t in zip(batch["clean"], batch["toxic"], strict=True)]
+            yield batch.assign(some=[any(w) for w in three])
+
+    kept = (counted.where("word != '' and clean + toxic > 1")
+            .mapInPandas(weigh, "word string, clean long, toxic long, some boolean").where("some").collect())
+    place: dict[tuple[int, int], int] = {}
+    words = {r["word"]: place.setdefault((r["clean"], r["toxic"]), len(place)) for r in kept}
+    model = Model(decoder, words, [(weight(c, t, share), weight(c - 1, t, share), weight(c, t - 1, share)) for c, t in place])
+    tried = with_evidence(rows, model, left_out="toxic").select("evidence", "toxic").toPandas()  # fit_rows rows at most by id
     model.slope, model.shift = curve(tried["evidence"].to_numpy(float), tried["toxic"].to_numpy(float))
     return model
 
 
-def with_evidence(rows: DataFrame, model: Model) -> DataFrame:
-    """The rows without their text, with evidence and score."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)  # the weights of clear words and 64^3 numbers
+def with_evidence(rows: DataFrame, model: Model, left_out: str | None = None) -> DataFrame:
+    """The rows without their text, with evidence and score. left_out: the column with a fitted row's own label."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # the words with a weight and 64^3 numbers
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = sent.value
         for batch in batches:
-            evidence = [model.evidence(t) for t in batch["text"]]
+            own = batch[left_out] if left_out else [None] * len(batch)
+            evidence = [model.evidence(t, k) for t, k in zip(batch["text"], own, strict=True)]
             yield batch.drop(columns="text").assign(evidence=np.array(evidence, float),
                                                     score=np.array([model.score(e) for e in evidence], float))
 

@@ -132,6 +132,22 @@ def test_toxicity_held_out(spark, odd, none):
     assert toxicity.toxicity(none, marks).count() == 0
 
 
+def test_toxicity_held_out_with_few_labels(spark):
+    from ranks import auc
+    sf = "/root/testdata/sf0.01"
+    marks = spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.op4_toxicity(spark, sf).where("held_out").join(marks, "doc_id").toPandas()
+    assert auc(got["score"].to_numpy(), got["toxic"].to_numpy()) > 0.9
+    assert got["predicted"].sum() > 0 and got[got["predicted"] == 1]["toxic"].mean() > 0.8
+
+
+def test_word_weights_need_no_number_of_documents():
+    assert toxicity.weight(0, 17, 0.13) > 3 and toxicity.weight(0, 17, 0.001) > 3 and toxicity.weight(0, 17, 0.5) > 3
+    assert 0 < toxicity.weight(0, 3, 0.13) < toxicity.weight(0, 5, 0.13) < toxicity.weight(0, 9, 0.13)
+    assert toxicity.weight(0, 1, 0.13) == toxicity.weight(1, 0, 0.13) == toxicity.weight(87, 13, 0.13) == 0
+    assert toxicity.weight(17, 0, 0.5) == pytest.approx(-toxicity.weight(0, 17, 0.5))
+
+
 def test_lattice_restores_words(spark, docs):
     texts = spark.createDataFrame([(i, "you idiot and stupid people " * 30) for i in range(20)], "doc_id long, text string")
     decoder = toxicity.Decoder(toxicity.trigram_model(toxicity.letter_counts(texts)))
