@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from nearmiss.llm.common import CACHE_ENTRIES, documents, fold, keep_rows, small_batches
 
 PROFILE = 300
+#: Of the misfit limit; fewer known texts than FEW give none.
+MARGIN, SPREADS, FEW = 0.05, 6, 20
 #: Words whose n-grams a worker keeps; a full table takes no more, results never depend on it.
 WORD_ENTRIES = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -165,10 +167,25 @@ def language_id(docs: DataFrame) -> DataFrame:
     return identify(slim, learned)
 
 
-def keep_known(docs: DataFrame, max_misfit: float = 0.97) -> DataFrame:
-    """Documents in a learned language: texts without a letter go, and texts whose n-grams fit no profile."""
-    judge = judged(profiles(training_rows(docs)))
-    return keep_rows(docs, lambda texts: [lang != "und" and misfit <= max_misfit for lang, _, misfit in judge(texts)])
+def misfit_limit(docs: DataFrame, learned: dict[str, np.ndarray]) -> float:
+    """The largest misfit of all rows with a known language plus MARGIN, so that none of them goes; at most SPREADS
+    deviations above their mean, so that a few rows with a wrong language do not lift it to where anything passes.
+    1, which lets every text with a letter pass, when too few rows are known to tell."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("long"), F.lit(True).alias("held_out"), F.col("text").cast("string"))
+    n, largest, mean, spread = identify(known, learned).where("lang_pred != 'und'").agg(
+        F.count(F.lit(1)), F.max("misfit"), F.avg("misfit"), F.stddev_samp("misfit")).first()
+    return min(largest + MARGIN, mean + SPREADS * spread) if n >= FEW else 1.0
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """Documents in a learned language: texts without a letter go, and texts that fit no profile as well as texts of
+    known language do. When no language could be learned, all texts with a letter stay."""
+    learned = profiles(training_rows(docs))
+    if not learned:
+        return keep_rows(docs, lambda texts: [bool(words_of(t)) for t in texts])
+    judge, limit = judged(learned), misfit_limit(docs, learned)
+    return keep_rows(docs, lambda texts: [lang != "und" and misfit <= limit for lang, _, misfit in judge(texts)])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,6 +166,22 @@ def test_language_held_out_and_odd_rows(docs, odd, none):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_language_stage_rejects_what_fits_no_profile(spark, docs):
+    rng = np.random.default_rng(5)
+    junk = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(n)) for n in (60, 300)]
+    finnish = ("Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja "
+               "omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.")
+    texts = [*junk, finnish, "Все люди рождаются свободными и равными в своём достоинстве"]
+    columns = docs.columns
+    more = spark.createDataFrame([(10 ** 6 + i, t, None, "s", len(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long").select(columns)
+    both = docs.unionByName(more)
+    assert {r["doc_id"] for r in language_id.keep_known(both).collect()} == {r["doc_id"] for r in docs.collect()}
+    # nothing to learn from: all texts with a letter are passed on
+    unknown = both.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.keep_known(unknown).count() == both.count()
+
+
 def test_profile_ranks_match_brute_force():
     words = language_id.words_of("the cat and the other cat ate the rat")
     count = Counter()
