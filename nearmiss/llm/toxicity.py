@@ -1,8 +1,9 @@
 """Toxicity through a noisy channel: obfuscated words are restored before they are scored.
 
 A character trigram model counts the letters of all documents. A suspicious word (digits or signs among letters,
-a letter three times in a row, single letters with gaps) becomes a lattice: a sign may stand for letters, a run for
-one or two letters, a gap for nothing. Viterbi decoding takes the path with the best product of model and channel.
+a letter twice or more in a row, single letters with gaps) becomes a lattice: a sign may stand for letters, a run for
+one or two letters, a gap of one sign or more for nothing or a blank, signs at the end for nothing. Viterbi decoding
+takes the path with the best product of model and channel; what it gives is split into words.
 The restored words, and the beginnings of long ones, of at most `fit_rows` labelled training rows, taken by hash order,
 each weigh their smoothed log-odds times how much their counts raise the chance that the word differs between the labels,
 so rare words shrink and no number of documents is a threshold; a document's evidence is the sum over its distinct words.
@@ -16,8 +17,9 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -31,21 +33,25 @@ from nearmiss.llm.common import CACHE_ENTRIES, cut_lineage, documents, fold, lab
 #: What a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a",
          "$": "s", "!": "i", "+": "t", "|": "il", "€": "e", "*": "aeiou"}
-GAPS = ".-_*"
-SIGN_COST, RUN_COST, DOUBLE_COST = math.log(0.4), math.log(0.9), math.log(0.1)
+GAPS = " .-_*"
+#: Signs at a word's end that may also stand for nothing.
+CLOSING = "$@+€"
+SIGN_COST, RUN_COST, DOUBLE_COST, GAP_COST = math.log(0.4), math.log(0.9), math.log(0.1), math.log(0.5)
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xDF, 0xF7), *range(0xF8, 0x100)]))
 SIZE = 64  # 0: a word's edge; 1 to 58: the letters; 63: any other letter
-NUMBER = {c: i + 1 for i, c in enumerate(LETTERS)}
+NUMBER = {c: i + 1 for i, c in enumerate(LETTERS)} | {" ": 0}
 _TABLE = np.zeros(0x300, np.int64)
 for _c, _i in NUMBER.items():
     _TABLE[ord(_c)] = _i
-SPACED = re.compile(r"(?<!\w)(?:[^\W\d_]|[0-9@$!])(?:[ .*_-][^\W_]|[ .*_-][@$!]){2,}(?!\w)")
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_]|[0-9@$!])(?:[ .*_-]+[^\W_]|[ .*_-]+[@$!]){2,}(?![^\W_])")
 TOKEN = re.compile(r"[^\s]+")
 EDGE = "\"'(),.:;?!*&%#|[]{}<>-_=/\\~`"
 #: Signs that start no word; others may stand for its first letter.
 OPENING = "".join(c for c in EDGE if c not in SIGNS)
+#: Parts of texts whose features a worker keeps; a full table takes no more, results never depend on it.
+TOKEN_ENTRIES = 200_000
 STEM = 5  # letters of a word's beginning
-_SUSPECT = re.compile(r"(?=.*[^\W\d_])(?:.*[^\W\d_][.*_-][^\W_].*|.*[0-9@$!+|€*].*|.*([^\W\d_])\1\1.*)")
+_SUSPECT = re.compile(r"(?=.*[^\W\d_])(?:.*[^\W\d_][.*_-]+[^\W_].*|.*[0-9@$!+|€*].*|.*([^\W\d_])\1.*)")
 
 
 def letter_counts(docs: DataFrame) -> np.ndarray:
@@ -79,29 +85,53 @@ def trigram_model(counts: np.ndarray) -> np.ndarray:
     return np.log((tri + 4 * bigram) / (tri.sum(axis=2, keepdims=True) + 4))
 
 
+_DECODED: dict[int, tuple[dict[str, str], dict[str, tuple[str, ...]], list[float]]] = {}
+
+
 @dataclass
 class Decoder:
     model: np.ndarray
 
     def __post_init__(self):
-        self.known: dict[str, str] = {}
+        # what a worker has decoded serves every pass under the same model
+        mark = zlib.crc32(self.model.tobytes())
+        if mark not in _DECODED:
+            _DECODED.clear()
+            _DECODED[mark] = {}, {}, self.model.ravel().tolist()
+        self.known, self.tokens, self.flat = _DECODED[mark]
+
+    def __reduce__(self):
+        return Decoder, (self.model,)
 
     def lattice(self, word: str) -> list[list[tuple[str, float]]]:
         """For each step the strings it may stand for, with the channel's log probability."""
         steps, i = [], 0
         while i < len(word):
             c, j = word[i], i + 1
+            if c in GAPS:
+                while j < len(word) and word[j] in GAPS:
+                    j += 1
+                options = [("", GAP_COST), (" ", GAP_COST)]
+                if word[i:j].strip(" ") == "*" * (j - i):
+                    options += [(v * k, SIGN_COST) for v in SIGNS["*"] for k in {1, min(j - i, 2)}]
+                steps.append(options)
+                i = j
+                continue
             while j < len(word) and word[j] == c:
                 j += 1
             if c in NUMBER or c.isalpha():
                 if j - i >= 3:
                     steps.append([(c, RUN_COST), (c + c, DOUBLE_COST)])
+                elif j - i == 2:
+                    steps.append([(c + c, RUN_COST), (c, DOUBLE_COST)])
+                elif steps and len(steps[-1]) == 1:  # letters that stand for themselves make one step
+                    steps[-1] = [(steps[-1][0][0] + c, steps[-1][0][1])]
                 else:
-                    steps.append([(c * (j - i), 0.0)])
+                    steps.append([(c, 0.0)])
             else:
-                options = [(s * (j - i), SIGN_COST) for s in SIGNS.get(c, "")]
-                if c in GAPS or c == " ":
-                    options.append(("", math.log(0.5)))
+                options = [(s * k, SIGN_COST) for s in SIGNS.get(c, "") for k in sorted({1, min(j - i, 2)})]
+                if c in CLOSING and j == len(word):
+                    options.append(("", GAP_COST))
                 steps.append(options or [("", math.log(0.01))])
             i = j
         return steps
@@ -110,6 +140,7 @@ class Decoder:
         known = self.known.get(word)
         if known is not None:
             return known
+        flat, number = self.flat, NUMBER.get
         states = {(0, 0): (0.0, None)}  # the last two letters to score and path
         for step in self.lattice(word):
             after: dict = {}
@@ -117,14 +148,14 @@ class Decoder:
                 for said, cost in step:
                     x, y, total = a, b, score + cost
                     for c in said:
-                        n = NUMBER.get(c, SIZE - 1)
-                        total += self.model[x, y, n]
+                        n = number(c, SIZE - 1)
+                        total += flat[x << 12 | y << 6 | n]
                         x, y = y, n
                     old = after.get((x, y))
                     if old is None or total > old[0]:
                         after[(x, y)] = total, (path, said)
             states = after
-        (_, _), (_, path) = max(states.items(), key=lambda s: s[1][0] + self.model[s[0][0], s[0][1], 0])
+        (_, _), (_, path) = max(states.items(), key=lambda s: s[1][0] + flat[s[0][0] << 12 | s[0][1] << 6])
         said = []
         while path is not None:
             path, part = path
@@ -136,29 +167,52 @@ class Decoder:
             self.known[word] = out
         return out
 
+    def token(self, word: str) -> list[str]:
+        """The restored words of a text's part without blanks."""
+        core = word.rstrip(EDGE).lstrip(OPENING)
+        if core.isalpha() and core.isascii() and not _RUN.search(core):
+            return [core]
+        if core in self.known or (_SUSPECT.fullmatch(core) and not core.isdigit()):
+            return self.decode(core).split()
+        return [core] if core else []
+
+    def parts(self, text: str | None) -> tuple[set[str], set[str]]:
+        """Words restored from single letters with gaps, and the distinct other parts of the text."""
+        spaced: set[str] = set()
+
+        def gone(found: re.Match) -> str:
+            spaced.update(self.decode(found[0]).split())
+            return " "
+
+        rest = SPACED.sub(gone, (text or "").lower())
+        return spaced, set(rest.split())
+
     def words(self, text: str | None) -> set[str]:
         """Distinct words of the restored text."""
-        text = (text or "").lower()
-        out = {self.decode(m) for m in SPACED.findall(text)}
-        text = SPACED.sub(" ", text)
-        for word in set(text.split()):
-            core = word.rstrip(EDGE).lstrip(OPENING)
-            if core.isalpha() and core.isascii() and not _RUN.search(core):
-                out.add(core)
-            elif core:
-                core = core.rstrip("$")
-                out.add(self.decode(core) if _SUSPECT.fullmatch(core) and not core.isdigit() else core)
-        out.discard("")
+        out, tokens = self.parts(text)
+        for word in tokens:
+            out.update(self.token(word))
         return out
 
     def features(self, text: str | None) -> set[str]:
         """The distinct words and the beginnings of longer ones, which stand for a word with any ending."""
-        words = self.words(text)
-        words.update(["^" + w[:STEM] for w in words if len(w) > STEM])
-        return words
+        spaced, tokens = self.parts(text)
+        out = set(with_beginnings(spaced))
+        for word in tokens:
+            own = self.tokens.get(word)
+            if own is None:
+                own = with_beginnings(self.token(word))
+                if len(word) < 100 and len(self.tokens) < TOKEN_ENTRIES:
+                    self.tokens[word] = own
+            out.update(own)
+        return out
+
+
+def with_beginnings(words: Iterable[str]) -> tuple[str, ...]:
+    return (*words, *("^" + w[:STEM] for w in words if len(w) > STEM))
 
 
-_RUN = re.compile(r"(.)\1\1")
+_RUN = re.compile(r"(.)\1")
 #: Chance, before any count, that a word differs between the labels.
 DIFFER = 0.01
 

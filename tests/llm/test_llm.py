@@ -156,6 +156,20 @@ def test_lattice_restores_words(spark, docs):
     assert decoder.words("Plain words 42") == {"plain", "words", "42"}
 
 
+def test_lattice_restores_gaps_doubles_and_closing_signs(spark):
+    text = "such a stupid person is an idiot and i said hello to the dumbass who is well known "
+    texts = spark.createDataFrame([(i, text * 30) for i in range(20)], "doc_id long, text string")
+    decoder = toxicity.Decoder(toxicity.trigram_model(toxicity.letter_counts(texts)))
+    for said in ("i  d  i  o  t", "i - d - i - o - t", "i--d--i--o--t", "i . d . i . o . t", "idiiot", "iidiot", "id--iot", "1diiot"):
+        assert "idiot" in decoder.words(f"the {said}"), said
+    assert {"a", "stupid", "person"} <= decoder.words("such a s t u p i d person")
+    assert {"i", "stupid"} <= decoder.words("and i s t u p i d")
+    assert {"stupid", "idiot"} <= decoder.words("you s t u p i d i d i o t")
+    assert "stupid" in decoder.words("so stuupid") and "stupid" in decoder.words("so stupid$$$")
+    assert "dumbass" in decoder.words("the dumba$$") and "dumbass" in decoder.words("the dumba$$$")
+    assert decoder.words("said hello, well-known") == {"said", "hello", "well", "known"}
+
+
 def test_language_held_out_and_odd_rows(docs, odd, none):
     got = language_id.language_id(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
     assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
