@@ -65,9 +65,8 @@ def suspects(rows: DataFrame, total: int) -> DataFrame:
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, one row per document."""
-    rows = cut_lineage(fingerprints(docs), "fingerprints")
-    # rows with equal id, length and text differ in their number alone
-    rows = rows.withColumn("number", F.monotonically_increasing_id())
+    # rows with equal id, length and text differ in their number alone, which is stored: a later read may split anew
+    rows = cut_lineage(fingerprints(docs).withColumn("number", F.monotonically_increasing_id()), "fingerprints")
     tested = suspects(rows, rows.count())
     alone = tested.where(~F.col("suspect")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
@@ -91,7 +90,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
                        F.col("doc_id").cast("long").alias("doc_id"),
                        F.length(F.coalesce(text, F.lit(""))).alias("chars"),
                        F.sha2(normal_text(text).cast("binary"), 256).alias("text_sha256"))
-    rows = cut_lineage(rows, "texts").withColumn("number", F.monotonically_increasing_id())
+    rows = cut_lineage(rows.withColumn("number", F.monotonically_increasing_id()), "texts")
     back = [F.col(n).alias(c) for c, n in own.items()]
     tested = suspects(rows, rows.count())
     order = F.struct("chars", F.coalesce(-F.col("doc_id"), F.lit(-(1 << 63))).alias("first"),

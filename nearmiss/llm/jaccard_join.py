@@ -303,7 +303,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     own = {c: f"row_{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()), F.col("text").cast("string").alias("text"),
                        F.col("doc_id").cast("long").alias("own_id"))
-    rows = cut_lineage(rows, "rows").withColumn("doc_id", F.monotonically_increasing_id())
+    # the number is stored: a later read of the rows may split them anew
+    rows = cut_lineage(rows.withColumn("doc_id", F.monotonically_increasing_id()), "rows")
     joined = cut_lineage(jaccard_join(rows.select("doc_id", "text")), "joined")
     ids = rows.select("doc_id", "own_id").join(joined, "doc_id")
     order = F.struct(F.col("own_id").isNull(), F.col("own_id"), F.col("doc_id"))

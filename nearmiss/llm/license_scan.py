@@ -90,7 +90,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     held = bind(words(F.col("text").cast("string")), lambda w: F.struct(w.alias("w"), hits(w).alias("hits")))
     # rows are told apart by number, so equal ids stay apart; the few texts with a hit are stored once
     hit = docs.select(F.col("doc_id").cast("long"), F.explode(F.filter(held, lambda h: F.size(h["hits"]) > 0)).alias("h"))
-    hit = cut_lineage(hit.select("doc_id", "h.w", "h.hits"), "hits").withColumn("row", F.monotonically_increasing_id())
+    hit = cut_lineage(hit.select("doc_id", "h.w", "h.hits").withColumn("row", F.monotonically_increasing_id()), "hits")
     starts = F.array_distinct(F.flatten(F.transform("hits", lambda p: F.transform(
         F.sequence(F.lit(0), F.lit(WINDOW // STRIDE - 1)),
         lambda k: F.greatest(F.floor(p / STRIDE) - k, F.lit(0)).cast("int") * STRIDE))))

@@ -93,9 +93,10 @@ def sequences(docs: DataFrame, tokens: int = TOKENS, path: str | None = None) ->
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Dense numbers over the stored rows: each row's place in its partition plus the rows of earlier partitions.
-    One count a partition reaches the driver."""
-    own = rows.withColumn("own", F.monotonically_increasing_id())
+    """Dense numbers over the rows, whose stored `own` holds each row's part and place in it: the place plus the rows
+    of earlier parts. They do not depend on how the files are split when they are read. One count a part reaches the
+    driver."""
+    own = rows
     part, place = F.shiftright("own", 33), F.col("own").bitwiseAND((1 << 33) - 1)
     counts = own.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
     start, total = {}, 0
@@ -103,18 +104,18 @@ def numbered(rows: DataFrame) -> DataFrame:
         start[r["part"]], total = total, total + r["n"]
     offsets = rows.sparkSession.createDataFrame(list(start.items()) or [(0, 0)], "part long, start long")
     return own.withColumn("part", part).join(F.broadcast(offsets), "part").select(
-        *rows.columns, (F.col("start") + place).alias("number"), F.lit(total).cast("long").alias("total"))
+        *(c for c in rows.columns if c != "own"), (F.col("start") + place).alias("number"), F.lit(total).cast("long").alias("total"))
 
 
 def in_order(rows: DataFrame, key: int = KEY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The stored sequences with slot and shard."""
+    """The stored sequences (with `own`) with slot and shard."""
     def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             total = int(batch["total"].iloc[0]) if len(batch) else 1
             slot = feistel(batch["number"].to_numpy(), total, key)
             yield batch.drop(columns=["number", "total"]).assign(slot=slot, shard=slot // shard_rows)
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "own")
     return numbered(rows).mapInPandas(slots, schema + ", slot long, shard long")
 
 
@@ -148,7 +149,7 @@ def read_record(raw: bytes, record: int, tokens: int = TOKENS) -> np.ndarray:
 def materialise(docs: DataFrame, path: str, key: int = KEY, tokens: int = TOKENS,
                 shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Writes the shards and returns the index: doc_ids, first_token, length, ids_crc32, slot, shard, byte_offset."""
-    rows = cut_lineage(sequences(docs, tokens), "sequences")
+    rows = cut_lineage(sequences(docs, tokens).withColumn("own", F.monotonically_increasing_id()), "sequences")
     write_shards(in_order(rows, key, shard_rows), -(-rows.count() // shard_rows), path, tokens)
     return in_order(rows.drop("packed"), key, shard_rows).select(
         "doc_ids", "first_token", "length", "ids_crc32", "slot", "shard",

@@ -282,6 +282,48 @@ def test_shards_round_trip(spark, docs, odd, none, bytes_tok, tmp_path):
     assert training_order.materialise(none, str(tmp_path / "none"), tokens=64).count() == 0
 
 
+def test_row_numbers_are_stored(spark, docs, tmp_path, monkeypatch):
+    """Each stored intermediate is read with a number that does not depend on how its files are split."""
+    from nearmiss.llm import common
+    many = docs.repartition(7)
+
+    def numbers_in_plan(df):
+        return "monotonically_increasing_id" in df._jdf.queryExecution().optimizedPlan().toString()
+
+    for module in (training_order, exact_dedup, jaccard_join, license_scan):
+        stored = {}
+
+        def keep(df, name, stored=stored):
+            stored[name] = df.columns
+            return common.cut_lineage(df, name)
+
+        monkeypatch.setattr(module, "cut_lineage", keep)
+        if module is training_order:
+            out = training_order.materialise(many, str(tmp_path / "shards"), tokens=64, shard_rows=500)
+            assert "own" in stored["sequences"] and not numbers_in_plan(out)
+        elif module is exact_dedup:
+            assert not numbers_in_plan(exact_dedup.exact_dedup(many)) and not numbers_in_plan(exact_dedup.drop_copies(many))
+            assert "number" in stored["fingerprints"] and "number" in stored["texts"]
+        elif module is jaccard_join:
+            assert not numbers_in_plan(jaccard_join.keep_one(many)) and "doc_id" in stored["rows"]
+        else:
+            license_scan.scan(many)
+            assert "row" in stored["hits"]
+
+
+def test_slots_do_not_depend_on_file_splits(spark, docs):
+    rows = training_order.sequences(docs.repartition(3), tokens=64).withColumn("own", F.monotonically_increasing_id())
+    stored = training_order.cut_lineage(rows, "sequences")
+    said = []
+    for size in ("128m", "20k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            said.append(sorted((r["ids_crc32"], r["slot"]) for r in training_order.in_order(stored).select("ids_crc32", "slot").collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert said[0] == said[1] and sorted(s for _, s in said[0]) == list(range(len(said[0])))
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 17, 1000, 4097):
         assert sorted(training_order.feistel(np.arange(n), n).tolist()) == list(range(n))
