@@ -13,10 +13,6 @@ from nearmiss.operators import reports as rp
 from nearmiss.plans import derived, fixture
 from nearmiss.session import cut_lineage
 
-SMALL_EGO = {"uncertainty_init": (16.0, 64.0), "uncertainty_speed": (4.0, 16.0), "uncertainty_omega": (0.05,), "uncertainty_acc": (4.0,),
-             "max_jerk": (8.0,), "max_yaw_rate_pi": (0.1, 0.5), "max_acc": (9.8,), "max_yaw_acc_pi": (1.0,)}
-SMALL_SUR = {"uncertainty_init": (16.0, 64.0), "uncertainty_pos": (2.0, 8.0), "uncertainty_speed": (8.0,), "max_acc": (9.8,), "max_yaw_rate_pi": (0.2, 1.0)}
-
 
 def rounded(df, columns, digits=6):
     return with_exprs(df, {c: f"round({c}, {digits}) + 0D" for c in columns})
@@ -55,12 +51,12 @@ def drone_tracks(spark, sf_dir):
 
 register("filter_drone_tracks", "K4", lambda s, d: rounded(
     fl.filter_drone_tracks(drone_tracks(s, d)).select("track_id", "frame_id", *fl.OBJECT_STATE), fl.OBJECT_STATE))
-register("search_ego_params", "K5 J9", lambda s, d: rounded(fl.best_params(fl.search_ego_params(ego_frames(s, d), SMALL_EGO)), ["score"], 4))
+register("search_ego_params", "K5 J9", lambda s, d: rounded(fl.best_params(fl.search_ego_params(ego_frames(s, d))), ["score"], 4))
 
 
 def sur_search_job(spark, sf_dir):
     fr = fixture.pairs(spark, sf_dir).selectExpr("event_id", "target_id", "k", "x_sur AS x", "y_sur AS y", "v_sur AS speed_comp")
-    return rounded(fl.search_sur_params(fr, SMALL_SUR), ["score"], 4)
+    return rounded(fl.search_sur_params(fr), ["score"], 4)
 
 
 register("search_sur_params", "K5", sur_search_job)

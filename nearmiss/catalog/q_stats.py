@@ -153,7 +153,7 @@ register("fit_linear_lognormal", "M6 M7", linear_job)
 
 
 def centres_job(spark, sf_dir):
-    model = stt.reference_points(fixture.table(spark, sf_dir, "embeddings"), "embedding", k=16)
+    model = stt.reference_points(fixture.table(spark, sf_dir, "embeddings"), "embedding")
     from pyspark.ml.functions import array_to_vector
     vec = fixture.table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     return model.transform(vec).select("vec_id", F.col("prediction").alias("centre"))
@@ -165,8 +165,8 @@ register("reference_points", "M10", centres_job)
 def attribute_job(spark, sf_dir):
     feats = linear_features(spark, sf_dir)
     mean, log_var = stt.fit_linear_lognormal(feats, COLS)
-    model = stt.reference_points(feats.select(F.array(*COLS).alias("f")), "f", k=16)
-    # the centres are 16 short vectors whatever the data size
+    model = stt.reference_points(feats.select(F.array(*COLS).alias("f")), "f")
+    # the centres are 1,024 short vectors whatever the data size
     out = stt.attribute_intensity(feats, mean, log_var, [list(map(float, c)) for c in model.clusterCenters()], COLS)
     return rounded(out, ["intensity", *[f"{p}_{c}" for c in COLS for p in ("eg", "std")]], 5)
 

@@ -106,3 +106,32 @@ def test_length_gate_counts_measured_rows(spark):
     rows = [(1, 1, k) for k in range(10)] + [(1, 2, 4 * k) for k in range(5)]
     got = fl.long_enough(spark.createDataFrame(rows, "event_id long, target_id long, k long"))
     assert {r["target_id"] for r in got.collect()} == {1}
+
+
+def test_registered_jobs_take_the_full_spaces(spark, monkeypatch):
+    import math
+
+    from nearmiss.catalog import q_filters, q_stats
+    from nearmiss.catalog.registry import load_all
+
+    class Stop(Exception):
+        pass
+
+    def size(frames, space=None, *, default):
+        raise Stop(math.prod(map(len, (space or default).values())))
+
+    def centres(vectors, column, k=1024):
+        raise Stop(k)
+
+    sf, jobs = "/root/testdata/sf0.001", load_all()
+    ego, sur = (f.__defaults__[0] for f in (q_filters.fl.search_ego_params, q_filters.fl.search_sur_params))
+    monkeypatch.setattr(q_filters.fl, "search_ego_params", lambda f, s=None: size(f, s, default=ego))
+    monkeypatch.setattr(q_filters.fl, "search_sur_params", lambda f, s=None: size(f, s, default=sur))
+    monkeypatch.setattr(q_stats.stt, "reference_points", centres)
+    for name, want in {"search_ego_params": 51_200, "search_sur_params": 800, "reference_points": 1024, "attribute_intensity": 1024}.items():
+        try:
+            jobs[name].job(spark, sf)
+        except Stop as said:
+            assert said.args == (want,), name
+        else:
+            raise AssertionError(name)
