@@ -129,8 +129,8 @@ register("fit_binned_lognormal", "M6", binned_job, f"WITH {pairs_sql()}, {BIN} S
 
 def score_binned_job(spark, sf_dir):
     feats = cut_lineage(op.current_features(fixture.pairs(spark, sf_dir)).select("event_id", "target_id", "k", "s", *BINS), "features")
-    model = stt.fit_binned_lognormal(feats, BINS).where("sigma > 0.01")
-    out = stt.score_intensity(stt.apply_binned(feats, model, BINS))
+    model = cut_lineage(stt.fit_binned_lognormal(feats, BINS), "cells")
+    out = stt.score_intensity(stt.apply_binned(feats, model, BINS, narrow=0.01))
     return rounded(out.select("event_id", "target_id", "k", "intensity"), ["intensity"], 4)
 
 

@@ -95,9 +95,21 @@ def fit_binned_lognormal(features: DataFrame, bins: Mapping[str, float]) -> Data
         F.count(F.lit(1)).alias("n"), F.avg("_ls").alias("mu"), F.sqrt(F.var_pop("_ls")).alias("sigma"))
 
 
-def apply_binned(features: DataFrame, model: DataFrame, bins: Mapping[str, float]) -> DataFrame:
+def apply_binned(features: DataFrame, model: DataFrame, bins: Mapping[str, float], narrow: float = 0.0) -> DataFrame:
+    """Every frame with mu and sigma of its cell. Where the cell is unknown or its sigma not above `narrow`, the
+    cells pooled without the last column stand for it, and so on up to all cells together."""
     cells = {f"{c}_bin": F.floor(F.col(c) / F.lit(float(w))).cast("long") for c, w in bins.items()}
-    return features.withColumns(cells).join(model.drop("n"), list(cells), "inner").drop(*cells)
+    names, out = list(cells), features.withColumns(cells)
+    for d in range(len(names), -1, -1):
+        pooled = model.select(*names, "mu", "sigma") if d == len(names) else model.groupBy(*names[:d]).agg(
+            (F.sum(F.col("n") * F.col("mu")) / F.sum("n")).alias("mu"),
+            (F.sum(F.col("n") * (F.col("sigma") ** 2 + F.col("mu") ** 2)) / F.sum("n")).alias("sigma")).withColumn(
+            "sigma", F.sqrt(F.greatest(F.col("sigma") - F.col("mu") ** 2, F.lit(0.0))))
+        wide = pooled.where(F.col("sigma") > narrow).withColumnsRenamed({"mu": f"_mu{d}", "sigma": f"_sigma{d}"})
+        out = out.join(wide, names[:d], "left") if d else out.join(F.broadcast(wide), F.lit(True), "left")
+    own = range(len(names), -1, -1)
+    return out.withColumns({"mu": F.coalesce(*[f"_mu{d}" for d in own]), "sigma": F.coalesce(*[f"_sigma{d}" for d in own])}).drop(
+        *names, *[f"_{c}{d}" for d in own for c in ("mu", "sigma")])
 
 
 def fit_linear_lognormal(features: DataFrame, columns: Sequence[str]) -> tuple[dict[str, float], dict[str, float]]:

@@ -135,3 +135,18 @@ def test_registered_jobs_take_the_full_spaces(spark, monkeypatch):
             assert said.args == (want,), name
         else:
             raise AssertionError(name)
+
+
+def test_binned_scores_keep_every_frame(spark):
+    from nearmiss.operators import stats as stt
+    rows = [(i, 0.5, 0.5, float(5 + i % 7)) for i in range(20)] + [(100 + i, 0.5, 1.5, 8.0) for i in range(3)]  # narrow
+    feats = spark.createDataFrame(rows, "k long, a double, b double, s double")
+    new = spark.createDataFrame([(1, 0.5, 0.5, 6.0), (2, 0.5, 1.5, 8.0), (3, 0.5, 9.0, 8.0), (4, 9.0, 9.0, 8.0), (5, None, 0.5, 8.0)],
+                                feats.schema)
+    model = stt.fit_binned_lognormal(feats, {"a": 1.0, "b": 1.0})
+    got = {r["k"]: r for r in stt.apply_binned(new, model, {"a": 1.0, "b": 1.0}, narrow=0.01).collect()}
+    assert set(got) == {1, 2, 3, 4, 5} and set(got[1].asDict()) == {"k", "a", "b", "s", "mu", "sigma"}
+    logs, every = np.log([r[3] for r in rows[:20]]), np.log([r[3] for r in rows])
+    assert got[1]["mu"] == pytest.approx(logs.mean()) and got[1]["sigma"] == pytest.approx(logs.std())
+    for k in (2, 3, 4, 5):
+        assert got[k]["mu"] == pytest.approx(every.mean()) and got[k]["sigma"] == pytest.approx(every.std())
