@@ -9,6 +9,7 @@ from nearmiss.llm.language_id import op5_language_id
 from nearmiss.llm.license_scan import OP1_SQL, op1_license_scan
 from nearmiss.llm.packing import op9_best_fit_packing
 from nearmiss.llm.quality_rules import op3_quality_rules
+from nearmiss.llm.secret_scan import OP11_SQL, op11_secret_scan
 from nearmiss.llm.token_counts import op2_token_counts
 from nearmiss.llm.toxicity import op4_toxicity
 from nearmiss.llm.training_order import op8_training_order
@@ -24,6 +25,8 @@ QUERIES = {
     "op8_training_order": op8_training_order,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_bpe_pairs": op10_bpe_pairs,
+    "op11_secret_scan": op11_secret_scan,
 }
 
-SQL = {"op1_license_scan": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL}
+SQL = {"op1_license_scan": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL,
+       "op11_secret_scan": OP11_SQL}
