@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from nearmiss.llm.bpe_pairs import op10_bpe_pairs
+from nearmiss.llm.divergence_audit import OP13_SQL, op13_divergence_audit
 from nearmiss.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from nearmiss.llm.filter_audit import OP12_SQL, op12_filter_audit
 from nearmiss.llm.jaccard_join import OP7_SQL, op7_jaccard_join
@@ -28,7 +29,8 @@ QUERIES = {
     "op10_bpe_pairs": op10_bpe_pairs,
     "op11_secret_scan": op11_secret_scan,
     "op12_filter_audit": op12_filter_audit,
+    "op13_divergence_audit": op13_divergence_audit,
 }
 
 SQL = {"op1_license_scan": OP1_SQL, "op6_exact_dedup": OP6_SQL, "op7_jaccard_join": OP7_SQL,
-       "op11_secret_scan": OP11_SQL, "op12_filter_audit": OP12_SQL}
+       "op11_secret_scan": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_divergence_audit": OP13_SQL}
