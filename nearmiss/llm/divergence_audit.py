@@ -1,7 +1,7 @@
 """Source divergence audit by iceberg prefix refinement.
 
 A term of at most `length` bytes is complete at that length; a longer one stands there as its prefix. Level by level
-(2, 4, 8, ... bytes) each task counts, per language, the documents that hold a prefix and, per language and source,
+(4, 8, 16, ... bytes) each task counts, per language, the documents that hold a prefix and, per language and source,
 the documents and occurrences of the terms complete at that level. Prefixes in fewer documents than the threshold
 cannot lead to a kept term and are discarded; only what begins with a kept one is counted at the next level, until no
 prefix is left. Rare terms with rare beginnings so never shuffle. A document lies in one task, so counts of documents
@@ -22,6 +22,7 @@ beyond text, lang and source are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 from nearmiss.llm.common import cut_lineage, documents, small_batches
 
 LEAST_DOCS, TOP, SCALE = 10, 10, 1_000_000_000
-FIRST_PREFIX, FILTER_BITS = 2, 1 << 24
-#: Entries a task holds before it hands them on, and terms a worker remembers.
-HELD = 200_000
+FIRST_PREFIX, FILTER_BITS = 4, 1 << 24
+#: Entries a task holds before it hands them on, and prefixes of a language that a worker remembers.
+HELD = 300_000
 KEYS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("key", pa.binary()), ("complete", pa.bool_()),
                   ("docs", pa.int64()), ("n", pa.int64())])
 SCHEMA = "lang string, source string, key binary, complete boolean, docs long, n long"
@@ -47,68 +48,68 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_TERMS).split()
 
 
-class Standing(dict):
-    """What a term stands for at a level: itself (complete), its prefix, or None (complete before, or discarded)."""
+class Kept(dict):
+    """Whether a prefix of a language may be kept, by the bits of the level before."""
 
-    def __init__(self, lang: str, done: int, length: int, kept: bytes | None):
+    def __init__(self, lang: str, bits: bytes):
         super().__init__()
-        self.lang, self.done, self.length, self.kept = zlib.crc32(lang.encode() + b"\0"), done, length, kept
+        self.lang, self.bits = zlib.crc32(lang.encode() + b"\0"), bits
 
-    def __missing__(self, term: bytes):
-        value = None
-        if len(term) > self.done and (self.kept is None or self.is_kept(term[:self.done])):
-            value = term[:self.length]
+    def __missing__(self, prefix: bytes) -> bool:
+        bit = zlib.crc32(prefix, self.lang) % (8 * len(self.bits))
+        value = self.bits[bit >> 3] >> (bit & 7) & 1 == 1
         if len(self) < HELD:
-            self[term] = value
+            self[prefix] = value
         return value
 
-    def is_kept(self, prefix: bytes) -> bool:
-        bit = zlib.crc32(prefix, self.lang) % (8 * len(self.kept))
-        return self.kept[bit >> 3] >> (bit & 7) & 1 == 1
-
 
 def count_level(done: int, length: int, kept: bytes | None):
-    """Counts of one level. An Arrow function over (lang, source, text)."""
+    """Counts of one level, terms of at most `done` bytes being complete before. An Arrow function over (lang, source, text)."""
+    longer = re.compile(b"[^ ]{%d,}" % (done + 1))
+
     def work(batches):
-        standing, prefixes, docs, times, held = {}, defaultdict(Counter), defaultdict(Counter), defaultdict(Counter), 0
+        known: dict[str, Kept] = {}
+        prefixes, docs, more = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                known = standing.get(lang)
-                if known is None:
-                    known = standing[lang] = Standing(lang, done, length, kept)
-                own, seen, found, often = (lang, source), set(), [], times[lang, source]
-                for term, n in Counter(terms(text)).items():
-                    key = known[term]
-                    if key is not None:
-                        if len(term) <= length:
-                            found.append(key)
-                            often[key] += n
-                        else:
-                            seen.add(key)
-                prefixes[lang].update(seen)
-                docs[own].update(found)
-            held = sum(map(len, prefixes.values())) + sum(map(len, docs.values()))
-            if held > HELD:
-                yield from counted(prefixes, docs, times)
-                prefixes, docs, times = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
-        yield from counted(prefixes, docs, times)
+                if kept is None:
+                    found = Counter(terms(text))
+                    begun = found
+                else:
+                    found = Counter(longer.findall(text.translate(_TERMS)))
+                    if lang not in known:
+                        known[lang] = Kept(lang, kept)
+                    may = known[lang]
+                    begun = [t for t in found if may[t[:done]]]
+                prefixes[lang].update({t[:length] for t in begun if len(t) > length})
+                whole = [t for t in begun if len(t) <= length]
+                docs[lang, source].update(whole)
+                again = more[lang, source]
+                for term in whole:  # most terms occur once in a text
+                    if found[term] > 1:
+                        again[term] += found[term] - 1
+            if sum(map(len, prefixes.values())) + sum(map(len, docs.values())) > HELD:
+                yield from counted(prefixes, docs, more)
+                prefixes, docs, more = defaultdict(Counter), defaultdict(Counter), defaultdict(Counter)
+        yield from counted(prefixes, docs, more)
 
     return work
 
 
-def counted(prefixes, docs, times):
+def counted(prefixes, docs, more):
     for lang, counts in prefixes.items():
-        yield from key_batches(lang, None, counts, None)
+        yield from key_batches(lang, None, counts, {})
     for (lang, source), counts in docs.items():
-        yield from key_batches(lang, source, counts, times[lang, source])
+        yield from key_batches(lang, source, counts, more[lang, source])
 
 
-def key_batches(lang: str, source: str | None, docs: Counter, times: Counter | None, size: int = 10_000):
+def key_batches(lang: str, source: str | None, docs: Counter, more: dict, size: int = 10_000):
+    """Rows of SCHEMA: occurrences are documents and what they hold beyond the first. Prefixes have no source."""
     keys = list(docs)
     for i in range(0, len(keys), size):
         part = keys[i:i + size]
-        columns = [[lang] * len(part), [source] * len(part), part, [times is not None] * len(part),
-                   [docs[k] for k in part], [times[k] if times is not None else 0 for k in part]]
+        columns = [[lang] * len(part), [source] * len(part), part, [source is not None] * len(part),
+                   [docs[k] for k in part], [docs[k] + more.get(k, 0) for k in part]]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, KEYS)], schema=KEYS)
 
 

@@ -4,10 +4,11 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from nearmiss.llm import divergence_audit
-from nearmiss.llm.divergence_audit import Standing, filter_table, kept_terms, terms
+from nearmiss.llm.divergence_audit import count_level, filter_table, kept_terms, terms
 
 LONG = "x" * 70
 ROWS = (
@@ -77,9 +78,10 @@ def test_refinement_keeps_what_counting_every_term_keeps(spark, folder):
 
 def test_rare_beginnings_are_discarded(spark):
     kept = spark.createDataFrame([("en", b"al"), ("en", b"be")], "lang string, key binary")
-    level = Standing("en", 2, 4, filter_table(kept))
-    assert level[b"alpha"] == b"alph" and level[b"bet"] == b"bet" and level[b"al"] is None and level[b"rare"] is None
-    assert Standing("fr", 2, 4, filter_table(kept))[b"alpha"] is None
+    batch = pa.RecordBatch.from_pydict({"lang": ["en", "fr"], "source": ["s", "s"], "text": [b"alpha alpha bet al rare", b"alpha"]})
+    rows = pa.Table.from_batches(count_level(2, 4, filter_table(kept))(iter([batch]))).to_pylist()
+    assert {(r["lang"], r["key"], r["complete"], r["docs"], r["n"]) for r in rows} == {
+        ("en", b"alph", False, 1, 1), ("en", b"bet", True, 1, 1)}
 
 
 def test_empty_table(spark):
