@@ -10,6 +10,7 @@ from nearmiss.functions.numeric import with_exprs
 from nearmiss.operators import clean, filters as fl
 from nearmiss.operators import frames as op
 from nearmiss.operators import reports as rp
+from nearmiss.operators import search as se
 from nearmiss.plans import derived, fixture
 from nearmiss.session import cut_lineage
 
@@ -51,12 +52,12 @@ def drone_tracks(spark, sf_dir):
 
 register("filter_drone_tracks", "K4", lambda s, d: rounded(
     fl.filter_drone_tracks(drone_tracks(s, d)).select("track_id", "frame_id", *fl.OBJECT_STATE), fl.OBJECT_STATE))
-register("search_ego_params", "K5 J9", lambda s, d: rounded(fl.best_params(fl.search_ego_params(ego_frames(s, d))), ["score"], 4))
+register("search_ego_params", "K5 J9", lambda s, d: rounded(se.best_params(se.search_ego_params(ego_frames(s, d))), ["score"], 4))
 
 
 def sur_search_job(spark, sf_dir):
     fr = fixture.pairs(spark, sf_dir).selectExpr("event_id", "target_id", "k", "x_sur AS x", "y_sur AS y", "v_sur AS speed_comp")
-    return rounded(fl.search_sur_params(fr), ["score"], 4)
+    return rounded(se.search_sur_params(fr), ["score"], 4)
 
 
 register("search_sur_params", "K5", sur_search_job)

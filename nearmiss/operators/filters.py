@@ -11,7 +11,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearmiss.functions import fixed_values as fv
@@ -309,141 +309,7 @@ def reconnect_tracks(radar: DataFrame) -> DataFrame:
     return dedupe_keep_first(joined, ["event_id", "target_id", "timestamp"], ["_old"]).drop("_old")
 
 
-# --- parameter search ----------------------------------------------------------------------------
-
-PER_SET = 256   # combinations tried together by one pass over a track
-
-
-def _size(space: Mapping[str, Sequence[float]]) -> int:
-    return int(np.prod([len(v) for v in space.values()]))
-
-
-def _values(name: str, values: Sequence[float]) -> np.ndarray:
-    return np.asarray(values, dtype=float) * (np.pi if name.endswith("_pi") else 1.0)
-
-
-def parameters_of(space: Mapping[str, Sequence[float]], combos: np.ndarray) -> dict[str, np.ndarray]:
-    """Parameter values of numbered combinations: the number written in mixed radix, last name fastest."""
-    out, rest = {}, combos
-    for name, values in reversed(space.items()):
-        out[name.removesuffix("_pi")] = _values(name, values)[rest % len(values)]
-        rest = rest // len(values)
-    return out
-
-
-def parameter_grid(spark: SparkSession, space: Mapping[str, Sequence[float]]) -> DataFrame:
-    """All combinations of the listed values, numbered. Names ending in _pi hold multiples of pi."""
-    exprs, rest = {}, "combo"
-    for name, values in reversed(space.items()):
-        listed = ", ".join(f"{float(v)!r}D" for v in _values(name, values))
-        exprs[name.removesuffix("_pi")] = f"array({listed})[CAST({rest} % {len(values)} AS INT)]"
-        rest = f"({rest} div {len(values)})"
-    return with_exprs(spark.range(_size(space)).withColumnRenamed("id", "combo"), exprs)
-
-
-def _search(rows: DataFrame, keys: Sequence[str], space: Mapping[str, Sequence[float]], make, errors,
-            outputs: Sequence[str]) -> DataFrame:
-    """Error sums per parameter combination and track. A row goes once to every set of combinations;
-    the parameters themselves follow from the set's number."""
-    keys, total = list(keys), _size(space)
-    sets = -(-total // PER_SET)
-    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", combo long" + "".join(f", {o} double" for o in outputs)
-
-    def task(batches):
-        active, combos, slots, sums, state = None, None, {}, None, None
-
-        def results():
-            for key, i in slots.items():
-                yield pd.DataFrame({**{k: key[j] for j, k in enumerate(keys)}, "combo": combos,
-                                    **{o: sums[i, :, c] for c, o in enumerate(outputs)}})
-
-        for pdf in batches:
-            # rows are sorted by set, so one set is active at a time
-            for set_id, part in pdf.groupby("set_id", sort=False):
-                if set_id != active:
-                    yield from results()
-                    combos = np.arange(set_id * PER_SET, min((set_id + 1) * PER_SET, total), dtype=np.int64)
-                    active, slots, sums = set_id, {}, np.zeros((0, len(combos), len(outputs)))
-                    state = _Resumable(keys, make(parameters_of(space, combos)), len(combos))
-                values = errors(part, state.feed(part))
-                at = np.array([slots.setdefault(i, len(slots)) for i in zip(*[part[k].to_numpy() for k in keys])], dtype=int)
-                if len(slots) > len(sums):
-                    sums = np.concatenate([sums, np.zeros((len(slots) - len(sums), *sums.shape[1:]))])
-                np.add.at(sums, at, values)
-        yield from results()
-
-    spread = rows.withColumn("set_id", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
-    placed = spread.repartition(*[F.col(k) for k in keys], F.col("set_id")).sortWithinPartitions("set_id", "idx", *keys)
-    return placed.mapInPandas(task, schema)
-
-
-class _Resumable:
-    """_steps fed one batch at a time."""
-
-    def __init__(self, keys, model, width):
-        self.queue: list[pd.DataFrame] = []
-        self.run = _steps(self._waiting(), keys, model, width)
-
-    def _waiting(self):
-        while self.queue:
-            yield self.queue.pop(0)
-
-    def feed(self, pdf):
-        self.queue.append(pdf)
-        return next(self.run)[1]
-
-
-def search_ego_params(frames: DataFrame, space: Mapping[str, Sequence[float]] = fv.EGO_SEARCH) -> DataFrame:
-    """Score of every parameter combination on the sample frames: the scaled root mean square errors
-    of speed, turn rate and acceleration, each track in its better direction."""
-    outputs = ("fit", "n", "speed", "yaw_rate", "acc")
-
-    def errors(pdf, est):
-        counted = (pdf["raw_speed"].to_numpy() >= 0)[:, None]
-        dv = est[..., 3] - pdf["speed_comp"].to_numpy()[:, None]
-        dw = est[..., 4] - pdf["yaw_rate"].to_numpy()[:, None]
-        da = est[..., 5] - pdf["acc_lon"].to_numpy()[:, None]
-        ones = np.ones_like(dv)
-        return np.stack([(np.abs(dv) + np.abs(dw)) * counted, ones, dv ** 2, dw ** 2, da ** 2], axis=-1)
-
-    runs = None
-    for rev in (False, True):
-        rows = _ego_measurements(frames.select("event_id", "k", "speed_comp", "yaw_rate", "acc_lon"), rev)
-        out = _search(rows, ["event_id"], space, EgoFilter, errors, outputs).withColumn("reverse", F.lit(rev))
-        runs = out if runs is None else runs.unionByName(out)
-    order = F.col("fit") - F.when(~F.col("reverse"), F.col("n") * FORWARD_BONUS).otherwise(0.0)
-    best = runs.groupBy("event_id", "combo").agg(F.min_by(F.struct("n", "speed", "yaw_rate", "acc"), F.struct(order, "reverse")).alias("b"))
-    rmse = {c: F.sqrt(F.sum(f"b.{c}") / F.sum("b.n")) / fv.ERROR_SCALES[c] for c in ("speed", "yaw_rate", "acc")}
-    scores = best.groupBy("combo").agg((rmse["speed"] + rmse["yaw_rate"] + rmse["acc"]).alias("score"))
-    return parameter_grid(frames.sparkSession, space).join(scores, "combo", "inner")
-
-
-def search_sur_params(frames: DataFrame, space: Mapping[str, Sequence[float]] = fv.SUR_SEARCH) -> DataFrame:
-    """Score of every combination on object frames: scaled mean displacement plus scaled speed error."""
-    keys = ["event_id", "target_id"]
-    outputs = ("n", "displacement", "speed")
-
-    def errors(pdf, est):
-        dx = est[..., 0] - pdf["x"].to_numpy()[:, None]
-        dy = est[..., 1] - pdf["y"].to_numpy()[:, None]
-        dv = est[..., 2] - pdf["speed_comp"].to_numpy()[:, None]
-        return np.stack([np.ones_like(dv), np.sqrt(dx ** 2 + dy ** 2), dv ** 2], axis=-1)
-
-    rows = number_rows(frames.select(*keys, "k", "x", "y", "speed_comp"), keys, ["k"], time_chunk())
-    rows = with_exprs(rows, {"dt": "0.1D", "psi0": "0D", "update": "1D"})
-    runs = _search(rows, keys, space, ObjectFilter, errors, outputs)
-    scores = runs.groupBy("combo").agg(
-        (F.sum("displacement") / F.sum("n") / fv.ERROR_SCALES["displacement"]
-         + F.sqrt(F.sum("speed") / F.sum("n")) / fv.ERROR_SCALES["speed"]).alias("score"))
-    return parameter_grid(frames.sparkSession, space).join(scores, "combo", "inner")
-
-
-def best_params(scores: DataFrame) -> DataFrame:
-    """The combination of the lowest score, the first one on a tie."""
-    cols = F.struct(*scores.columns)
-    return scores.agg(F.min_by(cols, F.struct(F.round("score", 4), "combo")).alias("b")).select("b.*")
-
+# --- qualities -----------------------------------------------------------------------------------
 
 def drone_quality(tracks: DataFrame) -> DataFrame:
     """Weighted position and speed error per track on the frames that hold original data."""

@@ -5,6 +5,7 @@ import pytest
 
 from nearmiss.functions import fixed_values as fv
 from nearmiss.operators import filters as fl
+from nearmiss.operators import search as se
 
 
 def ego_rows(event, n, speed, rate):
@@ -86,16 +87,69 @@ def test_search_agrees_with_single_runs(spark):
     rows = [(e, k, float(abs(10 + rnd.normal())), float(rnd.normal(0, 0.05)), float(rnd.normal())) for e in (1, 2) for k in range(60)]
     df = spark.createDataFrame(rows, EGO)
     space = {**{k: (v[0],) for k, v in fv.EGO_SEARCH.items()}, "uncertainty_speed": (2.0, 32.0), "uncertainty_acc": (2.0, 32.0)}
-    scores = fl.search_ego_params(df, space).collect()
+    scores = se.search_ego_params(df, space).collect()
     assert len(scores) == 4
     for row in scores:
         params = {k: row[k] for k in fv.EGO_DEFAULTS}
         single = fl.score_ego(fl.choose_direction(df, params)).first()["score"]
         assert row["score"] == pytest.approx(single, rel=1e-9)
-    best = fl.best_params(fl.search_ego_params(df, space)).first()
+    best = se.best_params(se.search_ego_params(df, space)).first()
     assert round(best["score"], 4) == round(min(r["score"] for r in scores), 4)
 
 
+def test_search_of_an_exact_turn(spark):
+    turn = [(1, k, 10.0, 0.1, 0.0) for k in range(300)]
+    scores = se.search_ego_params(spark.createDataFrame(turn, EGO)).toPandas()
+    assert len(scores) == 51_200 and scores.score.abs().max() < 1e-12
+    best = se.best_params(se.search_ego_params(spark.createDataFrame(turn, EGO))).first()
+    assert best["combo"] == 0 and best["max_yaw_rate"] == pytest.approx(np.pi / 15)
+
+
+def test_search_takes_the_valid_direction(spark):
+    rnd = np.random.default_rng(5)
+    rows = [(1, k, -1.0 if k < 3 else 10 + float(rnd.normal()), 0.01 * k, 0.1) for k in range(60)]
+    rows += [(2, k, -1.0 if k > 57 else 12 + float(rnd.normal()), 0.0, float(rnd.normal())) for k in range(70)]
+    gone = [(3, k, -1.0 if k in (0, 39) else 10.0, 5.0 * (k % 2), 0.0) for k in range(40)]
+    space = {**{k: (v[0],) for k, v in fv.EGO_SEARCH.items()}, "max_jerk": (2.0, 16.0), "max_yaw_acc_pi": (0.2, 2.0)}
+    df = spark.createDataFrame(rows + gone, EGO)
+    for row in se.search_ego_params(df, space).collect():
+        chosen = fl.choose_direction(df, {k: row[k] for k in fv.EGO_DEFAULTS})
+        assert row["score"] == pytest.approx(fl.score_ego(chosen).first()["score"], rel=1e-9)
+    assert se.search_ego_params(df.where("event_id = 3"), space).count() == 0
+    assert se.search_ego_params(df.limit(0), space).count() == 0
+
+
+def test_object_search_agrees_with_single_runs(spark):
+    rnd = np.random.default_rng(9)
+    rows = [(e, t, k, k + float(rnd.normal()), t + float(rnd.normal()), 10 + float(rnd.normal()))
+            for e in (1, 2) for t in (1, 2) for k in range(20 + 15 * t)]
+    df = spark.createDataFrame(rows, "event_id long, target_id long, k long, x double, y double, speed_comp double")
+    space = {**{k: (v[0],) for k, v in fv.SUR_SEARCH.items()}, "uncertainty_pos": (2.0, 32.0), "max_yaw_rate_pi": (0.2, 2.0)}
+    for row in se.search_sur_params(df, space).collect():
+        one = fl.filter_surrounding_tracks(df, {k: row[k] for k in fv.SUR_DEFAULTS}).toPandas()
+        want = (np.hypot(one.x - one.x_ekf, one.y - one.y_ekf).mean() / 5 + np.sqrt(((one.speed_comp - one.v_ekf) ** 2).mean()) / 10)
+        assert row["score"] == pytest.approx(want, rel=1e-9)
+
+
+def test_search_moves_frames_once(spark):
+    df = spark.createDataFrame([(e, k, 10.0, 0.0, 0.0) for e in range(200) for k in range(5)], EGO).repartition(4)
+    sums = se.error_sums(df.withColumn("raw_speed", df.speed_comp), ["event_id"], ["raw_speed", "speed_comp", "yaw_rate", "acc_lon"],
+                         fv.EGO_SEARCH, se.ego_error_sums, ["n", "speed", "yaw_rate", "acc"])
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Exchange hashpartitioning(event_id") == 1
+    assert {r["n"] for r in sums.select("n").distinct().collect()} == {1000.0}
+
+
+def test_blocks_hold_whole_tracks(monkeypatch):
+    import pandas as pd
+    monkeypatch.setattr(se, "BLOCK_ROWS", 30)
+    pdf = pd.DataFrame([(i // 7, "a", float(i)) for i in range(100)] + [(99, "a", float(i)) for i in range(40)], columns=["e", "t", "x"])
+    parts = [pdf[i:i + 11] for i in range(0, len(pdf), 11)]
+    found = list(se.blocks(se.whole_tracks(iter(parts), ["e", "t"], ["x"])))
+    assert sum(len(t) for b in found for t in b) == 140 and [len(b[0]) for b in found if len(b[0]) > 7] == [40]
+    assert all(len(b) == 1 or sum(map(len, b)) < 30 + 7 for b in found)
+
+
 def test_alias_chain(spark):
     edges = spark.createDataFrame([(1, i, i - 1) for i in range(2, 40)] + [(2, 9, 4)], "event_id long, target_id long, parent long")
     got = {(r["event_id"], r["target_id"]): r["parent"] for r in fl.resolve_aliases(edges).collect()}
@@ -124,9 +178,9 @@ def test_registered_jobs_take_the_full_spaces(spark, monkeypatch):
         raise Stop(k)
 
     sf, jobs = "/root/testdata/sf0.001", load_all()
-    ego, sur = (f.__defaults__[0] for f in (q_filters.fl.search_ego_params, q_filters.fl.search_sur_params))
-    monkeypatch.setattr(q_filters.fl, "search_ego_params", lambda f, s=None: size(f, s, default=ego))
-    monkeypatch.setattr(q_filters.fl, "search_sur_params", lambda f, s=None: size(f, s, default=sur))
+    ego, sur = (f.__defaults__[0] for f in (q_filters.se.search_ego_params, q_filters.se.search_sur_params))
+    monkeypatch.setattr(q_filters.se, "search_ego_params", lambda f, s=None: size(f, s, default=ego))
+    monkeypatch.setattr(q_filters.se, "search_sur_params", lambda f, s=None: size(f, s, default=sur))
     monkeypatch.setattr(q_stats.stt, "reference_points", centres)
     for name, want in {"search_ego_params": 51_200, "search_sur_params": 800, "reference_points": 1024, "attribute_intensity": 1024}.items():
         try:
