@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from nearmiss.catalog.fixture_sql import FRAMES, pairs as pairs_sql
 from nearmiss.catalog.q_clean import EVT
-from nearmiss.catalog.q_frames import FEATURE_SQL
+from nearmiss.catalog.q_frames import FEATURE_SQL, PROFILE_SQL
 from nearmiss.catalog.q_reports import STATS, _describe_sql
 from nearmiss.catalog.registry import register
 from nearmiss.functions.numeric import ERFC_COEFFICIENTS, with_exprs
+from nearmiss.operators import attribution as att
 from nearmiss.operators import frames as op
 from nearmiss.operators import stats as stt
 from nearmiss.plans import derived, fixture
+from nearmiss.plans import factors as fc
 from nearmiss.session import cut_lineage
 
 
@@ -67,10 +71,35 @@ cd AS (SELECT event_id, list_concat(list_concat(list_transform(a, lambda x: coal
   list_concat(list_transform(c, lambda x: coalesce(x = surfaceCondition, false)::INT), list_transform(d, lambda x: coalesce(x = trafficDensity, false)::INT))) AS code FROM en, ls)
 SELECT event_id, len(code) AS width, array_to_string(code, '') AS code FROM cd""")
 
-FEATS = ["delta_v", "rho", "psi_sur", "acc_ego"]
-register("feature_std", "A26", lambda s, d: rounded(stt.feature_std(op.current_features(fixture.pairs(s, d)), FEATS), FEATS, 4),
-         f"WITH {pairs_sql()}, {FEATURE_SQL.format(src='pairs')} SELECT " + ", ".join(f"round(stddev_samp({c}), 4) AS {c}" for c in FEATS) + " FROM feat")
-register("perturb", "M5", lambda s, d: rounded(stt.perturb(op.current_features(fixture.pairs(s, d)).select("event_id", "target_id", "k", *FEATS), FEATS), FEATS))
+FEATS = list(op.CURRENT)
+
+
+def all_features(spark, sf_dir):
+    return op.current_features(fixture.pairs(spark, sf_dir, varied_dims=True)).select("event_id", "target_id", "k", *FEATS)
+
+
+register("feature_std", "A26", lambda s, d: rounded(stt.feature_std(all_features(s, d), FEATS), FEATS, 4),
+         f"WITH {pairs_sql(varied_dims=True)}, {FEATURE_SQL.format(src='pairs')} SELECT " + ", ".join(f"round(stddev_samp({c}), 4) AS {c}" for c in FEATS) + " FROM feat")
+register("perturb", "M5", lambda s, d: rounded(stt.perturb(all_features(s, d), FEATS), FEATS))
+
+
+def perturb_bounds_job(spark, sf_dir):
+    """Is every feature moved, by no more than 8 times its share of noise, with angles kept in range?"""
+    feats = all_features(spark, sf_dir)
+    was = feats.select("event_id", "target_id", "k", *(F.col(c).alias(f"was_{c}") for c in FEATS))
+    spread = feats.agg(F.struct(*(F.stddev_samp(c).alias(c) for c in FEATS))).scalar()
+    both = stt.perturb(feats, FEATS).join(was, ["event_id", "target_id", "k"]).withColumn("std", spread)
+    inside, moved = F.lit(True), F.lit(False)
+    for c in FEATS:
+        off = F.abs(F.col(c) - F.col(f"was_{c}"))
+        if c in ("psi_sur", "rho"):
+            off = F.least(off, F.lit(2 * math.pi) - off)
+            inside = inside & (F.col(c) >= -math.pi) & (F.col(c) < math.pi)
+        inside, moved = inside & (off <= 0.08 * F.col(f"std.{c}") + 1e-9), moved | (off > 0)
+    return both.select("event_id", "target_id", "k", inside.alias("inside"), moved.alias("moved"))
+
+
+register("perturb_bounds", "M5", perturb_bounds_job, f"WITH {pairs_sql()} SELECT event_id, target_id, k, true AS inside, true AS moved FROM pairs")
 
 # --- spacing model -------------------------------------------------------------------------------
 
@@ -134,8 +163,15 @@ def score_binned_job(spark, sf_dir):
     return rounded(out.select("event_id", "target_id", "k", "intensity"), ["intensity"], 4)
 
 
-register("score_binned_model", "M6 M7", score_binned_job)
-COLS = ["l_sur", "vy_ego", "vx_sur", "vy_sur", "delta_v", "rho"]
+POOLED = "sum(n * mu) / sum(n) AS mu, sqrt(greatest(sum(n * (sigma * sigma + mu * mu)) / sum(n) - power(sum(n * mu) / sum(n), 2), 0)) AS sigma"
+register("score_binned_model", "M6 M7", score_binned_job, f"""WITH {pairs_sql()}, {BIN},
+pa AS (SELECT delta_v2_bin, {POOLED} FROM bn GROUP BY 1), al AS (SELECT {POOLED} FROM bn),
+sco AS (SELECT event_id, target_id, k, s, CASE WHEN bn.sigma > 0.01 THEN bn.mu WHEN pa.sigma > 0.01 THEN pa.mu ELSE al.mu END AS mu,
+               CASE WHEN bn.sigma > 0.01 THEN bn.sigma WHEN pa.sigma > 0.01 THEN pa.sigma ELSE al.sigma END AS sigma
+        FROM feat LEFT JOIN bn ON bn.delta_v2_bin = CAST(floor(delta_v2 / 400) AS BIGINT) AND bn.acc_ego_bin = CAST(floor(acc_ego / 0.8::DOUBLE) AS BIGINT)
+        LEFT JOIN pa ON pa.delta_v2_bin = CAST(floor(delta_v2 / 400) AS BIGINT), al), {Z}
+SELECT event_id, target_id, k, round(log10(greatest({CNT}, 1)), 4) + 0 AS intensity FROM z""")
+COLS = [c for c in op.CURRENT if c != "acc_ego"]
 
 
 def linear_features(spark, sf_dir):
@@ -152,28 +188,88 @@ def linear_job(spark, sf_dir):
 register("fit_linear_lognormal", "M6 M7", linear_job)
 
 
+def embedding_vectors(spark, sf_dir):
+    return fixture.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+
+
 def centres_job(spark, sf_dir):
-    model = stt.reference_points(fixture.table(spark, sf_dir, "embeddings"), "embedding")
-    from pyspark.ml.functions import array_to_vector
-    vec = fixture.table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    return model.transform(vec).select("vec_id", F.col("prediction").alias("centre"))
+    vectors = embedding_vectors(spark, sf_dir)
+    return att.nearest_centre(vectors, "v", att.mini_batch_centres(vectors, "v"), ["vec_id"])
 
 
 register("reference_points", "M10", centres_job)
 
 
+def nearest_job(spark, sf_dir):
+    """Is no centre nearer than the one a row is given? Distances summed up element by element."""
+    vectors = embedding_vectors(spark, sf_dir)
+    centres = att.mini_batch_centres(vectors, "v")
+    every = spark.createDataFrame([([list(map(float, c)) for c in centres],)], "c array<array<double>>").select("c").scalar()
+    given = att.nearest_centre(vectors, "v", centres, ["vec_id", "v"]).withColumn("c", every)
+    away = "transform(c, p -> aggregate(zip_with(v, p, (a, b) -> (a - b) * (a - b)), 0D, (t, x) -> t + x))"
+    return with_exprs(given, {"d": away}).selectExpr("vec_id", "element_at(d, centre + 1) <= array_min(d) + 1e-9D AS nearest")
+
+
+register("reference_points_nearest", "M10", nearest_job, "SELECT DISTINCT vec_id, true AS nearest FROM embeddings")
+
+
 def attribute_job(spark, sf_dir):
-    feats = linear_features(spark, sf_dir)
-    mean, log_var = stt.fit_linear_lognormal(feats, COLS)
-    model = stt.reference_points(feats.select(F.array(*COLS).alias("f")), "f")
-    # the centres are 1,024 short vectors whatever the data size
-    out = stt.attribute_intensity(feats, mean, log_var, [list(map(float, c)) for c in model.clusterCenters()], COLS)
-    return rounded(out, ["intensity", *[f"{p}_{c}" for c in COLS for p in ("eg", "std")]], 5)
+    """The 21 factors under a model fitted to the scenes, against 1,024 centres of the scenes."""
+    scenes = cut_lineage(fc.scene_vectors(spark, sf_dir), "scenes")
+    mean, log_var = stt.fit_vector_lognormal(scenes, "f")
+    centres = att.mini_batch_centres(scenes, "f")
+    out = att.attribute_intensity(att.enough_tasks(scenes), "f", mean, log_var, centres, fc.positions())
+    return rounded(out, ["intensity", *[f"{p}_{c}" for c in fc.positions() for p in ("eg", "std")]], 5)
 
 
 register("attribute_intensity", "M11", attribute_job)
 
 
+def attribute_fixed_job(spark, sf_dir):
+    out = att.attribute_intensity(fc.scene_vectors(spark, sf_dir), "f", fc.FIXED_MEAN, fc.FIXED_LOG_VAR, fc.FIXED_POINTS, fc.positions())
+    return rounded(out, ["intensity", *[f"{p}_{c}" for c in fc.positions() for p in ("eg", "std")]], 4)
+
+
+def attribute_fixed_sql():
+    """Shares of each factor as lists, then every scene against every reference point and factor."""
+    n, rows = len(fc.CONTEXT), op.HISTORY // len(fc.PASSED)
+
+    def share(weights):
+        at, parts = n + 1, [f"{weights[i + 1]!r} * {c} / {d!r}" for i, (c, d) in enumerate(fc.CONTEXT.items())]
+        for labels, by in fc.SURROUNDINGS.values():
+            parts.append(f"[{', '.join(map(repr, weights[at:at + labels]))}][CAST(event_id // {by} % {labels} + 1 AS INT)]")
+            at += labels
+        for i in range(len(fc.PASSED)):
+            lo = op.HISTORY - rows * (i + 1)
+            parts.append("(" + " + ".join(f"list_dot_product(h_{c}[{lo + 1}:{lo + rows}], [{', '.join(repr(weights[at + len(fc.PROFILE) * r + j] / d) for r in range(lo, lo + rows))}])"
+                                         for j, (c, d) in enumerate(fc.PROFILE.items())) + ")")
+        return "[" + ", ".join(f"CAST({p} AS DOUBLE)" for p in parts) + "]"
+
+    at = fc.positions()
+    points = ", ".join(f"({c}, {g}, {sum(p[i] * fc.FIXED_MEAN[i + 1] for i in own)!r}, {sum(p[i] * fc.FIXED_LOG_VAR[i + 1] for i in own)!r})"
+                       for c, p in enumerate(fc.FIXED_POINTS) for g, own in enumerate(at.values(), 1))
+    num, yaw = (part.strip() for part in PROFILE_SQL.split("prof AS (")[0].rstrip().rstrip(",").split("yaw AS ("))
+    count = CNT
+    lists = ", ".join(f"list({x}) OVER h AS h_{c}" for c, x in (("yaw_ego", "yaw_ego"), ("v_ego", "abs(v_ego)"), ("vx_sur", "pvx"), ("vy_sur", "pvy")))
+    z = "(ln(s) - {m}) / (exp(0.5::DOUBLE * {v}) * sqrt(2))"
+    columns = ", ".join(f"round(max(eg) FILTER (g = {g}), 4) + 0 AS eg_{c}, round(max(sd) FILTER (g = {g}), 4) + 0 AS std_{c}" for g, c in enumerate(at, 1))
+    return f"""WITH {pairs_sql(varied_dims=True)}, {num} yaw AS ({yaw},
+prof AS (SELECT *, {lists} FROM yaw WINDOW h AS (PARTITION BY event_id, target_id ORDER BY k ROWS BETWEEN 25 PRECEDING AND 1 PRECEDING)),
+{FEATURE_SQL.format(src='prof')},
+sh AS MATERIALIZED (SELECT event_id, target_id, k, s, {share(fc.FIXED_MEAN)} AS xm, {share(fc.FIXED_LOG_VAR)} AS xv FROM feat WHERE n >= 30 AND idx >= 26),
+mo AS MATERIALIZED (SELECT *, {fc.FIXED_MEAN[0]} + list_sum(xm) AS mu, {fc.FIXED_LOG_VAR[0]} + list_sum(xv) AS lv FROM sh),
+b0 AS (SELECT *, {z.format(m='mu', v='lv')} AS z FROM mo),
+ba AS MATERIALIZED (SELECT * EXCLUDE (z), log10(greatest({count}, 1)) AS intensity FROM b0),
+rp(c, g, rm, rv) AS (VALUES {points}),
+g0 AS (SELECT event_id, target_id, k, g, intensity, {z.format(m='(mu + rm - xm[g])', v='(lv + rv - xv[g])')} AS z FROM ba, rp),
+ga AS (SELECT event_id, target_id, k, g, any_value(intensity) AS intensity, avg(gain) AS eg, stddev_pop(gain) AS sd
+       FROM (SELECT *, intensity - log10(greatest({count}, 1)) AS gain FROM g0) GROUP BY ALL)
+SELECT event_id, target_id, k, round(any_value(intensity), 4) + 0 AS intensity, {columns} FROM ga GROUP BY ALL"""
+
+
+register("attribute_fixed_model", "M11", attribute_fixed_job, attribute_fixed_sql())
+
+
 def summary_job(spark, sf_dir):
     log = fixture.frames(spark, sf_dir).selectExpr("event_type AS dataset", "track_id % 3 AS run", "k * 1000 + track_id AS epoch", "abs(acc) + 0.001D * kk AS val_loss")
     samples = fixture.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("dataset"), F.expr("user_id div 5 % 3").alias("run")).agg(F.count(F.lit(1)).alias("num_samples"))

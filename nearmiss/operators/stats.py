@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,11 +77,10 @@ def feature_std(features: DataFrame, columns: Sequence[str]) -> DataFrame:
 def perturb(features: DataFrame, columns: Sequence[str], noise: float = 0.01, seed: int = SEED,
             angles: Sequence[str] = ("psi_sur", "rho")) -> DataFrame:
     """Adds noise of the given share of each column's deviation; angles stay in [-pi, pi)."""
-    out = features
-    for i, c in enumerate(columns):
-        std = features.agg(F.stddev_samp(c)).scalar()
-        out = out.withColumn(f"_{c}", F.col(c) + F.lit(noise) * std * F.randn(seed + i))
-    return with_exprs(out, {c: nm.wrap(f"_{c}") if c in angles else f"_{c}" for c in columns}).drop(*[f"_{c}" for c in columns])
+    spread = features.agg(F.struct(*(F.stddev_samp(c).alias(c) for c in columns))).scalar()  # one pass for all columns
+    out = features.withColumn("_std", spread)
+    out = out.withColumns({f"_{c}": F.col(c) + F.lit(noise) * F.col(f"_std.{c}") * F.randn(seed + i) for i, c in enumerate(columns)})
+    return with_exprs(out, {c: nm.wrap(f"_{c}") if c in angles else f"_{c}" for c in columns}).drop("_std", *[f"_{c}" for c in columns])
 
 
 # --- spacing model -------------------------------------------------------------------------------
@@ -105,8 +102,12 @@ def apply_binned(features: DataFrame, model: DataFrame, bins: Mapping[str, float
             (F.sum(F.col("n") * F.col("mu")) / F.sum("n")).alias("mu"),
             (F.sum(F.col("n") * (F.col("sigma") ** 2 + F.col("mu") ** 2)) / F.sum("n")).alias("sigma")).withColumn(
             "sigma", F.sqrt(F.greatest(F.col("sigma") - F.col("mu") ** 2, F.lit(0.0))))
-        wide = pooled.where(F.col("sigma") > narrow).withColumnsRenamed({"mu": f"_mu{d}", "sigma": f"_sigma{d}"})
-        out = out.join(wide, names[:d], "left") if d else out.join(F.broadcast(wide), F.lit(True), "left")
+        wide = pooled.where(F.col("sigma") > narrow)
+        if d:
+            out = out.join(wide.withColumnsRenamed({"mu": f"_mu{d}", "sigma": f"_sigma{d}"}), names[:d], "left")
+        else:  # one row at most: both of its numbers come as one constant
+            out = out.withColumn("_all", wide.select(F.struct("mu", "sigma")).scalar()).withColumns(
+                {"_mu0": F.col("_all.mu"), "_sigma0": F.col("_all.sigma")}).drop("_all")
     own = range(len(names), -1, -1)
     return out.withColumns({"mu": F.coalesce(*[f"_mu{d}" for d in own]), "sigma": F.coalesce(*[f"_sigma{d}" for d in own])}).drop(
         *names, *[f"_{c}{d}" for d in own for c in ("mu", "sigma")])
@@ -116,20 +117,31 @@ def fit_linear_lognormal(features: DataFrame, columns: Sequence[str]) -> tuple[d
     """Two regressions: the log spacing on the features, then the log squared residual on them.
     Returns the weights of the mean and of the log variance; key '' holds the intercept."""
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
 
-    data = VectorAssembler(inputCols=list(columns), outputCol="f").transform(
-        features.withColumn("ls", F.ln(F.greatest("s", F.lit(nm.SMALL)))).select("ls", *columns))
+    data = VectorAssembler(inputCols=list(columns), outputCol="f").transform(features.select("s", *columns))
+    mean, log_var = _two_regressions(data)
+    return {"": mean[0], **dict(zip(columns, mean[1:]))}, {"": log_var[0], **dict(zip(columns, log_var[1:]))}
+
+
+def fit_vector_lognormal(features: DataFrame, column: str) -> tuple[list[float], list[float]]:
+    """The same two regressions on an array column; intercepts first, then the weight of every element."""
+    from pyspark.ml.functions import array_to_vector
+    return _two_regressions(features.select("s", array_to_vector(F.col(column)).alias("f")))
+
 
-    def fit(rows: DataFrame, label: str, out: str):
-        return LinearRegression(featuresCol="f", labelCol=label, predictionCol=out, regParam=1e-6, solver="normal").fit(rows)
+def _two_regressions(rows: DataFrame) -> tuple[list[float], list[float]]:
+    from pyspark.ml.regression import LinearRegression
+
+    def fit(data: DataFrame, label: str, out: str):
+        return LinearRegression(featuresCol="f", labelCol=label, predictionCol=out, regParam=1e-6, solver="normal").fit(data)
 
+    data = rows.select("f", F.ln(F.greatest("s", F.lit(nm.SMALL))).alias("ls"))
     mean = fit(data, "ls", "m")
     squared = mean.transform(data).withColumn("lv", F.ln(F.greatest(F.pow(F.col("ls") - F.col("m"), 2), F.lit(nm.SMALL))))
     var = fit(squared, "lv", "p")
     # the mean of ln of a squared standard normal is -1.2704
-    return ({"": mean.intercept, **dict(zip(columns, map(float, mean.coefficients)))},
-            {"": var.intercept + 1.2703628454614782, **dict(zip(columns, map(float, var.coefficients)))})
+    return ([mean.intercept, *map(float, mean.coefficients)],
+            [var.intercept + 1.2703628454614782, *map(float, var.coefficients)])
 
 
 def linear_text(weights: Mapping[str, float]) -> str:
@@ -170,52 +182,7 @@ def model_inspection(scored: DataFrame) -> DataFrame:
     return describe(with_exprs(scored, {"mode": nm.lognormal_mode("mu", "sigma")}), ["mu", "sigma", "mode"])
 
 
-# --- attribution ---------------------------------------------------------------------------------
-
-def reference_points(vectors: DataFrame, column: str, k: int = 1024, seed: int = SEED):
-    """Cluster centres that stand for the data; k of them, however large the data."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    data = vectors.select(array_to_vector(F.col(column).cast("array<double>")).alias("features"))
-    return KMeans(k=k, seed=seed, maxIter=10, initMode="random").fit(data)
-
-
-def _np_intensity(s, mu, log_var):
-    z = (np.log(np.maximum(s, nm.SMALL)) - mu) / np.sqrt(2 * np.exp(log_var))
-    t = 1 / (1 + 0.5 * np.abs(z))
-    tail = t * np.exp(-z * z + np.polyval(nm.ERFC_COEFFICIENTS[::-1], t))
-    sf = np.clip(0.5 * np.where(z >= 0, tail, 2 - tail), nm.SMALL, 1 - nm.SMALL)
-    return np.log10(np.maximum(np.log(0.5) / np.log(sf), 1.0))
-
-
-def attribute_intensity(
-    frames: DataFrame, mean: Mapping[str, float], log_var: Mapping[str, float], centres: Sequence[Sequence[float]],
-    columns: Sequence[str],
-) -> DataFrame:
-    """Per frame and feature: how much the intensity falls, on average over the reference points, when
-    the feature takes the reference value, and the deviation of that change. Works batch by batch."""
-    ref = np.asarray(centres, dtype=float)
-    b = np.array([mean[c] for c in columns])
-    g = np.array([log_var[c] for c in columns])
-    keys = [c for c in ("event_id", "target_id", "k", "time") if c in frames.columns]
-    types = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["intensity double"]
-                       + [f"eg_{c} double, std_{c} double" for c in columns])
-
-    def task(batches):
-        for pdf in batches:
-            x, s = pdf[list(columns)].to_numpy(float), pdf["s"].to_numpy(float)
-            mu, lv = mean[""] + x @ b, log_var[""] + x @ g
-            base = _np_intensity(s, mu, lv)
-            out = {**{k: pdf[k] for k in keys}, "intensity": base}
-            for i, c in enumerate(columns):
-                step = ref[:, i][None, :] - x[:, i][:, None]
-                gain = base[:, None] - _np_intensity(s[:, None], mu[:, None] + b[i] * step, lv[:, None] + g[i] * step)
-                out[f"eg_{c}"], out[f"std_{c}"] = gain.mean(axis=1), gain.std(axis=1)
-            yield pd.DataFrame(out)
-
-    return frames.select(*keys, "s", *columns).mapInPandas(task, schema)
-
+# --- registry ------------------------------------------------------------------------------------
 
 def dataset_summary(log: DataFrame, samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Registry rows: samples, trimmed validation loss and number of epochs per training run."""

@@ -181,7 +181,7 @@ def test_registered_jobs_take_the_full_spaces(spark, monkeypatch):
     ego, sur = (f.__defaults__[0] for f in (q_filters.se.search_ego_params, q_filters.se.search_sur_params))
     monkeypatch.setattr(q_filters.se, "search_ego_params", lambda f, s=None: size(f, s, default=ego))
     monkeypatch.setattr(q_filters.se, "search_sur_params", lambda f, s=None: size(f, s, default=sur))
-    monkeypatch.setattr(q_stats.stt, "reference_points", centres)
+    monkeypatch.setattr(q_stats.att, "mini_batch_centres", centres)
     for name, want in {"search_ego_params": 51_200, "search_sur_params": 800, "reference_points": 1024, "attribute_intensity": 1024}.items():
         try:
             jobs[name].job(spark, sf)
