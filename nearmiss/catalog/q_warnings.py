@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from nearmiss.catalog import warning_sql as sql
-from nearmiss.catalog.fixture_sql import META, pairs as pairs_sql
+from nearmiss.catalog.fixture_sql import FRAMES, META, pairs as pairs_sql
 from nearmiss.catalog.registry import register
 from nearmiss.functions.numeric import with_exprs
 from nearmiss.operators import indicators as ind
@@ -293,14 +293,34 @@ SELECT event_id, target_id, n, {rsql(['q25', 'median', 'q75'])}, round(vs[lo + 1
 
 
 def quantile_job(spark, sf_dir):
+    """Quartiles of all scores of an event; infinite ones count as the bounds of their event."""
     from nearmiss.operators.tracks import exact_quantiles
-    src = scored.small_scores(spark, sf_dir).where("score < 1e9").withColumn("score", F.expr("score - 20D"))
+    src = scored.small_scores(spark, sf_dir).select("event_id", F.expr("score - 20D").alias("score"))
+    src = wn.bound_infinite(src, ["event_id"], "score")
     return rounded(exact_quantiles(src, ["event_id"], "score", wn.QUARTILES), ["q25", "q50", "q75"])
 
 
-register("exact_quartiles", "A6", quantile_job, f"""{sql.base('small')}
-SELECT event_id, count(*) AS n, {', '.join(f'round(quantile_cont(score - 20, {p}), 6) + 0 AS {n}' for n, p in wn.QUARTILES.items())}
-FROM sc WHERE score < 1e9 GROUP BY 1""")
+register("exact_quartiles", "A6", quantile_job, f"""{sql.base('small')},
+en AS (SELECT event_id, max(score - 20) FILTER (score < 'inf'::DOUBLE) AS top, min(score - 20) FILTER (score > '-inf'::DOUBLE) AS low FROM sc GROUP BY 1),
+bo AS (SELECT event_id, CASE WHEN score = 'inf'::DOUBLE THEN greatest(1e6::DOUBLE, top) WHEN score = '-inf'::DOUBLE THEN least(-1e6::DOUBLE, low) ELSE score - 20 END AS score
+       FROM sc JOIN en USING (event_id))
+SELECT event_id, count(*) AS n, {', '.join(f'round(quantile_cont(score, {p}), 6) + 0 AS {n}' for n, p in wn.QUARTILES.items())}
+FROM bo WHERE score IS NOT NULL GROUP BY 1""")
+
+
+def narrow_job(spark, sf_dir):
+    """Quartiles where all values lie within a millionth, and where they spread over the whole range of doubles."""
+    from nearmiss.operators.tracks import exact_quantiles
+    src = fixture.frames(spark, sf_dir).selectExpr("track_id", "1e-9D * kk * k AS near", "(kk - 50) * pow(10D, k % 600 - 300) AS far")
+    near = exact_quantiles(src, ["track_id"], "near", wn.QUARTILES)
+    far = exact_quantiles(src, ["track_id"], "far", {f"far_{n}": p for n, p in wn.QUARTILES.items()}).drop("n")
+    return near.join(far, "track_id").selectExpr("track_id", "n", *(f"round({n} * 1e9D, 4) AS {n}" for n in wn.QUARTILES), *(
+        f"signum(far_{n}) * round(log10(abs(far_{n})), 4) + 0D AS far_{n}" for n in wn.QUARTILES))
+
+
+register("quartiles_any_range", "A6 A17", narrow_job, f"""WITH {FRAMES},
+q AS (SELECT track_id, count(*) AS n, {', '.join(f'quantile_cont(1e-9::DOUBLE * kk * k, {p}) AS {n}, quantile_cont((kk - 50) * power(10::DOUBLE, k % 600 - 300), {p}) AS far_{n}' for n, p in wn.QUARTILES.items())} FROM fr GROUP BY 1)
+SELECT track_id, n, {', '.join(f'round({n} * 1e9, 4) AS {n}' for n in wn.QUARTILES)}, {', '.join(f"CASE WHEN far_{n} = 0 THEN NULL ELSE sign(far_{n}) * round(log10(abs(far_{n})), 4) + 0 END AS far_{n}" for n in wn.QUARTILES)} FROM q""")
 
 TTI = f"""
 tt AS (SELECT *, impact_time - warning_timestamp / 1000 AS tti FROM recs),

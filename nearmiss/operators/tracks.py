@@ -134,10 +134,30 @@ def running_sum(
     return out.drop("_again")
 
 
-def coarse_value(v: Column, per_octave: int = 1024) -> Column:
-    """Monotone integer bucket of a double: octave of 1+|v| split into equal log steps, sign kept."""
-    step = F.floor(F.log2(F.lit(1.0) + F.abs(v)) * F.lit(float(per_octave))).cast("long")
-    return F.when(v < 0, -step - 1).otherwise(step)
+#: Bits of a double's code that each round of a selection looks at, the highest first.
+DIGITS = (22, 21, 21)
+
+
+def with_code(df: DataFrame, value: str, name: str = "_code") -> DataFrame:
+    """Adds the 64 bits of a double as a long of the same order: sign, exponent, fraction, so values near 0 have codes
+    of their own and infinities lie outside all others. NULL and NaN give NULL; -0.0 and 0.0 are equal."""
+    v = F.col(value).cast("double")
+    # step by step: each column is used several times by the next one
+    df = df.withColumn("_size", F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(None)).otherwise(F.abs(v)))
+    df = df.withColumn("_guess", F.floor(F.log2("_size")))
+    df = df.withColumn("_power", F.pow(F.lit(2.0), F.col("_guess")))
+    # the logarithm rounds, so it may be one off beside a power of two; below 2^-1022 the exponent stands still
+    df = df.withColumn("_e", F.greatest(F.lit(-1022), F.when(F.col("_size") < F.col("_power"), F.col("_guess") - 1)
+                                        .when(F.col("_size") >= F.col("_power") * 2, F.col("_guess") + 1).otherwise(F.col("_guess"))))
+    df = df.withColumn("_part", F.col("_size") / F.pow(F.lit(2.0), F.col("_e")))
+    whole, fraction = F.lit(1 << 52), F.lit(float(1 << 52))
+    bits = (F.when(F.col("_size") == 0, F.lit(0).cast("long"))
+            .when(F.col("_part") >= 1, (F.col("_e") + 1023) * whole + ((F.col("_part") - 1) * fraction).cast("long"))
+            .when(F.col("_part") < 1, (F.col("_part") * fraction).cast("long"))
+            .when(F.abs(v) == float("inf"), F.lit(0x7FF << 52)))
+    df = df.withColumn("_bits", bits)
+    return df.withColumn(name, F.when(v < 0, -F.col("_bits")).otherwise(F.col("_bits"))).drop(
+        "_size", "_guess", "_power", "_e", "_part", "_bits")
 
 
 def exact_quantiles(
@@ -158,42 +178,42 @@ def order_statistics(
 ) -> DataFrame:
     """Values at the given 0-based ranks per key; a rank may depend on the group size n.
 
-    Equal values are counted first, values are counted per log bucket, and only the buckets that
-    hold a wanted rank are ordered. NULL and NaN values are ignored; values must be finite.
+    Radix selection: equal values are counted first; then rows are counted by the leading bits of their code, and only
+    those that share the bits of a wanted rank are counted by the next ones, until all 64 are known. No values are
+    sorted, and no window holds more than 2^22 counts, wherever the values lie. Infinities count as values; NULL and
+    NaN are ignored; a rank outside the group gives NULL.
     """
     keys = list(keys)
-    values = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(value))
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_bucket", coarse_value(F.col("_v")))
-    )
-    buckets = values.groupBy(*keys, "_bucket").agg(F.sum("_c").alias("_bc"))
-    before = _within(keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.withColumns({
-        "_start": F.coalesce(F.sum("_bc").over(before), F.lit(0)),
-        "n": F.sum("_bc").over(_within(keys)),
-    })
-    # ranks may be costly to work out: once per key, on its first bucket, then handed to the others
-    buckets = buckets.withColumns(
-        {f"_f_{name}": F.when(F.col("_start") == 0, rank) for name, rank in ranks.items()})
-    buckets = buckets.withColumns(
-        {f"_r_{name}": F.max(f"_f_{name}").over(_within(keys)) for name in ranks}
-    ).drop(*[f"_f_{name}" for name in ranks])
-    wanted = F.lit(False)
-    for name in ranks:
-        rank = F.col(f"_r_{name}")
-        wanted = wanted | ((rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_bc")))
-    needed = buckets.where(wanted).drop("_bc")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        values.join(needed, [*keys, "_bucket"], "inner")
-        .withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
-        .withColumn("_begin", F.col("_end") - F.col("_c"))
-    )
-    found = [
-        F.max(F.when((F.col(f"_r_{name}") >= F.col("_begin")) & (F.col(f"_r_{name}") < F.col("_end")),
-                     F.col("_v"))).alias(name)
-        for name in ranks]
-    grouped = placed.groupBy(*keys) if keys else placed.groupBy()
-    return grouped.agg(F.max("n").alias("n"), *found)
+    values = (df.where(F.col(value).isNotNull() & ~F.isnan(value))
+              .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
+    values = with_code(values, "_v")
+    known, left = None, 64
+    names = [f"_r_{name}" for name in ranks]
+    for bits in DIGITS:
+        left -= bits
+        prefix = F.shiftright("_code", left) if left else F.col("_code")
+        if known is None:
+            counts = values.withColumn("_prefix", prefix).groupBy(*keys, "_prefix").agg(F.sum("_c").alias("_n"), F.min("_v").alias("_v"))
+            inside = _within(keys)
+            counts = counts.withColumns({"_before": F.lit(0).cast("long"), "n": F.sum("_n").over(inside)})
+        else:
+            rows = values.withColumns({"_prefix": prefix, "_up": F.shiftright("_code", left + bits)})
+            up = known.select(*(F.col(c).alias(f"_k_{c}") for c in keys), F.col("_prefix").alias("_at"), "_before", "n", *names)
+            # null-safe also for the bits: a plain match would push a filter with the whole code below its steps
+            same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys] + [F.col("_up").eqNullSafe(F.col("_at"))]
+            counts = (rows.join(up, same, "inner").groupBy(*keys, "_up", "_prefix")
+                      .agg(F.sum("_c").alias("_n"), F.min("_v").alias("_v"), *(F.first(c).alias(c) for c in ("_before", "n", *names))))
+            inside = Window.partitionBy(*keys, "_up")
+        before = inside.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        if known is None:
+            # ranks may be costly to work out: once per key, on its first count, then handed to the others
+            counts = counts.withColumns({f"_f{c}": F.when(F.col("_before") == 0, rank) for c, rank in zip(names, ranks.values())})
+            counts = counts.withColumns({c: F.max(f"_f{c}").over(inside) for c in names}).drop(*(f"_f{c}" for c in names))
+        held = {c: (F.col(c) >= F.col("_before")) & (F.col(c) < F.col("_before") + F.col("_n")) for c in names}
+        wanted = F.lit(False)
+        for test in held.values():
+            wanted = wanted | test
+        known = counts.where(F.coalesce(wanted, F.lit(False)))
+    found = [F.max(F.when(held[c], F.col("_v"))).alias(name) for c, name in zip(names, ranks)]
+    return known.groupBy(*keys).agg(F.max("n").alias("n"), *found)

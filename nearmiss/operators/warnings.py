@@ -90,6 +90,17 @@ def _candidates(frames: DataFrame, small: bool, ev: list[str]) -> DataFrame:
     )
 
 
+def bound_infinite(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Infinities replaced per key: +inf by the largest of 1e6 and the other values, -inf by the smallest of -1e6 and
+    the others, so that quantiles stay finite."""
+    top, low = F.expr(INF), F.expr(NEG_INF)
+    v = F.nanvl(F.col(value), F.lit(None).cast("double"))
+    ends = rows.groupBy(*keys).agg(F.max(F.when(v != top, v)).alias("_top"), F.min(F.when(v != low, v)).alias("_low"))
+    out = rows.join(ends, list(keys), "inner")
+    return out.withColumn(value, F.when(v == top, F.greatest(F.lit(LARGE), "_top")).when(
+        v == low, F.least(F.lit(-LARGE), "_low")).otherwise(F.col(value))).drop("_top", "_low")
+
+
 def determine_target(scores: DataFrame, meta: DataFrame, small: bool, by: Sequence[str] = ()) -> DataFrame:
     """The conflicting object of each event, with score quartiles before and in the danger window.
 

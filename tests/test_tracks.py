@@ -71,10 +71,29 @@ def test_quantiles_match_numpy(spark):
     assert tr.exact_quantiles(df.where("g = 4"), [], "v", {"m": 0.5}).first()["m"] == pytest.approx(np.median(groups[4]))
 
 
-def test_coarse_value_is_monotone(spark):
-    df = spark.createDataFrame([(x / 7.0,) for x in range(-900, 900)], "v double").withColumn("b", tr.coarse_value(F.col("v")))
-    got = [r["b"] for r in df.orderBy("v").collect()]
-    assert got == sorted(got)
+def test_codes_are_the_bits_of_doubles(spark):
+    import struct
+    rnd = np.random.default_rng(2)
+    values = [0.0, -0.0, float("inf"), float("-inf"), 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308,
+              1.0, 0.9999999999999999, 1.0000000000000002, *(2.0 ** e for e in range(-1074, 1024, 7)), *np.nextafter(2.0 ** np.arange(-1000, 1000, 13), 0),
+              *rnd.normal(0, 1, 500), *(rnd.normal(0, 1, 500) * 10.0 ** rnd.integers(-300, 300, 500))]
+    df = tr.with_code(spark.createDataFrame([(float(v),) for v in values], "v double"), "v", "code")
+    for r in df.collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(r["v"])))[0]
+        assert r["code"] == (-bits if r["v"] < 0 else bits), r["v"]
+    odd = spark.createDataFrame([(None,), (float("nan"),)], "v double")
+    assert tr.with_code(odd, "v", "code").where("code IS NOT NULL").count() == 0
+
+
+def test_selection_over_any_range(spark):
+    rnd = np.random.default_rng(4)
+    groups = {1: 5 + rnd.uniform(0, 1e-6, 999), 2: rnd.normal(0, 1, 400) * 10.0 ** rnd.integers(-300, 300, 400), 3: np.zeros(7),
+              4: np.array([-np.inf, 0.0, 1e-300, 3.0, np.inf, np.inf]), 5: np.array([-1e-310, 1e-310, 2e-310])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs] + [(3, None), (3, float("nan"))], "g int, v double")
+    ranks = {"low": F.lit(0), "mid": F.floor((F.col("n") - 1) / 2), "high": F.col("n") - 1, "beyond": F.col("n")}
+    for r in tr.order_statistics(df, ["g"], "v", ranks).collect():
+        vs = np.sort(groups[r["g"]])
+        assert (r["n"], r["low"], r["mid"], r["high"], r["beyond"]) == (len(vs), vs[0], vs[(len(vs) - 1) // 2], vs[-1], None)
 
 
 def test_unwrap_and_gradient_match_numpy(spark):
