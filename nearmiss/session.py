@@ -55,9 +55,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that cut_lineage wrote, in order.
+_written: list[str] = []
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them back, so a lost executor costs one read."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def tables_written(since: int = 0) -> list[str]:
+    """Folders of the stored tables from the given number on; their number is where the next one stands."""
+    return _written[since:]
+
+
+def drop_tables(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Removes stored tables that nothing reads any more: everything made from them has been stored itself."""
+    jvm = spark.sparkContext._jvm
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table if isinstance(table, str) else table._stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
