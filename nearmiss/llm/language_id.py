@@ -2,7 +2,8 @@
 
 A profile ranks a language's most frequent n-grams over all its training rows; a document's ranking is compared
 with each by the out-of-place distance, and the nearest language wins, ties by name. Null texts and texts without
-a letter are `und` with score 0. Texts are read whole. With nothing to learn from, every text is `und`.
+a letter are `und` with score 0. Texts are read whole, long ones in slices of words. With nothing to learn from, every
+text is `und`. Repeated rows each give their own row; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -10,100 +11,81 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from nearmiss.llm.common import CACHE_ENTRIES, documents, fold, keep_rows, small_batches
+from nearmiss.llm.common import cut_lineage, documents, fold, keep_rows, small_batches
 
 PROFILE = 300
 #: Of the misfit limit; fewer known texts than FEW give none.
 MARGIN, SPREADS, FEW = 0.05, 6, 20
-#: Words whose n-grams a worker keeps; a full table takes no more, results never depend on it.
-WORD_ENTRIES = 150_000
+#: Words whose n-grams are sorted at a time: a long text takes no more memory than this many words do.
+SLICE = 20_000
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = ord("_")
 
 
-def codes_of(word: str) -> np.ndarray:
-    """Codes of a word's n-grams, 21 bits a letter from the left, so that codes sort as the n-grams do."""
-    c = np.frombuffer(f"_{word}_".encode("utf-32-le"), "<u4").astype(np.int64)
-    single = c[1:-1] << 42
-    double = (c[:-1] << 42) | (c[1:] << 21)
-    triple = (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
-    return np.concatenate([single, double, triple])
-
-
-class Grams:
-    """Numbers n-grams as they come, so that counting them is adding up an array."""
-
-    def __init__(self):
-        self.words: dict[str, np.ndarray] = {}
-        self.number: dict[int, int] = {}
-        self.codes = np.zeros(1024, np.int64)
-
-    def of(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is None:
-            known = np.empty(3 * len(word) + 1, np.int32)
-            for i, code in enumerate(codes_of(word).tolist()):
-                n = self.number.get(code)
-                if n is None:
-                    n = self.number[code] = len(self.number)
-                    if n == len(self.codes):
-                        self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
-                    self.codes[n] = code
-                known[i] = n
-            if len(word) < 100 and len(self.words) < WORD_ENTRIES:
-                self.words[word] = known
-        return known
-
-    def counts(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes and counts of the n-grams of counted words."""
-        if len(self.number) > CACHE_ENTRIES:
-            self.__init__()
-        parts = [self.of(w) for w in words]
-        weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-        total = np.bincount(np.concatenate(parts), weight)
-        some = np.flatnonzero(total)
-        return self.codes[some], total[some]
-
-
-_grams = Grams()
-
-
-def ranked(words: dict[str, int], size: int) -> np.ndarray:
+def gram_counts(words: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the n-grams of counted words, sorted by code: 21 bits a letter from the left, so that codes
+    sort as the n-grams do. Words stand in one row with an edge between them; an n-gram with an edge inside is none."""
+    every, parts = words.elements(), []
+    while some := list(islice(every, SLICE)):
+        c = np.frombuffer(("_" + "_".join(some) + "_").encode("utf-32-le"), "<u4").astype(np.int64)
+        inner = c != _EDGE
+        double = (c[:-1] << 42) | (c[1:] << 21)
+        triple = (double[:-1] | c[2:])[inner[1:-1]]
+        parts.append(np.unique(np.concatenate([c[inner] << 42, double, triple]), return_counts=True))
+    return added(parts)
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the same codes added up."""
+    if len(parts) == 1:
+        return parts[0]
+    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    total = np.zeros(len(codes), np.int64)
+    np.add.at(total, at, np.concatenate([n for _, n in parts]))
+    return codes, total
+
+
+def ranked(words: Counter, size: int) -> np.ndarray:
     """Codes of the most frequent n-grams, the most frequent first, ties by the n-gram."""
-    codes, counts = _grams.counts(words)
-    return codes[np.lexsort((codes, -counts))[:size]]
+    codes, counts = gram_counts(words)
+    if len(codes) > size:  # only what can be among the first is put in order
+        some = counts >= np.partition(counts, -size)[-size]
+        codes, counts = codes[some], counts[some]
+    return codes[np.argsort(-counts, kind="stable")[:size]]
 
 
 def words_of(text: str | None) -> Counter:
-    return Counter(w for w in _WORD.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w)))
+    found = Counter(_WORD.findall((text or "").lower()))
+    for w in [w for w in found if not (w.isalpha() or any(map(str.isalpha, w)))]:
+        del found[w]
+    return found
 
 
 def profiles(train: DataFrame, size: int = PROFILE) -> dict[str, np.ndarray]:
     """Each language's ranked n-grams from all rows of `train` (text, lang). At most `size` rows a language
     reach the driver."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            by = defaultdict(Counter)
+            by = defaultdict(list)
             for text, lang in zip(batch["text"], batch["lang"], strict=True):
-                by[lang].update(words_of(text))
-            for lang, words in by.items():
-                total = defaultdict(int)
-                todo = list(words.items())
-                for i in range(0, len(todo), 50_000):
-                    codes, n = _grams.counts(dict(todo[i:i + 50_000]))
-                    for code, c in zip(codes.tolist(), n.tolist(), strict=True):
-                        total[code] += int(c)
-                yield pd.DataFrame({"lang": lang, "gram": list(total), "n": list(total.values())})
+                if words := words_of(text):
+                    by[lang].append(gram_counts(words))
+            for lang, parts in by.items():
+                codes, n = added(parts)
+                yield pd.DataFrame({"lang": lang, "gram": codes, "n": n})
 
     small_batches(train.sparkSession)
-    counted = (train.select("text", "lang").mapInPandas(count, "lang string, gram long, n long")
+    counted = (train.select("text", "lang").mapInPandas(tally, "lang string, gram long, n long")
                .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = (counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)
@@ -167,25 +149,43 @@ def language_id(docs: DataFrame) -> DataFrame:
     return identify(slim, learned)
 
 
-def misfit_limit(docs: DataFrame, learned: dict[str, np.ndarray]) -> float:
+def with_verdict(docs: DataFrame, learned: dict[str, np.ndarray], names: tuple[str, str]) -> DataFrame:
+    """The documents with the language and the misfit of each text under the given names."""
+    judge = judged(learned)
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    at = docs.columns.index("text")
+
+    def work(batches):
+        for batch in batches:
+            said = judge(batch.column(at).to_pylist())
+            columns = [*batch.columns, pa.array([x[0] for x in said], pa.string()), pa.array([x[2] for x in said], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *names])
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(work, schema)
+
+
+def misfit_limit(judged_docs: DataFrame, names: tuple[str, str]) -> float:
     """The largest misfit of all rows with a known language plus MARGIN, so that none of them goes; at most SPREADS
     deviations above their mean, so that a few rows with a wrong language do not lift it to where anything passes.
     1, which lets every text with a letter pass, when too few rows are known to tell."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("doc_id").cast("long"), F.lit(True).alias("held_out"), F.col("text").cast("string"))
-    n, largest, mean, spread = identify(known, learned).where("lang_pred != 'und'").agg(
-        F.count(F.lit(1)), F.max("misfit"), F.avg("misfit"), F.stddev_samp("misfit")).first()
+    pred, misfit = names
+    known = judged_docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col(pred) != "und"))
+    n, largest, mean, spread = known.agg(F.count(F.lit(1)), F.max(misfit), F.avg(misfit), F.stddev_samp(misfit)).first()
     return min(largest + MARGIN, mean + SPREADS * spread) if n >= FEW else 1.0
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """Documents in a learned language: texts without a letter go, and texts that fit no profile as well as texts of
-    known language do. When no language could be learned, all texts with a letter stay."""
+    known language do. When no language could be learned, all texts with a letter stay. Texts are judged once and
+    stored with what was found; extra columns are kept, whatever their names."""
     learned = profiles(training_rows(docs))
     if not learned:
         return keep_rows(docs, lambda texts: [bool(words_of(t)) for t in texts])
-    judge, limit = judged(learned), misfit_limit(docs, learned)
-    return keep_rows(docs, lambda texts: [lang != "und" and misfit <= limit for lang, _, misfit in judge(texts)])
+    names = tuple(next(n for i in count() if (n := f"{name}_{i}") not in docs.columns) for name in ("pred", "misfit"))
+    stored = cut_lineage(with_verdict(docs, learned, names), "judged")
+    limit = misfit_limit(stored, names)
+    return stored.where((F.col(names[0]) != "und") & (F.col(names[1]) <= limit)).drop(*names)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
