@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearmiss.llm.common import CACHE_ENTRIES, cut_lineage, documents
+from nearmiss.session import drop_tables, tables_written
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
 #: 32 bands of 4 values: a pair at 0.8 shares a band with a probability of 1 - 5e-8.
@@ -127,7 +128,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     now = cut_lineage(now, name)
     mark = None
     while True:
-        now = cut_lineage(star(star(now, True), False), name)
+        last, now = now, cut_lineage(star(star(now, True), False), name)
+        drop_tables(edges.sparkSession, last)
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if tuple(seen) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
@@ -222,6 +224,10 @@ def links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Da
     # the values of equal sets are equal: any row's do
     unique = sketch.where("set_hash is not null").groupBy("set_hash").agg(F.first("values").alias("values"))
     unique = cut_lineage(unique.withColumn("node", F.xxhash64("set_hash")), "unique")
+    members = cut_lineage(sketch.select("doc_id", "set_hash"), "members")
+    name = cut_lineage(unique.select("node", "set_hash").join(low, "set_hash").select("node", "class_id", "set_hash"), "names")
+    # a table goes once all that is made from it stands
+    drop_tables(docs.sparkSession, sketch)
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(
         k, F.substring(F.col("values"), k * F.lit(4 * PER_BAND) + 1, F.lit(4 * PER_BAND))))
     keys = unique.select("node", F.explode(bands).alias("band"))
@@ -249,6 +255,7 @@ def links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Da
     coded = holder.select(*names, "text").mapInPandas(add_codes, schema)
     hashed = coded.where(F.length("codes") > 0).withColumn("own", F.xxhash64("codes"))
     coded = cut_lineage(hashed.dropDuplicates(["node", "own"]), "codes")
+    drop_tables(docs.sparkSession, unique, low)
     single = coded.where("blocks = 1").withColumn("part", F.lit("0")).withColumn("side", F.lit(0))
     # block i meets every block j >= i; a row goes to as many tasks as its group has blocks
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
@@ -273,10 +280,8 @@ def links(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame, Da
     # small groups share tasks by Spark's hashing of the group's key
     found = single.unionByName(split).groupBy("component", "part").applyInPandas(compare, "a long, b long, n long")
     found = cut_lineage(found, "links")
-    name = unique.select("node", "set_hash").join(low, "set_hash").select("node", "class_id", "set_hash")
-    name = cut_lineage(name, "names")
+    drop_tables(docs.sparkSession, coded)
     counts = (found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links")))
-    members = sketch.select("doc_id", "set_hash")
     classes = name.join(counts, "node", "left").select("node", "set_hash", "class_id",
                                                        F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
     return members, classes, found.where("a != b").select("a", "b")
@@ -301,12 +306,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first by text. Documents without words stay. A row's own number stands for its id, so ids may repeat or be
     null."""
     own = {c: f"row_{i}" for i, c in enumerate(docs.columns)}
-    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()), F.col("text").cast("string").alias("text"),
-                       F.col("doc_id").cast("long").alias("own_id"))
-    # the number is stored: a later read of the rows may split them anew
+    # the number is stored: a later read of the rows may split them anew. Each column is stored once
+    rows = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
     rows = cut_lineage(rows.withColumn("doc_id", F.monotonically_increasing_id()), "rows")
-    joined = cut_lineage(jaccard_join(rows.select("doc_id", "text")), "joined")
-    ids = rows.select("doc_id", "own_id").join(joined, "doc_id")
+    text = F.col(own["text"]).cast("string").alias("text")
+    before = len(tables_written())
+    joined = cut_lineage(jaccard_join(rows.select("doc_id", text)), "joined")
+    drop_tables(docs.sparkSession, *tables_written(before)[:-1])
+    ids = rows.select("doc_id", F.col(own["doc_id"]).cast("long").alias("own_id")).join(joined, "doc_id")
     order = F.struct(F.col("own_id").isNull(), F.col("own_id"), F.col("doc_id"))
     best = ids.groupBy("component_id").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("doc_id"))
     return rows.join(best, "doc_id", "left_semi").select(*(F.col(n).alias(c) for c, n in own.items()))
