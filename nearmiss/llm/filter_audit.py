@@ -32,6 +32,8 @@ LETTERS = "ABCDE"
 COPY = 1 << 4
 #: Bytes of text in a trie of a reading task, and about as many in a range partition.
 TRIE_BYTES = 32 << 20
+#: A prefix is heavy that holds more than a quarter of a range, or one part in HEAVY_SHARE of all texts.
+HEAVY_SHARE = 256
 #: Heavy prefixes of a level, 16 bytes each.
 HEAVY_ROWS = 1 << 20
 FIRST_PREFIX, HEAD = 4, 64
@@ -180,7 +182,7 @@ def prefix_hash(length: int) -> Column:
 def by_prefix(rows: DataFrame, range_bytes: int) -> DataFrame:
     """Rows range-partitioned by the shortest prefix that is not heavy."""
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    heavy = max(range_bytes // 4, total // HEAVY_ROWS)
+    heavy = max(min(range_bytes // 4, total // HEAVY_SHARE), total // HEAVY_ROWS)
     length, level, dealt = FIRST_PREFIX, rows.select("text"), rows.withColumn("depth", F.lit(FIRST_PREFIX))
     while True:
         found = cut_lineage(
