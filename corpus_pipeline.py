@@ -66,7 +66,7 @@ STAGES = [
     ("best_fit_packing", packing_stage),
 ]
 
-#: An isolation forest and a greedy packing are no SQL; tests/llm compare with a brute-force version.
+#: An isolation forest and a greedy packing are no SQL; tests/llm/test_pipeline.py compares run() with its stages.
 ORACLE_SQL = None
 
 
