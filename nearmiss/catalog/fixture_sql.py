@@ -61,3 +61,13 @@ def clean(columns: list[str], digits: int = 6) -> str:
         parts.append(f"CASE WHEN isfinite({c}) THEN round({c}, {digits}) + 0 END AS {c}")
         parts.append(f"CASE WHEN {c} = 'inf'::DOUBLE THEN 1 WHEN {c} = '-inf'::DOUBLE THEN -1 ELSE 0 END AS {c}_inf")
     return ", ".join(parts)
+
+# reconnection of radar targets; needs ra (event_id, target_id, k, local_dx, local_dy)
+EDGES = """
+fst AS (SELECT event_id, target_id, count(*) AS n, min(k) AS k, arg_min(local_dx, k) AS dx, arg_min(local_dy, k) AS dy FROM ra GROUP BY ALL HAVING count(*) >= 2),
+st AS (SELECT * FROM fst WHERE target_id > (SELECT min(target_id) FROM fst f WHERE f.event_id = fst.event_id)),
+cd AS (SELECT st.event_id, st.target_id, ra.target_id AS parent, sqrt(power(ra.local_dx - dx, 2) + power(ra.local_dy - dy, 2)) AS d
+       FROM st JOIN ra ON ra.event_id = st.event_id AND ra.k BETWEEN st.k - 2 AND st.k + 2 AND ra.target_id < st.target_id),
+ed AS (SELECT event_id, target_id, arg_min(parent, struct_pack(d := d, p := parent)) AS parent FROM cd GROUP BY ALL HAVING min(d) <= 0.5)"""
+ROOTS = """walk AS (SELECT event_id, target_id, parent FROM ed UNION ALL SELECT w.event_id, w.target_id, ed.parent FROM walk w JOIN ed ON ed.event_id = w.event_id AND ed.target_id = w.parent),
+root AS (SELECT event_id, target_id, min(parent) AS root FROM walk GROUP BY 1, 2)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nearmiss.catalog.fixture_sql import FRAMES, pairs as pairs_sql
+from nearmiss.catalog.fixture_sql import EDGES, FRAMES, ROOTS, pairs as pairs_sql
 from nearmiss.catalog.registry import register
 from nearmiss.functions import fixed_values as fv
 from nearmiss.functions.numeric import with_exprs
@@ -62,12 +62,20 @@ lens AS (SELECT event_id, CASE WHEN event_id % 11 = 4 THEN NULL ELSE 4.5 END AS
          FROM (SELECT event_id FROM ids UNION ALL SELECT event_id + 1000000 FROM ids WHERE event_id % 7 = 0))"""
 
 
+TARGETS = f"""ra AS (SELECT *, dense_rank() OVER (ORDER BY event_id, raw_id) - 1 AS target_id FROM radar), {EDGES}, {ROOTS},
+rt AS (SELECT DISTINCT event_id, coalesce(root, target_id) AS target_id, k FROM ra LEFT JOIN root USING (event_id, target_id))"""
+
+
+def targets(telemetry):
+    return cut_lineage(cl.global_target_ids(cl.radar_to_rows(telemetry)), "radar")
+
+
 def gate_job(spark, sf_dir):
     tel = cut_lineage(derived.telemetry(spark, sf_dir), "telemetry")
-    return cl.signal_gate(tel, derived.ego_lengths(spark, sf_dir), cl.radar_to_rows(tel))
+    return cl.signal_gate(tel, derived.ego_lengths(spark, sf_dir), targets(tel))
 
 
-register("signal_gate", "P5 P7", gate_job, f"""WITH {TEL}, {LENGTHS},
+register("signal_gate", "P5 P7", gate_job, f"""WITH RECURSIVE {TEL}, {LENGTHS}, {TARGETS},
 f AS (SELECT event_id, min(k) AS k0 FROM ego WHERE speed_comp IS NOT NULL AND acc_lat IS NOT NULL AND acc_lon IS NOT NULL GROUP BY 1),
 tr AS (SELECT ego.* FROM ego JOIN f USING (event_id) WHERE k >= k0),
 ends AS (SELECT event_id, min(k) AS a, max(k) AS b FROM tr GROUP BY 1),
@@ -78,22 +86,37 @@ gs AS (SELECT g.event_id, g.k, arg_max(p.speed_comp, p.k) FILTER (p.k <= g.k) AS
 gi AS (SELECT event_id, k, CASE WHEN y0 IS NULL THEN y1 WHEN y1 IS NULL THEN y0 ELSE y0 + (y1 - y0) / (x1 - x0) * (k - x0) END AS sp,
               row_number() OVER (PARTITION BY event_id ORDER BY k) AS r1, row_number() OVER (PARTITION BY event_id ORDER BY k DESC) AS r2 FROM gs),
 ev2 AS (SELECT event_id, bool_and(sp >= 0) FILTER (r1 <= 5) AS vs, bool_and(sp >= 0) FILTER (r2 <= 5) AS ve FROM gi GROUP BY 1),
-st AS (SELECT event_id, count(speed) AS ns, count(ax) AS nx, count(ay) AS ny, count(gyro) AS ng FROM tel GROUP BY 1),
+sn AS (SELECT event_id, count(speed) AS ns, count(ax) AS nx, count(ay) AS ny, count(gyro) AS ng FROM tel GROUP BY 1),
 mv AS (SELECT event_id, count(*) FILTER (NOT coalesce(speed_comp <= 1e-6, false)) AS nm FROM tr GROUP BY 1),
-lg AS (SELECT event_id, max(n) AS longest FROM (SELECT event_id, raw_id, count(*) AS n FROM radar GROUP BY ALL) GROUP BY 1),
-al AS (SELECT * FROM lens LEFT JOIN st USING (event_id) LEFT JOIN mv USING (event_id) LEFT JOIN ev2 USING (event_id) LEFT JOIN lg USING (event_id)),
-nt AS (SELECT event_id, CASE WHEN ns IS NULL THEN 'file reading error' WHEN ns = 0 THEN 'all nan ego speed' WHEN nx = 0 OR ny = 0 THEN 'all nan acceleration'
+lg AS (SELECT event_id, max(n) AS longest FROM (SELECT event_id, target_id, count(*) AS n FROM rt JOIN ends USING (event_id) WHERE k >= a AND k < b GROUP BY ALL) GROUP BY 1),
+rn AS (SELECT event_id, count(*) AS n_radar FROM radar GROUP BY 1),
+rc AS (SELECT event_id, 'Targets dict_keys([' || string_agg(target_id, ', ' ORDER BY target_id) || ']) are reconnected to dict_values(['
+              || string_agg(parent, ', ' ORDER BY target_id) || '])' AS reconnected FROM ed GROUP BY 1),
+al AS (SELECT * FROM lens LEFT JOIN sn USING (event_id) LEFT JOIN mv USING (event_id) LEFT JOIN ev2 USING (event_id) LEFT JOIN lg USING (event_id)
+       LEFT JOIN rn USING (event_id) LEFT JOIN rc USING (event_id)),
+nt AS (SELECT event_id, reconnected, CASE WHEN ns IS NULL THEN 'file reading error' WHEN ns = 0 THEN 'all nan ego speed' WHEN nx = 0 OR ny = 0 THEN 'all nan acceleration'
   WHEN ng = 0 THEN 'all nan yaw rate' WHEN nm = 0 THEN 'all zero ego speed' WHEN NOT coalesce(vs OR ve, false) THEN 'start&end speed not available'
-  WHEN longest IS NULL THEN 'no available surrounding trajectories' WHEN ego_length IS NULL THEN 'no ego width or length'
-  WHEN longest < 10 THEN 'no long enough surrounding trajectories' END AS note FROM al)
-SELECT event_id, CAST(note IS NULL OR note LIKE 'no %' AS INT) AS ego_reconstructed, CAST(note IS NULL AS INT) AS surrounding_reconstructed, note FROM nt""")
+  WHEN n_radar IS NULL THEN 'no available surrounding trajectories' WHEN ego_length IS NULL THEN 'no ego width or length'
+  WHEN coalesce(longest, 0) < 10 THEN 'no long enough surrounding trajectories' END AS note FROM al)
+SELECT event_id, CAST(note IS NULL OR note LIKE 'no %' AS INT) AS ego_reconstructed, CAST(note IS NULL AS INT) AS surrounding_reconstructed,
+  coalesce(note, reconnected) AS note FROM nt""")
+
 
-register("nan_fraction_gate", "P6 A4", lambda s, d: cl.nan_fraction_gate(
-    derived.telemetry(s, d), cl.radar_to_rows(derived.telemetry(s, d)), derived.ego_lengths(s, d)), f"""WITH {TEL}, {LENGTHS},
+def search_gate_job(spark, sf_dir):
+    tel = cut_lineage(derived.telemetry(spark, sf_dir), "telemetry")
+    return cl.nan_fraction_gate(tel, targets(tel), derived.ego_lengths(spark, sf_dir))
+
+
+register("nan_fraction_gate", "P6 A4", search_gate_job, f"""WITH RECURSIVE {TEL}, {LENGTHS}, {TARGETS},
+f AS (SELECT event_id, min(k) AS k0 FROM ego WHERE speed_comp IS NOT NULL AND acc_lat IS NOT NULL AND acc_lon IS NOT NULL GROUP BY 1),
+tr AS (SELECT event_id, speed_comp, row_number() OVER (PARTITION BY event_id ORDER BY k) AS r1, row_number() OVER (PARTITION BY event_id ORDER BY k DESC) AS r2
+       FROM ego JOIN f USING (event_id) WHERE k >= k0),
 e AS (SELECT event_id FROM tel GROUP BY 1 HAVING avg((speed IS NULL)::INT) <= 0.2 AND avg((ax IS NULL)::INT) <= 0.2 AND avg((ay IS NULL)::INT) <= 0.2
-      AND avg((gyro IS NULL)::INT) <= 0.2 AND count(*) FILTER (speed / 3.6 > 1e-6) > 0),
-l AS (SELECT event_id, max(n) AS longest FROM (SELECT event_id, raw_id, count(*) AS n FROM radar GROUP BY ALL) GROUP BY 1)
-SELECT event_id, longest FROM e JOIN l USING (event_id) JOIN lens USING (event_id) WHERE ego_length IS NOT NULL AND longest >= 20""")
+      AND avg((gyro IS NULL)::INT) <= 0.2),
+mo AS (SELECT event_id FROM tr GROUP BY 1 HAVING bool_or(coalesce(speed_comp > 1e-6, true))
+       AND (bool_and(coalesce(speed_comp >= 0, false)) FILTER (r1 <= 5) OR bool_and(coalesce(speed_comp >= 0, false)) FILTER (r2 <= 5))),
+l AS (SELECT event_id, max(n) AS longest FROM (SELECT event_id, target_id, count(*) AS n FROM rt GROUP BY ALL) GROUP BY 1)
+SELECT event_id, longest FROM e JOIN mo USING (event_id) JOIN l USING (event_id) JOIN lens USING (event_id) WHERE ego_length IS NOT NULL AND longest >= 20""")
 
 register("edge_speed_valid", "P7", lambda s, d: cl.edge_speed_valid(cl.ego_signals(derived.telemetry(s, d))), f"""WITH {TEL},
 r AS (SELECT event_id, coalesce(speed_comp >= 0, false) AS ok, row_number() OVER (PARTITION BY event_id ORDER BY k) AS a, row_number() OVER (PARTITION BY event_id ORDER BY k DESC) AS b FROM ego)

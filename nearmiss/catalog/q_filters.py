@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from nearmiss.catalog.fixture_sql import FRAMES
+from nearmiss.catalog.fixture_sql import EDGES, FRAMES, ROOTS
 from nearmiss.catalog.registry import register
 from nearmiss.functions.numeric import with_exprs
 from nearmiss.operators import clean, filters as fl
@@ -38,7 +38,7 @@ register("choose_direction", "K2", lambda s, d: rounded(
 
 def object_frames(spark, sf_dir):
     ego = cut_lineage(fl.choose_direction(ego_frames(spark, sf_dir)), "ego")
-    sur = fl.attach_ego_pose(radar(spark, sf_dir), ego, derived.ego_lengths(spark, sf_dir).where("ego_length IS NOT NULL"))
+    sur = fl.attach_ego_pose(fl.reconnect_tracks(radar(spark, sf_dir)), ego, derived.ego_lengths(spark, sf_dir).where("ego_length IS NOT NULL"))
     return op.regrid_interpolate(fl.long_enough(cut_lineage(sur, "objects")), ["event_id", "target_id"], ["x", "y", "speed_comp"])
 
 
@@ -85,20 +85,13 @@ rd AS (
          10 * i + CAST(0.02 AS DOUBLE) * k + CASE WHEN i = 3 THEN 5 * (k // 60) ELSE 0 END AS local_dy
   FROM fr, (VALUES (1), (2), (3)) t(i) WHERE track_id % 13 <> 10 AND (kk + i) % 5 > 0),
 ra AS (SELECT *, dense_rank() OVER (ORDER BY event_id, raw_id) - 1 AS target_id FROM rd)"""
-EDGES = """
-fst AS (SELECT event_id, target_id, count(*) AS n, min(k) AS k, arg_min(local_dx, k) AS dx, arg_min(local_dy, k) AS dy FROM ra GROUP BY ALL HAVING count(*) >= 2),
-st AS (SELECT * FROM fst WHERE target_id > (SELECT min(target_id) FROM fst f WHERE f.event_id = fst.event_id)),
-cd AS (SELECT st.event_id, st.target_id, ra.target_id AS parent, sqrt(power(ra.local_dx - dx, 2) + power(ra.local_dy - dy, 2)) AS d
-       FROM st JOIN ra ON ra.event_id = st.event_id AND ra.k BETWEEN st.k - 2 AND st.k + 2 AND ra.target_id < st.target_id),
-ed AS (SELECT event_id, target_id, arg_min(parent, struct_pack(d := d, p := parent)) AS parent FROM cd GROUP BY ALL HAVING min(d) <= 0.5)"""
 register("reconnect_edges", "W3", lambda s, d: fl.reconnect_edges(radar(s, d)), f"WITH {RADAR}, {EDGES} SELECT event_id, target_id, parent FROM ed")
 register("reconnect_closure", "W3", lambda s, d: fl.resolve_aliases(fl.reconnect_edges(radar(s, d))), f"""WITH RECURSIVE {RADAR}, {EDGES},
 walk AS (SELECT event_id, target_id, parent FROM ed UNION ALL SELECT w.event_id, w.target_id, ed.parent FROM walk w JOIN ed ON ed.event_id = w.event_id AND ed.target_id = w.parent)
 SELECT event_id, target_id, min(parent) AS parent FROM walk GROUP BY 1, 2""")
 register("reconnect_tracks", "W3 P3", lambda s, d: fl.reconnect_tracks(radar(s, d)).select("event_id", "target_id", "timestamp"), f"""
 WITH RECURSIVE {RADAR}, {EDGES},
-walk AS (SELECT event_id, target_id, parent FROM ed UNION ALL SELECT w.event_id, w.target_id, ed.parent FROM walk w JOIN ed ON ed.event_id = w.event_id AND ed.target_id = w.parent),
-root AS (SELECT event_id, target_id, min(parent) AS root FROM walk GROUP BY 1, 2)
+{ROOTS}
 SELECT DISTINCT event_id, coalesce(root, target_id) AS target_id, k * 100 AS timestamp FROM ra LEFT JOIN root USING (event_id, target_id)""")
 
 

@@ -126,10 +126,11 @@ SELECT 'm' || (target_id % 10) AS model, event_id, arg_min(CASE WHEN (k + event_
 
 def voted_records(spark, sf_dir, kind="large"):
     targets = wn.vote_target(scored.votes(spark, sf_dir), 16).where("target_id >= 0")
-    # the given tracks end at the last event numbers, so a voted object may not exist
+    # the given tracks end at the last event numbers: a voted object may not exist, and a whole event may lack scores
     scores = cut_lineage(getattr(scored, f"{kind}_scores")(spark, sf_dir), "scores")
     seen = scores.select("event_id", "target_id").distinct()
-    targets = targets.join(seen, ["event_id", "target_id"], "left_semi")
+    found = targets.join(seen, ["event_id", "target_id"], "left_semi")
+    targets = found.unionByName(targets.join(seen, "event_id", "left_anti"))
     th = SMALL_TH if kind == "small" else LARGE_TH
     return wn.warning_records(scores, scored.annotated_meta(spark, sf_dir), th, kind == "small",
                               targets=targets, with_onset=True)
@@ -138,7 +139,8 @@ def voted_records(spark, sf_dir, kind="large"):
 def voted_sql(kind):
     return f"""{sql.base(kind)}, {VOTES_SQL},
 tg AS (SELECT event_id, target_id FROM voted WHERE target_id >= 0 AND (event_id, target_id) IN (SELECT event_id, target_id FROM sc)),
-mv AS (SELECT * FROM m WHERE event_id IN (SELECT event_id FROM tg)),
+mv AS (SELECT * FROM m WHERE event_id IN (SELECT event_id FROM tg)
+       OR event_id IN (SELECT event_id FROM voted WHERE target_id >= 0 AND event_id NOT IN (SELECT event_id FROM sc))),
 ph AS (
   SELECT s.*, time >= danger_start / 1000 AND time <= danger_end / 1000 AS dg, time < danger_start / 1000 AS pre,
          time < start_timestamp / 1000 - 3 AS early, time <= impact_timestamp / 1000 AS upto FROM sc s JOIN mv USING (event_id)),

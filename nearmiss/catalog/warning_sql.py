@@ -87,8 +87,8 @@ ons AS (
     quart = "" if voted else "," + ", ".join(f"{n}_{t}" for t in ("pre_danger", "danger") for n in ("q25", "q50", "q75"))
     out += f""",
 rec AS (
-  SELECT event_id, threshold, danger_start, danger_end, {'true' if voted else 'hits IS NOT NULL'} AS danger_recorded,
-         coalesce(safe > 0, false) AS safety_recorded, use.target_id,
+  SELECT event_id, threshold, danger_start, danger_end, {'CASE WHEN hits IS NOT NULL THEN true END' if voted else 'hits IS NOT NULL'} AS danger_recorded,
+         {'CASE WHEN hits IS NOT NULL THEN coalesce(safe > 0, false) END' if voted else 'coalesce(safe > 0, false)'} AS safety_recorded, use.target_id,
          CASE WHEN hits IS NOT NULL THEN CAST(hits > 5 AS INT) END AS true_warning,
          CASE WHEN safe > 0 THEN alarms END AS num_false_warning, CASE WHEN safe > 0 THEN safe - alarms END AS num_true_non_warning,
          CASE WHEN safe > 0 THEN CAST(alarms > 0 AS INT) END AS false_warning {quart} {extra}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from nearmiss.functions import fixed_values as fv
 from nearmiss.functions.numeric import with_exprs
 from nearmiss.operators.frames import dedupe_keep_first
+from nearmiss.session import cut_lineage
 
 G = 9.81
 
@@ -66,22 +67,43 @@ def _present(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
 
 
+def _ego_moments(telemetry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ego rows from the first complete one on, one per moment, and per event: the rows in motion (a missing speed
+    counts as motion) and the first and last moment."""
+    trimmed = trim_leading_incomplete(ego_signals(telemetry))
+    standing = F.coalesce(F.col("speed_comp") <= 1e-6, F.lit(False))
+    span = trimmed.groupBy("event_id").agg(
+        F.count(F.when(~standing, 1)).alias("n_moving"), F.min("k").alias("_k0"), F.max("k").alias("_kn"))
+    return dedupe_keep_first(trimmed, ["event_id", "k"], ["timestamp"]), span
+
+
 def signal_gate(telemetry: DataFrame, lengths: DataFrame, radar: DataFrame, min_rows: int = 10) -> DataFrame:
     """Per event of `lengths` (event_id, ego_length): can the ego and the objects around it be
-    reconstructed, and the first reason if not. Events without telemetry count as unreadable."""
+    reconstructed, and the first reason if not. Events without telemetry count as unreadable.
+
+    `radar` carries target ids (`global_target_ids`). Continued targets count as one, and only on moments of the
+    ego's grid, whose last moment is excluded. The note of a usable event names its reconnected targets.
+    """
+    from nearmiss.operators.filters import reconnect_edges, reconnect_tracks
     from nearmiss.operators.frames import regrid_interpolate
-    trimmed = trim_leading_incomplete(ego_signals(telemetry))
-    standing = F.coalesce(F.col("speed_comp") <= 1e-6, F.lit(False))
-    moving = trimmed.groupBy("event_id").agg(F.count(F.when(~standing, 1)).alias("n_moving"))
-    one_per_moment = dedupe_keep_first(trimmed, ["event_id", "k"], ["timestamp"])
-    edges = edge_speed_valid(regrid_interpolate(one_per_moment, ["event_id"], ["speed_comp"]))
+    moments, span = _ego_moments(telemetry)
+    edges = edge_speed_valid(regrid_interpolate(moments, ["event_id"], ["speed_comp"]))
     seen = telemetry.groupBy("event_id").agg(
         F.count(F.when(_present("speed_network"), 1)).alias("n_speed"),
         F.count(F.when(_present("accel_x"), 1)).alias("n_ax"), F.count(F.when(_present("accel_y"), 1)).alias("n_ay"),
-        F.count(F.when(_present("gyro_z"), 1)).alias("n_gyro")).join(moving, "event_id", "left")
-    objects = radar.groupBy("event_id", "raw_id").agg(F.count(F.lit(1)).alias("n")).groupBy("event_id").agg(
+        F.count(F.when(_present("gyro_z"), 1)).alias("n_gyro")).join(span, "event_id", "left")
+    links = cut_lineage(reconnect_edges(radar), "links")
+    listed = [F.array_join(F.col(f"_l.{c}").cast("array<string>"), ", ") for c in ("target_id", "parent")]
+    joined = links.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("target_id", "parent"))).alias("_l")).select(
+        "event_id", F.concat(F.lit("Targets dict_keys(["), listed[0], F.lit("]) are reconnected to dict_values(["), listed[1],
+                             F.lit("])")).alias("reconnected"))
+    detected = radar.groupBy("event_id").agg(F.count(F.lit(1)).alias("n_radar"))
+    on_grid = reconnect_tracks(radar, links).join(span, "event_id", "inner").where("k >= _k0 AND k < _kn")
+    objects = on_grid.groupBy("event_id", "target_id").agg(F.count(F.lit(1)).alias("n")).groupBy("event_id").agg(
         F.max("n").alias("longest"))
-    df = lengths.join(seen, "event_id", "left").join(edges, "event_id", "left").join(objects, "event_id", "left")
+    df = lengths
+    for part in (seen, edges, detected, objects, joined):
+        df = df.join(part, "event_id", "left")
     fails = [
         ("file reading error", F.col("n_speed").isNull()),
         ("all nan ego speed", F.col("n_speed") == 0),
@@ -91,36 +113,40 @@ def signal_gate(telemetry: DataFrame, lengths: DataFrame, radar: DataFrame, min_
         ("start&end speed not available", ~F.coalesce(F.col("valid_start") | F.col("valid_end"), F.lit(False))),
     ]
     later = [
-        ("no available surrounding trajectories", F.col("longest").isNull()),
+        ("no available surrounding trajectories", F.col("n_radar").isNull()),
         ("no ego width or length", F.col("ego_length").isNull()),
-        ("no long enough surrounding trajectories", F.col("longest") < min_rows),
+        ("no long enough surrounding trajectories", F.coalesce("longest", F.lit(0)) < min_rows),
     ]
     note = ego_bad = None
     for text, cond in fails + later:
         note = F.when(cond, text) if note is None else note.when(cond, text)
     for _, cond in fails:
         ego_bad = cond if ego_bad is None else ego_bad | cond
-    df = df.withColumns({"note": note, "ego_reconstructed": (~F.coalesce(ego_bad, F.lit(False))).cast("int")})
-    return df.select("event_id", "ego_reconstructed", F.col("note").isNull().cast("int").alias("surrounding_reconstructed"), "note")
+    df = df.withColumns({"_fail": note, "ego_reconstructed": (~F.coalesce(ego_bad, F.lit(False))).cast("int")})
+    return df.select("event_id", "ego_reconstructed", F.col("_fail").isNull().cast("int").alias("surrounding_reconstructed"),
+                     F.coalesce("_fail", "reconnected").alias("note"))
 
 
 def nan_fraction_gate(telemetry: DataFrame, radar: DataFrame, lengths: DataFrame, limit: float = 0.2, min_rows: int = 20) -> DataFrame:
-    """Events usable for the parameter search: at most a fifth of any signal missing, a moving ego of
-    known length and one object seen for at least min_rows rows."""
+    """Events usable for the parameter search: at most a fifth of any signal missing, a moving ego of known length
+    whose first or last five speeds are known, and one object, after reconnection, seen for at least min_rows rows.
+    `radar` carries target ids (`global_target_ids`)."""
+    from nearmiss.operators.filters import reconnect_tracks
     signals = ("speed_network", "accel_x", "accel_y", "gyro_z")
-    ego = telemetry.groupBy("event_id").agg(
-        *[F.avg((~_present(c)).cast("double")).alias(f"miss_{c}") for c in signals],
-        F.count(F.when(F.col("speed_network") / 3.6 > 1e-6, 1)).alias("n_moving"))
+    ego = telemetry.groupBy("event_id").agg(*[F.avg((~_present(c)).cast("double")).alias(f"miss_{c}") for c in signals])
     for c in signals:
         ego = ego.where(F.col(f"miss_{c}") <= limit)
+    moments, span = _ego_moments(telemetry)
+    ego = (ego.join(span.where("n_moving > 0"), "event_id", "inner")
+           .join(edge_speed_valid(moments).where("valid_start OR valid_end"), "event_id", "inner"))
     local = ("local_dx", "local_dy", "delta_vx", "delta_vy")
-    sur = radar.groupBy("event_id", "raw_id").agg(
+    sur = reconnect_tracks(radar).groupBy("event_id", "target_id").agg(
         F.count(F.lit(1)).alias("n"), *[F.count(F.when(~_present(c), 1)).alias(c) for c in local])
     sur = sur.groupBy("event_id").agg(F.max("n").alias("longest"), F.sum("n").alias("rows"), *[F.sum(c).alias(c) for c in local])
     for c in local:
         sur = sur.where(F.col(c) <= limit * F.col("rows"))
     return (
-        ego.where("n_moving > 0").join(sur.where(F.col("longest") >= min_rows), "event_id", "inner")
+        ego.join(sur.where(F.col("longest") >= min_rows), "event_id", "inner")
         .join(lengths.where("ego_length IS NOT NULL"), "event_id", "inner").select("event_id", "longest"))
 
 

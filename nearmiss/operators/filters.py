@@ -299,11 +299,11 @@ def resolve_aliases(edges: DataFrame) -> DataFrame:
             return links
 
 
-def reconnect_tracks(radar: DataFrame) -> DataFrame:
+def reconnect_tracks(radar: DataFrame, edges: DataFrame | None = None) -> DataFrame:
     """Radar rows with continued targets under one id; one row per id and timestamp, that of the
-    lowest original id."""
+    lowest original id. `edges` are those of `reconnect_edges`, if they are at hand."""
     from nearmiss.operators.frames import dedupe_keep_first
-    roots = resolve_aliases(reconnect_edges(radar))
+    roots = resolve_aliases(reconnect_edges(radar) if edges is None else edges)
     joined = radar.join(roots, ["event_id", "target_id"], "left").withColumn("_old", F.col("target_id"))
     joined = joined.withColumn("target_id", F.coalesce("parent", "target_id")).drop("parent")
     return dedupe_keep_first(joined, ["event_id", "target_id", "timestamp"], ["_old"]).drop("_old")

@@ -193,7 +193,8 @@ def warning_records(
     """One row per [model,] event and threshold.
 
     Without `targets` the conflicting object is determined per event and needs 2 s of danger; with
-    them (the voted objects) it is taken as given. `with_onset` adds the warning moment, the impact
+    them (the voted objects) it is taken as given, and both marks stay NULL for events without scores
+    (`fill_flags` turns them into false). `with_onset` adds the warning moment, the impact
     and reaction times and the share of the danger window under warning.
     """
     by = list(by)
@@ -265,8 +266,8 @@ def warning_records(
     recorded, has_safe = F.col("hits").isNotNull(), F.coalesce(F.col("_safe") > 0, F.lit(False))
     return joined.select(
         *ev, limits[F.col("i")].alias("threshold"), "danger_start", "danger_end",
-        (F.lit(True) if voted else recorded).alias("danger_recorded"),
-        has_safe.alias("safety_recorded"), "target_id",
+        (F.when(recorded, True) if voted else recorded).alias("danger_recorded"),
+        (F.when(recorded, has_safe) if voted else has_safe).alias("safety_recorded"), "target_id",
         F.when(recorded, (F.col("hits") > MIN_FLAGGED).cast("int")).alias("true_warning"),
         F.when(has_safe, F.col("alarms")).alias("num_false_warning"),
         F.when(has_safe, F.col("_safe") - F.col("alarms")).alias("num_true_non_warning"),
