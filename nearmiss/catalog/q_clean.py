@@ -261,8 +261,8 @@ def sample_job(spark, sf_dir):
 
 register("event_sample", "P26 J11", sample_job, f"""WITH {pairs_sql()} SELECT event_id, target_id, k, round(sqrt(power(x_sur - x_ego, 2) + power(y_sur - y_ego, 2)), 6) AS s
 FROM pairs WHERE target_id = event_id * 10 + 1 + event_id % 3""")
-register("restrict_to_scored", "J6", lambda s, d: fixture.pairs(s, d).select("event_id", "target_id", "k").join(
-    fixture.pairs(s, d).where("v_sur > 20").select("event_id", "target_id", "k"), ["event_id", "target_id", "k"], "left_semi"),
+register("restrict_to_scored", "J6", lambda s, d: cl.restrict_to_scored(
+    fixture.pairs(s, d).select("event_id", "target_id", "k"), fixture.pairs(s, d).where("v_sur > 20")),
     f"WITH {pairs_sql()} SELECT event_id, target_id, k FROM pairs WHERE v_sur > 20")
 
 # --- drone recordings and scenarios --------------------------------------------------------------
@@ -425,18 +425,52 @@ SELECT event_id, target_id, k, 25::BIGINT AS history, 13::BIGINT AS width, round
 
 
 def telemetry_job(spark, sf_dir):
-    """Event files with some broken lines, read back with the broken lines set aside."""
+    """Event files of all 48 fields under a header line with some broken lines, read back with the broken lines set aside."""
     path = scratch_path(spark, "telemetry")
-    tel = derived.telemetry(spark, sf_dir).select("event_id", "timestamp", "speed_network", "gyro_z", "accel_x", "accel_y")
-    lines = tel.select(F.concat(F.lit("event_"), F.col("event_id")).alias("file"), F.concat(
-        F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in tel.columns[1:]]),
-        F.when(F.col("timestamp") % 4700 == 0, ",1,2,3").otherwise("")).alias("value"))
-    lines.write.partitionBy("file").text(path)
-    good, bad = tl.read_telemetry(spark, path, "timestamp LONG, speed_network DOUBLE, gyro_z DOUBLE, accel_x DOUBLE, accel_y DOUBLE",
-                                  id_pattern=r"file=event_(\d+)/", header=False)
-    part = lambda df, name: df.groupBy("event_id").agg(F.count(F.lit(1)).alias("rows")).withColumn("part", F.lit(name))
-    return part(good, "good").unionByName(part(bad, "malformed"))
-
-
-register("read_telemetry", "S2", telemetry_job, f"""WITH {TEL}
-SELECT event_id, count(*) AS rows, CASE WHEN timestamp % 4700 = 0 THEN 'malformed' ELSE 'good' END AS part FROM tel GROUP BY 1, 3""")
+    tel = derived.telemetry(spark, sf_dir)
+    fields = [f.split()[0] for f in tl.TELEMETRY_SCHEMA.split(", ")]
+    text = F.concat(
+        F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields]),
+        F.when(F.col("timestamp") % 4700 == 0, ",1,2,3").otherwise(""))
+    head = tel.select("event_id").distinct().withColumns({"timestamp": F.lit(-1).cast("long"), "value": F.lit(",".join(fields))})
+    lines = head.unionByName(tel.select("event_id", "timestamp", text.alias("value")))
+    lines = lines.repartition("event_id").sortWithinPartitions("event_id", "timestamp")
+    lines.select(F.concat(F.lit("event_"), F.col("event_id")).alias("file"), "value").write.partitionBy("file").option("compression", "gzip").text(path)
+    good, bad, unread = tl.read_telemetry(spark, path, id_pattern=r"file=event_(\d+)/")
+    part = lambda df, name: df.groupBy("event_id").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.lit(None).cast("double").alias(f"sum_{c}") for c in SUMMED]).withColumn("part", F.lit(name))
+    sums = good.groupBy("event_id").agg(F.count(F.lit(1)).alias("rows"), *[
+        F.round(F.sum(F.col(c).cast("double")), 4).alias(f"sum_{c}") for c in SUMMED]).withColumn("part", F.lit("good"))
+    return rounded(sums.unionByName(part(bad, "malformed")).unionByName(part(unread, "unread")), [f"sum_{c}" for c in SUMMED], 4)
+
+
+SUMMED = [f.split()[0] for f in tl.TELEMETRY_SCHEMA.split(", ")]
+SLOT_SQL = ", ".join(
+    f"CASE WHEN u{i} THEN {i} + 8 * (k // 60) ELSE 0 END AS TRACK{i}_TARGET_ID, CASE WHEN s{i} THEN {10 * i} + CAST(0.02 AS DOUBLE) * k + {'5 * (k // 60)' if i == 3 else '0'} END "
+    f"AS TRACK{i}_X_POS_PROCESSED, CASE WHEN s{i} THEN {i - 2} + CAST(0.005 AS DOUBLE) * (k % 60) END AS TRACK{i}_Y_POS_PROCESSED, "
+    f"CASE WHEN s{i} THEN round(acc / 2, 6) END AS TRACK{i}_X_VEL_PROCESSED, CASE WHEN s{i} THEN round(psi / 4, 6) END AS TRACK{i}_Y_VEL_PROCESSED"
+    for i in range(1, 9))
+USED_SQL = ", ".join(f"{i <= 3} AND event_id % 13 <> 10 AND (kk + {i}) % 5 > 0 AS u{i}, {i <= 3} AS s{i}" for i in range(1, 9))
+register("read_telemetry", "S2", telemetry_job, f"""WITH {TEL},
+us AS (SELECT *, {USED_SQL} FROM tel),
+al AS (SELECT event_id, timestamp, speed AS speed_network, gyro AS gyro_z, ax AS accel_x, ay AS accel_y, brake AS pedal_brake_state, turn_signal,
+              steer AS steering_wheel_position, {SLOT_SQL} FROM us)
+SELECT event_id, count(*) AS rows, CASE WHEN timestamp % 4700 = 0 THEN 'malformed' ELSE 'good' END AS part,
+  {', '.join(f"round(sum(CAST({c} AS DOUBLE)) FILTER (timestamp % 4700 <> 0), 4) + 0 AS sum_{c}" for c in SUMMED)} FROM al GROUP BY 1, 3""")
+
+
+def chunk_job(spark, sf_dir):
+    """Line items as frames of their orders: what each category and chunk of the files holds."""
+    path = scratch_path(spark, "chunks")
+    frames = fixture.table(spark, sf_dir, "lineitem").selectExpr("l_returnflag AS event_category", "l_orderkey AS event_id", "l_extendedprice")
+    tl.write_chunks(frames, path)
+    back = tl.read_category_tables(spark, path).groupBy("event_category", F.col("chunk").cast("long").alias("chunk"))
+    return back.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("event_id").alias("events"), F.min("event_id").alias("first_event"),
+                    F.max("event_id").alias("last_event"), F.sum(F.expr("CAST(round(l_extendedprice * 100) AS BIGINT)")).alias("cents"))
+
+
+register("category_chunks", "S4", chunk_job, f"""WITH e AS (
+  SELECT l_returnflag, l_orderkey, (row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey) - 1) // {tl.EVENTS_PER_CHUNK} AS chunk
+  FROM (SELECT DISTINCT l_returnflag, l_orderkey FROM lineitem))
+SELECT l_returnflag AS event_category, CAST(chunk AS BIGINT) AS chunk, count(*) AS rows, count(DISTINCT l_orderkey) AS events, min(l_orderkey) AS first_event,
+  max(l_orderkey) AS last_event, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM lineitem JOIN e USING (l_returnflag, l_orderkey) GROUP BY ALL""")

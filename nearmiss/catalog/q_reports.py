@@ -109,6 +109,33 @@ register("regroup_rows", "A12", regroup_job, f"""WITH {YR}, g(grp, kind) AS (VAL
 SELECT grp AS "group", sum(n)::BIGINT AS n FROM yr JOIN g USING (kind) GROUP BY 1""")
 
 
+WEATHERS = tuple(x for rows in fv.WEATHER_GROUPS.values() for x in rows)
+LIGHTS = tuple(x for rows in fv.LIGHT_GROUPS.values() for x in rows) + ("Not stated",)
+
+
+def accidents(spark, sf_dir):
+    """Orders as crashes under the weather and light labels of the statistics; some counts are missing."""
+    return fixture.table(spark, sf_dir, "orders").selectExpr(
+        f"{derived.pick(WEATHERS, 'o_orderkey')} AS weather", f"{derived.pick(LIGHTS, 'o_custkey')} AS light",
+        "CASE WHEN o_orderpriority = '1-URGENT' THEN 1L END AS fatal_crashes",
+        "CASE WHEN o_orderpriority <> '1-URGENT' THEN CAST(year(o_orderdate) - 1990 AS BIGINT) END AS injury_only_crashes")
+
+
+def accident_sql(labels, key, groups, totals, rows):
+    sources = {r: groups.get(r, (r,)) for r in rows} | {t: [x for part in parts for x in groups[part]] for t, parts in totals.items()}
+    values = ", ".join(f"('{r}', {rows.index(r) + 1}, '{x}')" for r in rows for x in sources[r])
+    return f"""WITH acc AS (SELECT {duck_pick(labels, key)} AS label, CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS f,
+  CASE WHEN o_orderpriority <> '1-URGENT' THEN year(o_orderdate) - 1990 ELSE 0 END AS i FROM orders), g(grp, position, label) AS (VALUES {values})
+SELECT grp AS "group", CAST(position AS BIGINT) AS position, CAST(sum(f) AS BIGINT) AS fatal_crashes, CAST(sum(i) AS BIGINT) AS injury_only_crashes,
+  CAST(sum(f + i) AS BIGINT) AS accidents FROM acc JOIN g USING (label) GROUP BY ALL"""
+
+
+register("accident_weather", "A12", lambda s, d: rp.weather_table(accidents(s, d)),
+         accident_sql(WEATHERS, "o_orderkey", fv.WEATHER_GROUPS, fv.WEATHER_TOTALS, fv.WEATHER_ROWS))
+register("accident_light", "A12", lambda s, d: rp.light_table(accidents(s, d)),
+         accident_sql(LIGHTS, "o_custkey", fv.LIGHT_GROUPS, fv.LIGHT_TOTALS, fv.LIGHT_ROWS))
+
+
 def panel(spark, sf_dir):
     """Orders per nation, priority and year; odd nations miss some years."""
     o = fixture.table(spark, sf_dir, "orders").join(fixture.table(spark, sf_dir, "customer").selectExpr("c_custkey AS o_custkey", "c_nationkey"), "o_custkey")

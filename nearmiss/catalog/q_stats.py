@@ -39,7 +39,7 @@ def dims_job(spark, sf_dir):
 
 
 register("random_dims", "M2", dims_job, """WITH d AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS m, CAST(p_size AS DOUBLE) / 4 AS random_length, p_retailprice AS random_width FROM part WHERE p_size % 4 > 0)
-SELECT c_custkey AS event_id, random_length, random_width FROM customer JOIN d ON d.i = CAST('0x' || substr(md5(c_custkey || '-131'), 1, 8) AS BIGINT) % d.m""")
+SELECT c_custkey AS event_id, random_length, random_width FROM customer JOIN d ON d.i = CAST('0x' || substr(md5(c_custkey || '-131'), 1, 15) AS BIGINT) % d.m""")
 
 
 def mix_job(spark, sf_dir):
@@ -53,6 +53,22 @@ SELECT c_custkey AS scene_id, c_acctbal AS s FROM customer UNION ALL
 SELECT s_suppkey + (SELECT max(c_custkey) + 1 FROM customer), s_acctbal FROM r WHERE r < floor(n * 0.3::DOUBLE)""")
 
 
+THREE_SETS = ("SafeBaseline", "ArgoverseHV", "highD")
+
+
+def mix_three_job(spark, sf_dir):
+    sets = [fixture.table(spark, sf_dir, t).selectExpr(f"{i} AS scene_id", f"{v} AS s") for t, i, v in (
+        ("customer", "c_custkey", "c_acctbal"), ("part", "p_partkey", "p_retailprice"), ("supplier", "s_suppkey", "s_acctbal"))]
+    return stt.mix_sets(list(zip(sets, stt.mixing_rates(THREE_SETS))))
+
+
+register("mix_three_sets", "M3", mix_three_job, """WITH a AS (SELECT max(c_custkey) + 1 AS o FROM customer),
+p AS (SELECT p_partkey + o AS scene_id, p_retailprice AS s FROM part, a), b AS (SELECT max(scene_id) + 1 AS o FROM p),
+r AS (SELECT *, row_number() OVER (ORDER BY md5(scene_id || '-131'), scene_id) - 1 AS r, count(*) OVER () AS n FROM p)
+SELECT c_custkey AS scene_id, c_acctbal AS s FROM customer UNION ALL SELECT scene_id, s FROM r WHERE r < floor(n * 0.1::DOUBLE)
+UNION ALL SELECT s_suppkey + o, s_acctbal FROM supplier, b""")
+
+
 def one_hot_job(spark, sf_dir):
     events = derived.event_table(spark, sf_dir).withColumn("surfaceCondition", F.expr("CASE WHEN surfaceCondition = 'Other' THEN 'Unknown' ELSE surfaceCondition END"))
     out = stt.one_hot_environment(events, events)

@@ -175,6 +175,18 @@ LIGHT_GROUPS = {
     "Daylight": ("Daylight",),
 }
 
+# report rows that add up other report rows, and the order of the report
+WEATHER_TOTALS = {
+    "Adverse": ("Rainy", "Foggy", "Snowy", "Windy"),
+    "All": ("Not adverse", "Rainy", "Foggy", "Snowy", "Windy"),
+}
+WEATHER_ROWS = ("All", "Not adverse", "Adverse", "Rainy", "Foggy", "Snowy", "Windy", "Unknown")
+LIGHT_TOTALS = {"All": ("Dark", "Daylight", "Dawn/dusk", "Unknown")}
+LIGHT_ROWS = ("All", "Dark", "Dark - Not Lighted", "Dark - Lighted", "Dark - Unknown Lighting", "Daylight", "Dawn/dusk", "Unknown")
+
+# scene sets: share of the scenes taken of each set when three are mixed; 1 and more takes all
+THREE_SET_RATES = {"SafeBaseline": 2.0, "ArgoverseHV": 0.1, "highD": 1.0}
+
 # filter search: values tried per parameter, and the ranges that scale the errors
 EGO_SEARCH = {
     "uncertainty_init": (16.0, 32.0, 64.0, 128.0),

@@ -48,9 +48,8 @@ def radar_to_rows(telemetry: DataFrame, slots: int = 8) -> DataFrame:
 
 def global_target_ids(radar: DataFrame, first_id: int = 0) -> DataFrame:
     """Running target id over all events, by event and raw id."""
-    from nearmiss.operators.tracks import id_levels, number_rows
-    ids = number_rows(radar.select("event_id", "raw_id").distinct(), [], ["event_id", "raw_id"],
-                      id_levels("event_id"), idx="_id")
+    from nearmiss.operators.tracks import number_ranges
+    ids = number_ranges(radar.select("event_id", "raw_id").distinct(), ["event_id", "raw_id"], idx="_id")
     return radar.join(ids.withColumn("target_id", F.col("_id") + first_id).drop("_id"), ["event_id", "raw_id"], "inner")
 
 
@@ -276,6 +275,11 @@ def environment_clean(events: DataFrame, columns: Sequence[str]) -> DataFrame:
     return with_exprs(events, out)
 
 
+def restrict_to_scored(frames: DataFrame, scores: DataFrame, keys: Sequence[str] = ("event_id", "target_id", "k")) -> DataFrame:
+    """Frames that have a score, each once whatever the number of its scores."""
+    return frames.join(scores.select(*keys), list(keys), "left_semi")
+
+
 def fill_flags(records: DataFrame, columns: Sequence[str] = ("danger_recorded", "safety_recorded")) -> DataFrame:
     return records.na.fill(False, subset=list(columns))
 

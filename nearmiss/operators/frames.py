@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from nearmiss.functions.numeric import SMALL, angle, rotate, with_exprs, wrap
 from nearmiss.session import cut_lineage
 from nearmiss.operators.tracks import (
-    block_window, id_levels, number_rows, own_rows, spread_blocks, time_chunk,
+    block_window, number_ranges, number_rows, own_rows, spread_blocks, time_chunk,
 )
 
 HISTORY = 25          # rows of history per scene: 2.5 s at 10 Hz
@@ -72,9 +72,9 @@ def interaction_pairs(tracks: DataFrame, min_common: int = HISTORY, first_id: in
         .groupBy("track_id", "partner_id").agg(F.count(F.lit(1)).alias("common"))
         .where(F.col("common") >= min_common)
     )
-    numbered = number_rows(
+    numbered = number_ranges(
         partners.join(long_enough, ["track_id", "partner_id"], "inner"),
-        [], ["track_id", "role", "first_k", "partner_id"], id_levels("track_id"), idx="lc_id")
+        ["track_id", "role", "first_k", "partner_id"], idx="lc_id")
     # a vehicle that is both ahead and behind at times keeps its first number
     pair_ids = numbered.groupBy("track_id", "partner_id").agg((F.min("lc_id") + first_id).alias("lc_id"))
 
@@ -262,11 +262,9 @@ def sample_scenes(pairs: DataFrame, stride: int, seed: int = SEED, min_rows: int
     scenes = current_features(scenes)
     bad_history = F.exists("profiles", lambda p: p["yaw_ego"].isNull() | p["v_ego"].isNull()
                            | p["vx_sur"].isNull() | p["vy_sur"].isNull())
-    # the numbering counts the scenes first, so they are worked out once and stored
+    # the numbering samples the scenes first, so they are worked out once and stored
     scenes = cut_lineage(scenes.where(~_has_gap([*CURRENT, "s"]) & ~bad_history), "scenes")
-    return number_rows(
-        scenes, [], ["event_id", "target_id", F.desc("idx")], id_levels("event_id"), idx="scene_id"
-    ).drop("_end")
+    return number_ranges(scenes.drop("_end"), ["event_id", "target_id", F.desc("idx")], idx="scene_id")
 
 
 def random_end(seed: int) -> Column:
@@ -277,7 +275,7 @@ def random_end(seed: int) -> Column:
 
 def dense_ids(df: DataFrame, key: str, out: str, first_id: int = 0) -> DataFrame:
     """Running id of each distinct key value in key order, starting at first_id."""
-    ids = number_rows(df.select(key).distinct(), [], [key], id_levels(key), idx="_id")
+    ids = number_ranges(df.select(key).distinct(), [key], idx="_id")
     return df.join(ids.select(key, (F.col("_id") + first_id).alias(out)), key, "inner")
 
 

@@ -96,6 +96,30 @@ def regroup_rows(stats: DataFrame, label: str, groups: Mapping[str, Sequence[str
             .agg(*[F.sum(v).alias(v) for v in values]))
 
 
+def accident_table(stats: DataFrame, label: str, groups: Mapping[str, Sequence[str]], totals: Mapping[str, Sequence[str]],
+                   rows: Sequence[str]) -> DataFrame:
+    """Fatal, injury-only and all crashes per report row, in the order of the report (`position` from 1).
+
+    A report row is a group of source rows, a total of other report rows, or a source row of that very name. Rows that
+    have no source row at all do not appear; a missing count is zero.
+    """
+    sources = {name: tuple(groups.get(name, (name,))) for name in rows}
+    for name, parts in totals.items():
+        sources[name] = tuple(x for part in parts for x in groups[part])
+    counts = {c: F.coalesce(F.col(c), F.lit(0)) for c in ("fatal_crashes", "injury_only_crashes")}
+    stats = stats.withColumns(counts).withColumn("accidents", F.col("fatal_crashes") + F.col("injury_only_crashes"))
+    place = F.array_position(F.array(*[F.lit(r) for r in rows]), F.col("group"))
+    return regroup_rows(stats, label, {r: sources[r] for r in rows}, [*counts, "accidents"]).withColumn("position", place)
+
+
+def weather_table(stats: DataFrame, label: str = "weather") -> DataFrame:
+    return accident_table(stats, label, fv.WEATHER_GROUPS, fv.WEATHER_TOTALS, fv.WEATHER_ROWS)
+
+
+def light_table(stats: DataFrame, label: str = "light") -> DataFrame:
+    return accident_table(stats, label, fv.LIGHT_GROUPS, fv.LIGHT_TOTALS, fv.LIGHT_ROWS)
+
+
 def complete_panel(panel: DataFrame) -> DataFrame:
     """Countries that report the largest number of years for at least one location; then sums by
     location and year."""

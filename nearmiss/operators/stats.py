@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearmiss.functions import fixed_values as fv
 from nearmiss.functions import numeric as nm
 from nearmiss.functions.numeric import with_exprs
-from nearmiss.operators.tracks import id_levels, number_rows
+from nearmiss.operators.tracks import number_ranges
 
 SEED = 131
 ENVIRONMENT = ("lighting", "weather", "surfaceCondition", "trafficDensity")
@@ -21,9 +22,9 @@ def hash_text(column: str, seed: int) -> Column:
 
 
 def _hash_rank(ids: DataFrame, column: str, seed: int) -> DataFrame:
-    """Rank of each id in hash order and their number; ranks are found per hash prefix."""
+    """Rank of each id in hash order and their number."""
     hashed = ids.withColumn("_h", hash_text(column, seed))
-    return number_rows(hashed, [], ["_h", column], F.substring("_h", 1, 3), idx="_rank", total="_total").drop("_h")
+    return number_ranges(hashed, ["_h", column], idx="_rank", total="_total").drop("_h")
 
 
 def split_by_event(df: DataFrame, column: str = "event_id", share: float = 0.8, seed: int = SEED) -> DataFrame:
@@ -34,9 +35,9 @@ def split_by_event(df: DataFrame, column: str = "event_id", share: float = 0.8,
 
 def random_dims(events: DataFrame, donors: DataFrame, seed: int = SEED) -> DataFrame:
     """Sizes drawn for each event, with replacement, from the donor rows that have a target length."""
-    rows = number_rows(donors.where("target_length IS NOT NULL"), [], ["event_id"], id_levels("event_id"), idx="_i", total="_m")
+    rows = number_ranges(donors.where("target_length IS NOT NULL"), ["event_id"], idx="_i", total="_m")
     count = rows.agg(F.max("_m")).scalar()
-    pick = F.pmod(F.conv(F.substring(hash_text("event_id", seed), 1, 8), 16, 10).cast("long"), count)
+    pick = F.pmod(F.conv(F.substring(hash_text("event_id", seed), 1, 15), 16, 10).cast("long"), count)
     return events.select("event_id").distinct().withColumn("_i", pick).join(
         rows.select("_i", F.col("target_length").alias("random_length"), F.col("target_width").alias("random_width")), "_i", "inner").drop("_i")
 
@@ -51,6 +52,29 @@ def mix_datasets(base: DataFrame, other: DataFrame, rate: float, seed: int = SEE
     return base.unionByName(other.withColumn("scene_id", F.col("scene_id") + offset))
 
 
+def mix_sets(sets: Sequence[tuple[DataFrame, float]], seed: int = SEED) -> DataFrame:
+    """Scenes of several sets under running ids. Of a set with a rate below 1, floor(rate * n) scenes are taken by hash
+    rank; the ids run on after the whole set, taken or not."""
+    out = offset = None
+    for scenes, rate in sets:
+        own = scenes
+        if offset is not None:
+            own = scenes.withColumn("scene_id", F.col("scene_id") + offset)
+        offset = own.agg(F.max("scene_id") + 1).scalar()
+        if rate < 1:
+            ranked = _hash_rank(own.select("scene_id").distinct(), "scene_id", seed)
+            own = own.join(ranked.where(F.col("_rank") < F.floor(F.col("_total") * F.lit(rate))).select("scene_id"), "scene_id", "left_semi")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def mixing_rates(names: Sequence[str], rate: float = 2.0) -> list[float]:
+    """Share taken of each set: the given rate counts for the second of two sets, three sets have fixed rates."""
+    if len(names) == 3:
+        return [fv.THREE_SET_RATES.get(n, 2.0) for n in names]
+    return [rate if len(names) == 2 and i == 1 and rate <= 1 else 2.0 for i in range(len(names))]
+
+
 def learn_categories(events: DataFrame, columns: Sequence[str] = ENVIRONMENT) -> DataFrame:
     """One row: the sorted labels of each column, from rows without any 'Unknown'. The labels are a
     short closed list, whatever the number of events."""

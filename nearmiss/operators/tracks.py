@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearmiss.session import cut_lineage
+
 BLOCK = 8192
 
 
@@ -86,9 +88,38 @@ def _chunk_offsets(per_chunk: DataFrame, keys: list[str], levels: list[str], sum
         *[f"{c}_up" for c in added])
 
 
-def id_levels(column: str) -> list[Column]:
-    """Coarse-to-fine chunks for numbering by an integer id."""
-    return [F.expr(f"shiftright({column}, 20)"), F.expr(f"shiftright({column}, 8)")]
+def range_rows(df: DataFrame, order: Sequence[str | Column], partitions: int | None = None) -> DataFrame:
+    """The rows in sampled ranges of the order, stored with their range (`_part`) and their place in it (`_at`), so the
+    numbers stay whatever the files are split into later. Only rows equal in the whole order share a range by force."""
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    places = {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}
+    return cut_lineage(ranged.sortWithinPartitions(*order).withColumns(places), "ranges")
+
+
+def number_ranges(
+    df: DataFrame, order: Sequence[str | Column], idx: str = "idx", total: str | None = None, partitions: int | None = None
+) -> DataFrame:
+    """0-based position of each row over the whole table in the given order, and the number of rows if asked.
+
+    Unlike `number_rows` it needs no chunks, so sparse ids and one id with most of the rows are spread alike: each task
+    sorts one sampled range, and only one count per range is summed up.
+    """
+    stored = range_rows(df, order, partitions)
+    before = _within([]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows")).select(
+        "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+        *([F.sum("_rows").over(_within([])).alias(total)] if total else []))
+    # one row per range, so never more than the shuffle partitions
+    return stored.join(F.broadcast(offsets), "_part", "inner").select(
+        *df.columns, (F.col("_offset") + F.col("_at")).cast("long").alias(idx), *([total] if total else []))
+
+
+def number_groups(df: DataFrame, key: str, order: Sequence[str], idx: str = "idx") -> DataFrame:
+    """0-based position of each row within its key, also where one key holds most of the rows."""
+    rows = cut_lineage(number_ranges(df, [key, *order], "_place"), "places")
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min("_place").alias("_first"))
+    return rows.join(first, rows[key].eqNullSafe(first["_key"]), "inner").select(
+        *df.columns, (F.col("_place") - F.col("_first")).alias(idx))
 
 
 def spread_blocks(

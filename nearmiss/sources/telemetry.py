@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearmiss.session import cut_lineage
+
 SIGNALS = ("timestamp LONG, speed_network DOUBLE, gyro_z DOUBLE, accel_x DOUBLE, accel_y DOUBLE, "
            "pedal_brake_state INT, turn_signal INT, steering_wheel_position DOUBLE")
 TELEMETRY_SCHEMA = SIGNALS + "".join(
@@ -14,23 +16,74 @@ TELEMETRY_SCHEMA = SIGNALS + "".join(
     f"TRACK{i}_X_VEL_PROCESSED DOUBLE, TRACK{i}_Y_VEL_PROCESSED DOUBLE" for i in range(1, 9))
 BAD = "_malformed"
 ROWS_PER_FILE = 2_000_000
+EVENTS_PER_CHUNK = 6600
+ID_PATTERN = r"(\d+)\.csv(?:\.gz)?$"
+
+
+def _lines(spark: SparkSession, path: str, id_pattern: str) -> DataFrame:
+    # lines end at \n alone: a \r stays in the text and counts as a byte of the file
+    return spark.read.option("ignoreCorruptFiles", True).option("lineSep", "\n").option("recursiveFileLookup", True).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).cast("long").alias("event_id"),
+        "value")
+
+
+def unread_files(spark: SparkSession, path: str, id_pattern: str = ID_PATTERN) -> DataFrame:
+    """Files that were not read to their end, one row each: event_id, file, size, bytes_read, note. Empty files are not
+    listed; they have no rows, which the gates call unreadable as well.
+
+    The listing gives every file's size, the lines say how many bytes were read. The size of a file packed with gzip
+    is the one its last four bytes state (modulo 2^32), so a file cut off or damaged inside is found too; for that
+    each packed file is one value of a row, at most 2 GB.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    named = F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).cast("long").alias("event_id")
+    plain = listed.where(~F.col("path").endswith(".gz")).select(
+        F.col("_metadata.file_path").alias("file"), named, F.col("length").alias("size"))
+    packed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(path).select(
+        F.col("_metadata.file_path").alias("file"), named, F.conv(F.concat(*[F.substring(F.hex(F.substring("content", -4, 4)), i, 2) for i in (7, 5, 3, 1)]), 16, 10)
+        .cast("long").alias("size"))
+    got = _lines(spark, path, id_pattern).groupBy("file").agg(
+        F.sum(F.octet_length("value") + 1).cast("long").alias("bytes_read"))
+    files = plain.unionByName(packed).join(got, "file", "left").withColumn("bytes_read", F.coalesce("bytes_read", F.lit(0).cast("long")))
+    # the last line may lack its end
+    whole = F.pmod(F.col("bytes_read") - F.col("size"), F.lit(1 << 32)).isin(0, 1) & (F.col("bytes_read") > 0)
+    return files.where(~F.coalesce(whole, F.lit(False))).select(
+        "event_id", "file", "size", "bytes_read", F.lit("file reading error").alias("note"))
 
 
 def read_telemetry(
-    spark: SparkSession, path: str, schema: str = TELEMETRY_SCHEMA, id_pattern: str = r"(\d+)\.csv$", header: bool = True
-) -> tuple[DataFrame, DataFrame]:
-    """Rows of all event files with the event id taken from the file path, and the malformed lines
-    (wrong number or type of fields), which are set aside instead of stopping the job. Files that
-    cannot be read at all are passed over, so their events simply have no rows."""
-    lines = spark.read.option("ignoreCorruptFiles", True).text(path).select(
-        F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).cast("long").alias("event_id"), "value")
+    spark: SparkSession, path: str, schema: str = TELEMETRY_SCHEMA, id_pattern: str = ID_PATTERN, header: bool = True
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of all event files with the event id taken from the file path, the malformed lines
+    (wrong number or type of fields), which are set aside instead of stopping the job (empty lines are skipped), and the files that
+    could not be read to their end (`unread_files`). Of those no row is kept, so their events have no rows."""
+    unread = cut_lineage(unread_files(spark, path, id_pattern), "unread")
+    lines = _lines(spark, path, id_pattern).join(unread.select("file"), "file", "left_anti").select(
+        "event_id", F.regexp_replace("value", r"\r$", "").alias("value")).where("value <> ''")
     if header:
         lines = lines.where(~F.col("value").rlike(r'^\W*[A-Za-z_]'))
     parsed = lines.withColumn("_r", F.from_csv(
         "value", f"{schema}, {BAD} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
     broken = F.col(f"_r.{BAD}").isNotNull()
     good = parsed.where(~broken).select("event_id", "_r.*").drop(BAD)
-    return good, parsed.where(broken).select("event_id", F.col("value").alias(BAD))
+    return good, parsed.where(broken).select("event_id", F.col("value").alias(BAD)), unread
+
+
+def event_chunks(df: DataFrame, category: str = "event_category", event: str = "event_id", size: int = EVENTS_PER_CHUNK) -> DataFrame:
+    """Adds `chunk`: events of each category are dealt to chunks of `size` by their running number, so no event lies
+    in two chunks. Rows without a category or event form keys of their own."""
+    from nearmiss.operators.tracks import number_groups
+    events = number_groups(df.select(category, event).distinct(), category, [event], idx="_i").select(
+        F.col(category).alias("_category"), F.col(event).alias("_event"), F.floor(F.col("_i") / F.lit(size)).cast("long").alias("chunk"))
+    same = df[category].eqNullSafe(events["_category"]) & df[event].eqNullSafe(events["_event"])
+    return df.join(events, same, "inner").drop("_category", "_event")
+
+
+def write_chunks(df: DataFrame, path: str, category: str = "event_category", event: str = "event_id",
+                 size: int = EVENTS_PER_CHUNK, mode: str = "overwrite") -> None:
+    """One folder per category and chunk of whole events. A chunk is one file as long as it is of common size;
+    adaptive execution splits the files of a larger one, as with a single event that holds most of the rows."""
+    event_chunks(df, category, event, size).hint("rebalance", category, "chunk").write.mode(mode).partitionBy(category, "chunk").parquet(path)
 
 
 def write_partitioned(df: DataFrame, path: str, column: str = "event_category", mode: str = "overwrite") -> None:
@@ -82,14 +135,13 @@ def unnest_ragged(scenarios: DataFrame) -> DataFrame:
 def scenario_pairs(objects: DataFrame) -> DataFrame:
     """Ego and each other object of a scenario on common moments, with target ids that are unique over
     all scenarios: ids run on, scenario after scenario."""
-    from nearmiss.operators.tracks import id_levels, number_rows
+    from nearmiss.operators.tracks import number_ranges
     ego = objects.where("object_id = 0").drop("object_id").withColumnsRenamed(
         {c: f"{c}_ego" for c in objects.columns if c not in ("scenario", "object_id", "time")})
     sur = objects.where("object_id > 0").withColumnsRenamed(
         {c: f"{c}_sur" for c in objects.columns if c not in ("scenario", "object_id", "time")})
     both = ego.join(sur, ["scenario", "time"], "inner")
-    ids = number_rows(both.select("scenario", "object_id").distinct(), [], ["scenario", "object_id"],
-                      id_levels("scenario"), idx="target_id")
+    ids = number_ranges(both.select("scenario", "object_id").distinct(), ["scenario", "object_id"], idx="target_id")
     return both.join(ids, ["scenario", "object_id"], "inner").drop("object_id")
 
 

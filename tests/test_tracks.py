@@ -144,3 +144,22 @@ def test_curve_and_area_match_numpy(spark):
     assert mt.area(curve, ["model"], 0.6).first()["area"] == pytest.approx(area, abs=1e-9)
     flat = spark.createDataFrame([("m", 0.0, 1.0)], "model string, x double, y double")
     assert mt.area(mt.curve_points(flat, "x", "y", ["model"]), ["model"]).first()["area"] == pytest.approx(1, abs=1e-5)
+
+
+def test_ranges_number_sparse_ids_and_a_hot_one_evenly(spark):
+    from nearmiss.operators.tracks import number_groups, number_ranges, range_rows
+    rnd = np.random.default_rng(8)
+    ids = [int(x) for x in rnd.integers(-2**62, 2**62, 2000)]
+    rows = [(7 if rnd.random() < 0.9 else ids[i % 2000], i) for i in range(20000)] + [(None, -1)]
+    df = spark.createDataFrame(rows, "event_id long, k long").repartition(5)
+    want = sorted(rows, key=lambda r: (r[0] is not None, r))
+    got = {(r["event_id"], r["k"]): (r["idx"], r["n"]) for r in number_ranges(df, ["event_id", "k"], total="n", partitions=8).collect()}
+    assert got == {r: (i, len(rows)) for i, r in enumerate(want)}
+    sizes = [r["count"] for r in range_rows(df, ["event_id", "k"], 8).groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) <= 2 * len(rows) / 8
+    inside = {(r["event_id"], r["k"]): r["idx"] for r in number_groups(df, "event_id", ["k"]).collect()}
+    seen = {}
+    for r in want:
+        assert inside[r] == seen.setdefault(r[0], 0)
+        seen[r[0]] += 1
+    assert number_ranges(df.limit(0), ["event_id", "k"]).isEmpty()
