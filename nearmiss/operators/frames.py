@@ -349,18 +349,41 @@ def yaw_integral(df: DataFrame, keys: Sequence[str], rate: str, t: str, out: str
 
 # --- common time grid ----------------------------------------------------------------------------
 
-def _segments(df: DataFrame, keys: list[str], k: str, columns: Sequence[str], end: str) -> DataFrame:
-    """One row per (column, observed value) with the next observed value of that column."""
-    long = df.select(
-        *keys, k, end,
-        F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_y"))
-                            for c in columns])).alias("_s"),
-    ).select(*keys, k, end, "_s.*").where(F.col("_y").isNotNull() & ~F.isnan("_y"))
-    full = [*keys, "_col"]
-    numbered = number_rows(long, full, [k], time_chunk(k), idx="_i")
-    w = block_window(full, "_i")
-    return own_rows(spread_blocks(numbered, "_i", after=1).withColumns(
-        {"_k2": F.lead(k).over(w), "_y2": F.lead("_y").over(w)}))
+def neighbours(df: DataFrame, keys: Sequence[str], columns: Sequence[str], k: str = "k", before: bool = True) -> DataFrame:
+    """For each row and column c the next observed moment and value after the row (`_nk_c`, `_ny_c`) and, with `before`,
+    the last ones up to and with the row (`_pk_c`, `_py_c`); also the moment of the next row (`_next`).
+
+    Rows are scanned inside blocks of time. One summary row per block, found by partial aggregation, hands in what was
+    last seen before the block and what comes first after it, so rows are shuffled once, for all columns together. A
+    track has one row per moment; NULL and NaN are not observed.
+    """
+    keys, block = list(keys), "_block"
+    at = {c: F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), F.col(k)) for c in columns}
+    value = {c: F.when(at[c].isNotNull(), F.col(c).cast("double")) for c in columns}
+    rows = df.withColumn(block, time_chunk(k))
+    found = {"f": F.min_by, "l": F.max_by} if before else {"f": F.min_by}
+    per = rows.groupBy(*keys, block).agg(
+        F.min(k).alias("_start"),
+        *[(F.min if e == "f" else F.max)(at[c]).alias(f"_{e}k_{c}") for c in columns for e in found],
+        *[by(value[c], at[c]).alias(f"_{e}y_{c}") for c in columns for e, by in found.items()])
+    # frames that only grow: later rows are met first in the reversed order
+    past = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    coming = Window.partitionBy(*keys).orderBy(F.desc(block)).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per.select(
+        *[F.col(c).alias(f"_c_{c}") for c in [*keys, block]], F.last("_start").over(coming).alias("_after"),
+        *[F.last(f"_f{x}_{c}", ignorenulls=True).over(coming).alias(f"_out{x}_{c}") for c in columns for x in "ky"],
+        *([F.last(f"_l{x}_{c}", ignorenulls=True).over(past).alias(f"_in{x}_{c}") for c in columns for x in "ky"] if before else []))
+    same = [rows[c].eqNullSafe(carried[f"_c_{c}"]) for c in [*keys, block]]
+    joined = rows.join(carried, same, "inner").drop(*[f"_c_{c}" for c in [*keys, block]])
+    upto = Window.partitionBy(*keys, block).orderBy(k).rowsBetween(Window.unboundedPreceding, 0)
+    later = Window.partitionBy(*keys, block).orderBy(F.desc(k)).rowsBetween(Window.unboundedPreceding, -1)
+    scans = {"_next": F.coalesce(F.last(k).over(later), F.col("_after"))}
+    for c in columns:
+        for x, source in (("k", at[c]), ("y", value[c])):
+            scans[f"_n{x}_{c}"] = F.coalesce(F.last(source, ignorenulls=True).over(later), F.col(f"_out{x}_{c}"))
+            if before:
+                scans[f"_p{x}_{c}"] = F.coalesce(F.last(source, ignorenulls=True).over(upto), F.col(f"_in{x}_{c}"))
+    return joined.select(*df.columns, *[e.alias(n) for n, e in scans.items()])
 
 
 def regrid_interpolate(
@@ -369,28 +392,20 @@ def regrid_interpolate(
     """Tracks on the full 0.1 s grid from first to last moment, the last one excluded.
 
     Missing values are filled linearly from the neighbouring observations of the same column and
-    held flat at both ends; moments that were not observed carry timestamp -1.
+    held flat at both ends; moments that were not observed carry timestamp -1. A column without any
+    observation stays NULL, and a track without any has no rows.
     """
-    keys = list(keys)
-    ends = df.groupBy(*keys).agg(F.min(k).alias("_k0"), F.max(k).alias("_kn"))
-    bounded = df.join(ends, keys, "inner")
-    seg = _segments(bounded.withColumn("_ends", F.struct("_k0", "_kn")), keys, k, columns, "_ends")
-    first = F.col("_i") == 0
-    lo = F.when(first, F.col("_ends._k0")).otherwise(F.col(k))
-    hi = F.coalesce(F.col("_k2") - 1, F.col("_ends._kn") - 1)
-    filled = (
-        seg.withColumns({"_lo": lo, "_hi": hi}).where("_lo <= _hi")
-        .withColumn("_g", F.explode(F.sequence("_lo", "_hi")))
-        .withColumn("_v", F.expr(
-            f"CASE WHEN _k2 IS NULL OR _g <= {k} THEN _y ELSE _y + (_y2 - _y) / (_k2 - {k}) * (_g - {k}) END"))
-        .groupBy(*keys, F.col("_g").alias(k))
-        .agg(*[F.max(F.when(F.col("_col") == c, F.col("_v"))).alias(c) for c in columns])
-    )
-    observed = df.select(*keys, k, *kept)
-    out = filled.join(observed, [*keys, k], "left")
-    if "timestamp" in kept:
-        out = out.withColumn("timestamp", F.coalesce("timestamp", F.lit(-1).cast("long")))
-    return out
+    keys, kept = list(keys), [c for c in kept if c != "timestamp"] + [c for c in kept if c == "timestamp"]
+    near = neighbours(df.select(*keys, k, *columns, *kept), keys, columns, k).where(F.col("_next") > F.col(k))
+    grid = near.withColumn("_g", F.explode(F.sequence(F.col(k), F.col("_next") - 1)))
+    filled = {c: F.expr(
+        f"CASE WHEN `_pk_{c}` IS NULL THEN `_ny_{c}` WHEN `_nk_{c}` IS NULL OR _g <= `_pk_{c}` THEN `_py_{c}` "
+        f"ELSE `_py_{c}` + (`_ny_{c}` - `_py_{c}`) / (`_nk_{c}` - `_pk_{c}`) * (_g - `_pk_{c}`) END") for c in columns}
+    seen = {c: F.when(F.col("_g") == F.col(k), F.col(c)) for c in kept}
+    if "timestamp" in seen:
+        seen["timestamp"] = F.coalesce(seen["timestamp"], F.lit(-1).cast("long"))
+    out = grid.select(*keys, F.col("_g").alias(k), *[e.alias(c) for c, e in (filled | seen).items()])
+    return out.where(F.coalesce(*columns).isNotNull())
 
 
 def resample_25_to_10(
@@ -402,18 +417,14 @@ def resample_25_to_10(
     earliest seen on a tie.
     """
     every = [*columns, *codes, *partners]
-    with_end = tracks.withColumn("_end", F.lit(0))
-    seg = _segments(with_end, ["track_id"], "frame_id", every, "_end")
-    # half-frame numbers of this segment that are multiples of five
-    half = seg.withColumns({
-        "_h0": F.ceil(F.col("frame_id") * 2 / F.lit(5.0)).cast("long"),
-        # the grid holds each frame and the half frame after it, nothing inside a longer gap
-        "_h1": F.floor((F.col("frame_id") * 2 + 1) / F.lit(5.0)).cast("long")}).where("_h0 <= _h1")
-    grid = half.withColumn("_g", F.explode(F.sequence("_h0", "_h1"))).withColumn("_v", F.expr(
-        "CASE WHEN _k2 IS NULL OR _g * 5 <= frame_id * 2 THEN _y "
-        "ELSE _y + (_y2 - _y) / (_k2 - frame_id) * (_g * 2.5D - frame_id) END"))
-    wide = grid.groupBy("track_id", F.col("_g").alias("frame_id")).agg(
-        *[F.max(F.when(F.col("_col") == c, F.col("_v"))).alias(c) for c in every])
+    near = neighbours(tracks.select("track_id", "frame_id", *every), ["track_id"], every, "frame_id", before=False)
+    # the grid holds each frame and the half frame after it, nothing inside a longer gap; of two such half-frame
+    # numbers at most one is a multiple of five
+    half = near.withColumn("_g", F.ceil(F.col("frame_id") * 2 / F.lit(5.0)).cast("long")).where("_g * 5 <= frame_id * 2 + 1")
+    wide = half.select("track_id", F.col("_g").alias("frame_id"), *[F.expr(
+        f"CASE WHEN isnan(CAST(`{c}` AS DOUBLE)) THEN NULL WHEN `_nk_{c}` IS NULL OR _g * 5 <= frame_id * 2 THEN CAST(`{c}` AS DOUBLE) "
+        f"ELSE `{c}` + (`_ny_{c}` - `{c}`) / (`_nk_{c}` - frame_id) * (_g * 2.5D - frame_id) END").alias(c) for c in every])
+    wide = wide.where(F.coalesce(*every).isNotNull())
     wide = wide.withColumns({c: F.col(c).cast("int") for c in codes})
     for p in partners:
         seen = tracks.groupBy("track_id", F.col(p).alias("_seen")).agg(F.min("frame_id").alias("_first"))

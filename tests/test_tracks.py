@@ -163,3 +163,35 @@ def test_ranges_number_sparse_ids_and_a_hot_one_evenly(spark):
         assert inside[r] == seen.setdefault(r[0], 0)
         seen[r[0]] += 1
     assert number_ranges(df.limit(0), ["event_id", "k"]).isEmpty()
+
+
+def test_gaps_over_block_ends_are_filled_like_interp(spark, monkeypatch):
+    monkeypatch.setattr(op, "time_chunk", lambda k="k", size=16: F.floor(F.col(k) / F.lit(16)).cast("long"))
+    rnd, rows = random.Random(6), []
+    for track in (1, 2, None):
+        k = -40
+        while k < 200:
+            rows.append((track, k, k * 100, rnd.choice([None, float("nan"), rnd.random()]) if 20 < k < 160 or track == 2 else rnd.random(),
+                         rnd.random() if k > 90 else None, None))
+            k += rnd.choice([1, 1, 1, 2, 45])
+    df = spark.createDataFrame(rows, "track long, k long, timestamp long, a double, b double, c double").repartition(4)
+    got = {(r["track"], r["k"]): r for r in op.regrid_interpolate(df, ["track"], ["a", "b", "c"]).collect()}
+    assert len(got) == sum(max(r[1] for r in rows if r[0] == t) + 40 for t in (1, 2, None))
+    for track in (1, 2, None):
+        mine = [r for r in rows if r[0] == track]
+        grid = list(range(-40, mine[-1][1]))
+        for i, name in ((3, "a"), (4, "b")):
+            known = [r for r in mine if r[i] is not None and not math.isnan(r[i])]
+            want = np.interp(grid, [r[1] for r in known], [r[i] for r in known])
+            assert [got[track, k][name] for k in grid] == pytest.approx(list(want), abs=1e-12)
+        observed = {r[1] for r in mine}
+        assert [got[track, k]["timestamp"] for k in grid] == [k * 100 if k in observed else -1 for k in grid]
+        assert all(got[track, k]["c"] is None for k in grid)
+
+
+def test_gap_filling_shuffles_whole_rows_once(spark):
+    df = spark.range(1000).selectExpr("id % 3 AS track", "id AS k", "id * 100 AS timestamp", "rand(1) AS a", "uuid() AS note")
+    out = op.regrid_interpolate(df, ["track"], ["a"], kept=("timestamp", "note"))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    nodes = out._jdf.queryExecution().explainString(mode).split("\n\n")
+    assert sum(") Exchange" in node and "note#" in node for node in nodes) == 1
