@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -113,25 +114,88 @@ def _np_intensity(s, mu, log_var):
 
 
 def enough_tasks(frames: DataFrame) -> DataFrame:
-    """Stored frames in at least as many parts as tasks run at once; a frame costs far more to score than to move."""
-    tasks = frames.sparkSession.sparkContext.defaultParallelism
+    """Stored frames in at least four parts for each task that runs at once, so that no core waits long for the last
+    parts; a frame costs far more to score than to move."""
+    tasks = 4 * frames.sparkSession.sparkContext.defaultParallelism
     return frames if frames.rdd.getNumPartitions() >= tasks else frames.repartition(tasks)
 
 
+#: Cells of the intensity's table between its two flat ends.
+CELLS = 2048
+
+
+@lru_cache(maxsize=1)
+def intensity_table() -> tuple[float, float, np.ndarray]:
+    """The intensity depends on z, the standardised log spacing over sqrt(2), alone: one value up to the first returned
+    z, smooth from there to the second one, next to 0, and 0 beyond. Per cell, the weights of the cubic function through
+    its ends and thirds, which is within 1e-12 of the value; the last column is what comes after."""
+    def of(z):
+        return _np_intensity(np.exp(np.asarray(z)), 0.0, -np.log(2.0))
+
+    def last(holds, z, beyond):
+        while z < (middle := (z + beyond) / 2) < beyond:
+            z, beyond = (middle, beyond) if holds(of([middle])[0]) else (z, middle)
+        return z
+
+    full = of([-10.0])[0]
+    flat, end = last(lambda h: h >= full, -10.0, -1.0), last(lambda h: h > 0, -1.0, 0.0)
+    h = of(np.linspace(flat, end, 3 * CELLS + 1))
+    d1, d2, d3 = (np.diff(h, n)[::3][:CELLS] for n in (1, 2, 3))
+    parts = np.zeros((4, CELLS + 1))
+    parts[:, :-1] = h[:-1:3], 3 * (d1 - d2 / 2 + d3 / 3), 9 * (d2 - d3) / 2, 27 * d3 / 6
+    return flat, end, parts
+
+
+def _spread(mean: np.ndarray, square: np.ndarray, n: int, part: np.ndarray) -> int:
+    """Merges rows x points into the rows' means and squared deviations over n points; `part` is used up."""
+    m, own = part.shape[1], part.mean(axis=1)
+    away = own - mean
+    part -= own[:, None]
+    square += np.einsum("ij,ij->i", part, part) + away ** 2 * n * m / (n + m)
+    mean += away * m / (n + m)
+    return n + m
+
+
 def falls(s: np.ndarray, mu: np.ndarray, lv: np.ndarray, base: np.ndarray, own: np.ndarray, other: np.ndarray) -> tuple:
     """Mean and deviation, over the reference points, of how much the intensity falls when a factor takes its value
     there. own: rows x 2, other: points x 2, the factor's shares of mu and of the log variance. Blocks of points are
-    merged by their counts, means and squared deviations."""
-    n, mean, square = 0, np.zeros(len(s)), np.zeros(len(s))
-    for i in range(0, len(other), CENTRES):
-        there = other[i:i + CENTRES]
-        gain = base[:, None] - _np_intensity(s[:, None], there[:, 0] + (mu - own[:, 0])[:, None], there[:, 1] + (lv - own[:, 1])[:, None])
-        m, part = gain.shape[1], gain.mean(axis=1)
-        away = part - mean
-        square += ((gain - part[:, None]) ** 2).sum(axis=1) + away ** 2 * n * m / (n + m)
-        mean += away * m / (n + m)
-        n += m
-    return mean, np.sqrt(square / n)
+    merged by their counts, means and squared deviations.
+
+    z is a product of row and point terms, so a block is one matrix product and one look into the table; rows whose
+    spacing lies above the median at every point have intensity 0 there and need neither."""
+    mean, square = np.zeros(len(s)), np.zeros(len(s))
+    flat, end, table = intensity_table()
+    with np.errstate(all="ignore"):
+        a = np.log(np.maximum(s, nm.SMALL)) - (mu - own[:, 0])
+        e = np.exp(-0.5 * (lv - own[:, 1])) * np.sqrt(0.5)
+        rows = np.stack([e * a, -e, np.ones(len(s))], axis=1)
+        shrink = np.exp(-0.5 * other[:, 1])
+        # cells from the flat end, in place of z
+        points = np.stack([shrink, other[:, 0] * shrink, np.full(len(other), -flat)]) * (CELLS / (end - flat))
+        usual = np.isfinite(rows).all(axis=1) & np.isfinite(points).all()
+    never = usual & (a >= other[:, 0].max(initial=-np.inf)) & bool(len(other))
+    usual &= ~never
+    odd = ~(usual | never)
+    for some, work in ((usual, rows[usual]), (odd, None)):
+        if not some.any():
+            continue
+        own_mean, own_square, n = np.zeros(some.sum()), np.zeros(some.sum()), 0
+        for i in range(0, len(other), CENTRES):
+            if work is not None:
+                t = work @ points[:, i:i + CENTRES]
+                np.clip(t, 0.0, CELLS, out=t)
+                cell = t.astype(np.intp)
+                t -= cell
+                part, weight = table[3].take(cell, mode="clip"), np.empty_like(t)
+                for power in (2, 1, 0):
+                    part *= t
+                    part += table[power].take(cell, out=weight, mode="clip")
+            else:
+                there = other[i:i + CENTRES]
+                part = _np_intensity(s[some, None], there[:, 0] + (mu - own[:, 0])[some, None], there[:, 1] + (lv - own[:, 1])[some, None])
+            n = _spread(own_mean, own_square, n, part)
+        mean[some], square[some] = own_mean, own_square
+    return (base - mean if len(other) else mean), np.sqrt(square / len(other) if len(other) else np.full(len(s), np.nan))
 
 
 def attribute_intensity(
@@ -146,14 +210,15 @@ def attribute_intensity(
     b, g, ref = np.asarray(mean[1:], float), np.asarray(log_var[1:], float), np.asarray(centres, float)
     places = {name: list(at) for name, at in factors.items()}
     there = {name: np.stack([ref[:, at] @ b[at], ref[:, at] @ g[at]], axis=1) for name, at in places.items()}
+    rows = max(ROWS, ROWS * CENTRES // max(len(ref), 1))  # few points are compared with more rows at a time
     types = {f.name: f.dataType.simpleString() for f in frames.schema.fields}
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["intensity double"]
                        + [f"eg_{c} double, std_{c} double" for c in places])
 
     def task(batches):
         for pdf in batches:
-            for i in range(0, len(pdf), ROWS):
-                part = pdf.iloc[i:i + ROWS]
+            for i in range(0, len(pdf), rows):
+                part = pdf.iloc[i:i + rows]
                 x, s = np.stack(part[column].to_list()), part["s"].to_numpy(float)
                 mu, lv = mean[0] + x @ b, log_var[0] + x @ g
                 base = _np_intensity(s, mu, lv)

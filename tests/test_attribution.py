@@ -50,3 +50,28 @@ def test_every_feature_is_in_one_factor():
     at = fc.positions()
     assert len(at) == 21 and sorted(i for own in at.values() for i in own) == list(range(139))
     assert at["passed_0_5"][-1] == 138 and len(at["lighting"]) + len(at["weather"]) + len(at["surface"]) + len(at["traffic"]) == 27
+
+
+def test_table_of_the_intensity_gives_the_published_values():
+    rnd = np.random.default_rng(8)
+    n = 300
+    s, mu, lv = np.exp(rnd.normal(1, 1.5, n)), rnd.normal(1, 0.5, n), rnd.normal(-0.5, 0.5, n)
+    own, other = rnd.normal(0, 0.4, (n, 2)), rnd.normal(0, 0.4, (500, 2))
+    s[:3], mu[3], lv[4:6] = (0.0, np.inf, 1e-9), np.nan, (-5000.0, 5000.0)
+    base = att._np_intensity(s, mu, lv)
+    with np.errstate(all="ignore"):
+        whole = base[:, None] - att._np_intensity(s[:, None], mu[:, None] + other[:, 0] - own[:, :1], lv[:, None] + other[:, 1] - own[:, 1:])
+    mean, std = att.falls(s, mu, lv, base, own, other)
+    for got, want in ((mean, whole.mean(axis=1)), (std, whole.std(axis=1))):
+        assert (np.isnan(got) == np.isnan(want)).all() and np.nanmax(np.abs(got - want)) < 1e-7
+        usual = np.isfinite(want) & (np.arange(n) > 5)
+        assert np.abs(got - want)[usual].max() < 1e-9
+    assert np.isnan(att.falls(s, mu, lv, base, own, other[:0])[1]).all()
+
+
+def test_points_are_looked_up_and_not_computed(monkeypatch):
+    rnd = np.random.default_rng(2)
+    s, zero, own, other = np.exp(rnd.normal(0, 1, 50)), np.zeros(50), rnd.normal(0, 0.1, (50, 2)), rnd.normal(0, 0.1, (600, 2))
+    att.falls(s, zero, zero, zero, own, other)
+    monkeypatch.setattr(att, "_np_intensity", lambda *a: pytest.fail("computed for every point"))
+    att.falls(s, zero, zero, zero, own, other)
