@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from nearmiss.functions import fixed_values as fv
 from nearmiss.functions.numeric import with_exprs
-from nearmiss.operators.filters import FORWARD_BONUS, ObjectFilter
+from nearmiss.operators.filters import FORWARD_BONUS
 
 #: Tracks and rows filtered together; a longer track is a block of its own.
 BLOCK_TRACKS, BLOCK_ROWS = 64, 50_000
-#: Combinations tried together where every track needs covariances of its own.
-PER_SET = 256
+#: Combinations tried together where every track needs covariances of its own: an array of them is 32 KB.
+PER_SET = 64
 EDGE = 5
 
 
@@ -202,24 +202,72 @@ def ego_error_sums(block: list[np.ndarray], params: Mapping[str, np.ndarray]) ->
     return total[:, place]
 
 
+class PathFilter:
+    """The object filter for arrays of parameters: the ten different covariances of position, speed and heading, an
+    array of tracks x parameters each. Noise of x, y and speed is independent, so they are taken in one after the other,
+    which gives the same estimate as all at once. Headings are not wrapped; only their sine and cosine count."""
+
+    def __init__(self, params: Mapping[str, np.ndarray], z: np.ndarray, dt: float):
+        shape = (len(z), len(params["max_acc"]))
+        self.dt, self.noise = dt, (params["uncertainty_pos"], params["uncertainty_pos"], params["uncertainty_speed"])
+        self.q = [(q * dt) ** 2 for q in (0.5 * dt * params["max_acc"], params["max_acc"], params["max_yaw_rate"])]
+        self.state = [np.repeat(z[:, [c]], shape[1], axis=1) for c in range(3)] + [np.zeros(shape)]
+        init = np.broadcast_to(params["uncertainty_init"], shape)
+        self.p = {(i, j): init.copy() if i == j else np.zeros(shape) for i in range(4) for j in range(i, 4)}
+
+    def step(self, z: np.ndarray) -> None:
+        """The next frame of the first len(z) tracks; the others have ended."""
+        n, dt = len(z), self.dt
+        self.state = x, y, v, psi = [a[:n] for a in self.state]
+        self.p = p = {at: a[:n] for at, a in self.p.items()}
+        east, north = dt * np.cos(psi), dt * np.sin(psi)
+        along, across = v * east, v * north
+        x += along
+        y += across
+        np.negative(across, out=across)
+        was = {at: p[at] for at in ((0, 2), (0, 3), (1, 2), (1, 3))}
+        for i, by_speed, by_heading in ((0, east, across), (1, north, along)):
+            p[i, 2] = was[i, 2] + by_speed * p[2, 2] + by_heading * p[2, 3]
+            p[i, 3] = was[i, 3] + by_speed * p[2, 3] + by_heading * p[3, 3]
+            p[i, i] += by_speed * (was[i, 2] + p[i, 2]) + by_heading * (was[i, 3] + p[i, 3]) + self.q[0]
+        p[0, 1] += east * was[1, 2] + across * was[1, 3] + north * p[0, 2] + along * p[0, 3]
+        p[2, 2] += self.q[1]
+        p[3, 3] += self.q[2]
+        for c in range(3):
+            self.correct(c, z[:, c, None])
+        np.maximum(v, 0.0, out=v)
+
+    def correct(self, c: int, seen: np.ndarray) -> None:
+        p, own = self.p, [self.p[min(c, i), max(c, i)] for i in range(4)]
+        part = 1.0 / (own[c] + self.noise[c])
+        gain, off = [a * part for a in own], seen - self.state[c]
+        for i in range(4):
+            self.state[i] += gain[i] * off
+            for j in range(i, 4):
+                if c not in (i, j):
+                    p[i, j] -= gain[i] * own[j]
+        part *= self.noise[c]
+        for a in own:
+            a *= part
+
+
 def object_error_sums(block: list[np.ndarray], params: Mapping[str, np.ndarray]) -> np.ndarray:
     """n, displacement and squared speed error per combination, summed over the block's tracks. Columns of a track: x, y, speed."""
     z, reach = stacked(block)
     total = np.zeros((3, len(params["max_acc"])))
     for lo in range(0, total.shape[1], PER_SET):
-        model = ObjectFilter({k: v[lo:lo + PER_SET] for k, v in params.items()})
-        width = len(model.p["max_acc"])
-        x = p = None
+        some = slice(lo, lo + PER_SET)
+        model = PathFilter({k: v[some] for k, v in params.items()}, z[0], 0.1)
         for t in range(len(z)):
-            n = reach[t]
-            seen = np.concatenate([z[t, :n], np.zeros((n, 1)), np.ones((n, 1))], axis=1)
-            seen = np.broadcast_to(seen[:, None, :], (n, width, 5))
-            if t == 0:
-                x, p = model.start(seen)
-            x, p = model.step(x[:n], p[:n], seen, 0.1, np.zeros(n, bool))
-            off = x[..., :3] - seen[..., :3]
-            total[1, lo:lo + width] += np.sqrt(off[..., 0] ** 2 + off[..., 1] ** 2).sum(axis=0)
-            total[2, lo:lo + width] += (off[..., 2] ** 2).sum(axis=0)
+            seen = z[t, :reach[t]]
+            model.step(seen)
+            x, y, v = (a - seen[:, c, None] for c, a in enumerate(model.state[:3]))
+            x *= x
+            y *= y
+            x += y
+            total[1, some] += np.sqrt(x, out=x).sum(axis=0)
+            v *= v
+            total[2, some] += v.sum(axis=0)
     total[0] = sum(map(len, block))
     return total
 
@@ -237,7 +285,10 @@ def error_sums(frames: DataFrame, keys: Sequence[str], columns: Sequence[str], s
         if sums is not None:
             yield pd.DataFrame({"combo": np.arange(total), **dict(zip(names, sums))})
 
-    placed = frames.select(*keys, "k", *columns).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "k")
+    # a number of parts of its own: a row moves few bytes but is filtered under every combination, so parts are not joined
+    context = frames.sparkSession.sparkContext
+    tasks = max(4 * context.defaultParallelism, int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = frames.select(*keys, "k", *columns).repartition(tasks, *[F.col(k) for k in keys]).sortWithinPartitions(*keys, "k")
     parts = placed.mapInPandas(task, "combo long, " + ", ".join(f"{n} double" for n in names))
     return parts.groupBy("combo").agg(*(F.sum(n).alias(n) for n in names)).where(f"{names[0]} > 0")
 

@@ -204,3 +204,29 @@ def test_binned_scores_keep_every_frame(spark):
     assert got[1]["mu"] == pytest.approx(logs.mean()) and got[1]["sigma"] == pytest.approx(logs.std())
     for k in (2, 3, 4, 5):
         assert got[k]["mu"] == pytest.approx(every.mean()) and got[k]["sigma"] == pytest.approx(every.std())
+
+
+def test_object_search_steps_like_the_filter():
+    rnd = np.random.default_rng(12)
+    block = [np.cumsum(rnd.normal(1, 2, (n, 3)), axis=0) for n in (60, 41, 3)]
+    params = se.parameters_of(fv.SUR_SEARCH, np.arange(0, 800, 37))
+    model, path = fl.ObjectFilter(params), None
+    z, reach = se.stacked(block)
+    for t in range(len(z)):
+        n = reach[t]
+        seen = np.concatenate([z[t, :n], np.zeros((n, 1)), np.ones((n, 1))], axis=1)
+        seen = np.broadcast_to(seen[:, None, :], (n, len(params["max_acc"]), 5))
+        if t == 0:
+            x, p = model.start(seen)
+            path = se.PathFilter(params, z[0], 0.1)
+        x, p = model.step(x[:n], p[:n], seen, 0.1, np.zeros(n, bool))
+        path.step(z[t, :n])
+        assert np.stack(path.state[:3], axis=-1) == pytest.approx(x[..., :3], rel=1e-8, abs=1e-8)
+        assert all(path.p[i, j] == pytest.approx(p[..., i, j], rel=1e-7, abs=1e-8) for i, j in path.p)
+
+
+def test_object_search_is_spread_over_many_tasks(spark):
+    df = spark.createDataFrame([(e, 1, k, 1.0, 1.0, 1.0) for e in range(40) for k in range(3)], "event_id long, target_id long, k long, x double, y double, speed_comp double")
+    plan = se.search_sur_params(df)._jdf.queryExecution().executedPlan().toString()
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    assert f"hashpartitioning(event_id#" in plan and f", {tasks}), REPARTITION_BY_NUM" in plan
