@@ -27,6 +27,10 @@ from nearmiss.llm.common import byte_encoder, cut_lineage, documents, slices, to
 from nearmiss.session import scratch_path
 
 TOKENS, SHARD_ROWS, KEY, ROUNDS = 2048, 8192, 0x5DEECE66D, 6
+#: Texts, and code points of each, whose ids are counted to choose the short codes. They change the size of what is stored and nothing else.
+SAMPLE_ROWS, SAMPLE_CHARS = 500, 4000
+#: First bytes: a common id by itself, a page of 256 less common ones, or an id that is written out.
+SINGLE, WRITTEN_OUT = 192, 255
 CLOSING = 50256  # the vocabulary's end-of-text id
 
 
@@ -51,19 +55,60 @@ def feistel(numbers: np.ndarray, total: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, tokens: int = TOKENS, path: str | None = None) -> DataFrame:
+def common_ids(docs: DataFrame, path: str | None = None) -> np.ndarray:
+    """Ids by how often they stand in the beginnings of the first SAMPLE_ROWS texts, then by number. The beginnings are
+    bounded and read from as few files as hold them; nothing is shuffled."""
+    cache, n = byte_encoder(path or tokenizer_path("byte_bpe_50k.json")), np.zeros(1 << 16, np.int64)
+    for r in docs.select(F.substring(F.col("text").cast("string"), 1, SAMPLE_CHARS).alias("text")).limit(SAMPLE_ROWS).collect():
+        n += np.bincount(np.frombuffer(b"".join(cache.of(r["text"] or "")), "<u4"), minlength=len(n))
+    return np.argsort(-n, kind="stable").astype("<u2")
+
+
+class Packing:
+    """Ids in one byte, two or three, the common ones the shortest; the first bytes are compressed, the others are not
+    since they are nearly random. Any id can be packed whatever the order of the ids is."""
+
+    def __init__(self, order: np.ndarray):
+        paged = order[SINGLE:SINGLE + (WRITTEN_OUT - SINGLE) * 256]
+        self.head, self.low = np.full(1 << 16, WRITTEN_OUT, np.uint8), np.zeros(1 << 16, np.uint8)
+        self.head[order[:SINGLE]] = np.arange(SINGLE)
+        self.head[paged], self.low[paged] = SINGLE + np.arange(len(paged)) // 256, np.arange(len(paged)) % 256
+        self.single, self.paged = np.r_[order[:SINGLE], np.zeros(256 - SINGLE, order.dtype)], paged
+        self.press, self.open_up = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+    def pack(self, raw: bytes) -> bytes:
+        ids = np.frombuffer(raw, "<u2")
+        head = self.head[ids]
+        rest = ids[head >= SINGLE]
+        out = head[head >= SINGLE] == WRITTEN_OUT
+        first = self.press.compress(head.tobytes())
+        return struct.pack("<I", len(first)) + first + self.low[rest[~out]].tobytes() + rest[out].tobytes()
+
+    def unpack(self, packed: bytes) -> bytes:
+        at = 4 + struct.unpack_from("<I", packed)[0]
+        head = np.frombuffer(self.open_up.decompress(packed[4:at]), np.uint8)
+        ids = self.single[head]
+        page = np.flatnonzero((head >= SINGLE) & (head < WRITTEN_OUT))
+        low = np.frombuffer(packed, np.uint8, len(page), at)
+        ids[page] = self.paged[(head[page].astype(np.int64) - SINGLE) * 256 + low]
+        ids[head == WRITTEN_OUT] = np.frombuffer(packed, "<u2", offset=at + len(page))
+        return ids.astype("<u2").tobytes()
+
+
+def sequences(docs: DataFrame, tokens: int = TOKENS, path: str | None = None, order: np.ndarray | None = None) -> DataFrame:
     """doc_ids (those with a token in it, in order), first_token (of the first document's own), length, ids_crc32
-    and packed, the ids as compressed unsigned 16-bit integers."""
+    and packed, the ids as `Packing` stores them, the common ones by `order`."""
     path = path or tokenizer_path("byte_bpe_50k.json")
+    order = np.arange(1 << 16).astype("<u2") if order is None else order
     size, closing = 2 * tokens, struct.pack("<H", CLOSING)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, press = byte_encoder(path), zstandard.ZstdCompressor(level=3)
+        cache, packing = byte_encoder(path), Packing(order)
         held, owners, first = bytearray(), [], 0  # the open sequence
 
         def row():
             raw = bytes(held)
-            return list(owners), first, len(raw) // 2, zlib.crc32(raw), press.compress(raw)
+            return list(owners), first, len(raw) // 2, zlib.crc32(raw), packing.pack(raw)
 
         names = ["doc_ids", "first_token", "length", "ids_crc32", "packed"]
         for batch in batches:
@@ -123,14 +168,14 @@ def stride(tokens: int = TOKENS) -> int:
     return 2 * (tokens + 1) + 1
 
 
-def write_shards(ordered: DataFrame, shards: int, path: str, tokens: int = TOKENS) -> None:
+def write_shards(ordered: DataFrame, shards: int, path: str, tokens: int, order: np.ndarray) -> None:
     """One file a shard under shard=<number>/, in the order of the slots; the text writer adds the line feed."""
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_up = zstandard.ZstdDecompressor()
+        packing = Packing(order)
         for batch in batches:
             for i in range(0, len(batch), 500):
                 some = batch.iloc[i:i + 500]
-                raw = [open_up.decompress(p) for p in some["packed"]]
+                raw = [packing.unpack(p) for p in some["packed"]]
                 yield pd.DataFrame({"shard": some["shard"].to_numpy(), "value": [
                     struct.pack("<H", len(r) // 2) + r + bytes(2 * tokens - len(r)) for r in raw]})
 
@@ -149,8 +194,9 @@ def read_record(raw: bytes, record: int, tokens: int = TOKENS) -> np.ndarray:
 def materialise(docs: DataFrame, path: str, key: int = KEY, tokens: int = TOKENS,
                 shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Writes the shards and returns the index: doc_ids, first_token, length, ids_crc32, slot, shard, byte_offset."""
-    rows = cut_lineage(sequences(docs, tokens).withColumn("own", F.monotonically_increasing_id()), "sequences")
-    write_shards(in_order(rows, key, shard_rows), -(-rows.count() // shard_rows), path, tokens)
+    order = common_ids(docs)
+    rows = cut_lineage(sequences(docs, tokens, order=order).withColumn("own", F.monotonically_increasing_id()), "sequences")
+    write_shards(in_order(rows, key, shard_rows), -(-rows.count() // shard_rows), path, tokens, order)
     return in_order(rows.drop("packed"), key, shard_rows).select(
         "doc_ids", "first_token", "length", "ids_crc32", "slot", "shard",
         ((F.col("slot") % shard_rows) * stride(tokens)).alias("byte_offset"))

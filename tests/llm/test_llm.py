@@ -282,6 +282,22 @@ def test_shards_round_trip(spark, docs, odd, none, bytes_tok, tmp_path):
     assert training_order.materialise(none, str(tmp_path / "none"), tokens=64).count() == 0
 
 
+def test_packed_ids_are_small_and_come_back_whole():
+    rnd = np.random.default_rng(4)
+    order = rnd.permutation(1 << 16).astype("<u2")
+    packing = training_order.Packing(order)
+    for ids in (np.arange(1 << 16), np.zeros(0, int), order[:300], order[-3:], rnd.integers(0, 1 << 16, 5000)):
+        raw = np.asarray(ids).astype("<u2").tobytes()
+        assert packing.unpack(packing.pack(raw)) == raw
+    often = order[np.minimum(rnd.geometric(0.004, 2048), 1 << 15)].astype("<u2").tobytes()
+    assert len(packing.pack(often)) < 0.85 * len(training_order.zstandard.ZstdCompressor(level=3).compress(often))
+
+
+def test_common_ids_come_first(spark, docs, none):
+    order = training_order.common_ids(docs)
+    assert sorted(order.tolist()) == list(range(1 << 16)) == training_order.common_ids(none).tolist()
+
+
 def test_row_numbers_are_stored(spark, docs, tmp_path, monkeypatch):
     """Each stored intermediate is read with a number that does not depend on how its files are split."""
     from nearmiss.llm import common
