@@ -325,7 +325,7 @@ ob AS (SELECT scenario, CAST(i AS INT) AS object_id, CAST(line % 4 AS INT) AS ve
        FROM li, LATERAL (SELECT unnest(range(i + 2)) AS t))"""
 MOVE = ["x", "y", "vx", "vy", "ax", "ay", "psi"]
 register("unnest_ragged", "S6", lambda s, d: rounded(tl.unnest_ragged(scenarios(s, d)), MOVE), f"WITH {SCN} SELECT * REPLACE ({rs(MOVE)}) FROM ob")
-register("scenario_pairs", "S6 J2 W17", lambda s, d: tl.scenario_pairs(tl.unnest_ragged(scenarios(s, d))).selectExpr(
+register("scenario_pairs", "S6 J2 W17", lambda s, d: tl.scenario_pairs(tl.unnest_ragged(cut_lineage(scenarios(s, d), "scenarios"))).selectExpr(
     "scenario", "target_id", "time", "round(x_ego, 6) AS x_ego", "round(x_sur, 6) AS x_sur", "veh_type_sur"), f"""WITH {SCN},
 b AS (SELECT s.scenario, s.object_id, s.time, e.x AS xe, s.x AS xs, s.veh_type FROM ob e JOIN ob s USING (scenario, time) WHERE e.object_id = 0 AND s.object_id > 0)
 SELECT scenario, dense_rank() OVER (ORDER BY scenario, object_id) - 1 AS target_id, time, round(xe, 6) AS x_ego, round(xs, 6) AS x_sur, veh_type AS veh_type_sur FROM b""")

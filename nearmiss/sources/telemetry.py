@@ -141,7 +141,10 @@ def scenario_pairs(objects: DataFrame) -> DataFrame:
     sur = objects.where("object_id > 0").withColumnsRenamed(
         {c: f"{c}_sur" for c in objects.columns if c not in ("scenario", "object_id", "time")})
     both = ego.join(sur, ["scenario", "time"], "inner")
-    ids = number_ranges(both.select("scenario", "object_id").distinct(), ["scenario", "object_id"], idx="target_id")
+    # the numbering reads its rows twice; they are worked out once, from the keys alone
+    met = sur.select("scenario", "time", "object_id").join(ego.select("scenario", "time"), ["scenario", "time"], "left_semi")
+    keys = cut_lineage(met.select("scenario", "object_id").distinct(), "keys")
+    ids = number_ranges(keys, ["scenario", "object_id"], idx="target_id")
     return both.join(ids, ["scenario", "object_id"], "inner").drop("object_id")
 
 

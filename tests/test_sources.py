@@ -43,3 +43,14 @@ def test_chunks_hold_whole_events_also_with_a_hot_one(spark, tmp_path):
     assert back.count() == len(rows)
     assert back.groupBy("event_category", "event_id").agg(F.count_distinct("chunk").alias("n")).where("n > 1").isEmpty()
     assert tl.event_chunks(df.limit(0)).isEmpty()
+
+
+def test_target_ids_are_numbered_from_stored_keys(spark, monkeypatch):
+    from nearmiss.operators import tracks
+    rows = [(sc, o, t / 10) for sc in (7, 3, None) for o in range(3) for t in range(o, 4)] + [(3, 9, 5.0)]
+    objects = spark.createDataFrame(rows, "scenario long, object_id int, time double").withColumn("x", F.col("time") + F.col("object_id"))
+    seen, number = [], tracks.number_ranges
+    monkeypatch.setattr(tracks, "number_ranges", lambda df, *a, **k: seen.append(df) or number(df, *a, **k))
+    got = {(r["scenario"], r["target_id"], r["time"], r["x_ego"], r["x_sur"]) for r in tl.scenario_pairs(objects).collect()}
+    assert got == {(sc, 2 * i + o - 1, t / 10, t / 10, t / 10 + o) for i, sc in enumerate((3, 7)) for o in (1, 2) for t in range(o, 4)}
+    assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
