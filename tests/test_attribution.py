@@ -75,3 +75,14 @@ def test_points_are_looked_up_and_not_computed(monkeypatch):
     att.falls(s, zero, zero, zero, own, other)
     monkeypatch.setattr(att, "_np_intensity", lambda *a: pytest.fail("computed for every point"))
     att.falls(s, zero, zero, zero, own, other)
+
+
+def test_few_points_are_compared_with_many_rows_at_a_time(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in rnd.normal(0, 1, 3)], float(rnd.uniform(1, 9))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, f array<double>, s double").coalesce(1)
+    sizes, falls = [], att.falls
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, task, schema: list(task(iter([self.toPandas()]))))
+    monkeypatch.setattr(att, "falls", lambda *a: sizes.append(len(a[0])) or falls(*a))
+    parts = att.attribute_intensity(df, "f", [1.0, 0.1, 0.2, 0.3], [-1.0, 0.1, 0.1, 0.1], np.zeros((10, 3)), {"a": [0], "b": [1, 2]}, ["id"])
+    assert sum(map(len, parts)) == 3000 and len(sizes) == 4  # two blocks of rows and two factors
