@@ -128,7 +128,8 @@ CELLS = 2048
 def intensity_table() -> tuple[float, float, np.ndarray]:
     """The intensity depends on z, the standardised log spacing over sqrt(2), alone: one value up to the first returned
     z, smooth from there to the second one, next to 0, and 0 beyond. Per cell, the weights of the cubic function through
-    its ends and thirds, which is within 1e-12 of the value; the last column is what comes after."""
+    its ends and thirds, which is within 1e-12 of the value, but for the formula's own rounding next to the flat end
+    (5e-11); the last column is what comes after."""
     def of(z):
         return _np_intensity(np.exp(np.asarray(z)), 0.0, -np.log(2.0))
 
