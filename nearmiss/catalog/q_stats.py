@@ -11,7 +11,7 @@ from nearmiss.catalog.q_clean import EVT
 from nearmiss.catalog.q_frames import FEATURE_SQL, PROFILE_SQL
 from nearmiss.catalog.q_reports import STATS, _describe_sql
 from nearmiss.catalog.registry import register
-from nearmiss.functions.numeric import ERFC_COEFFICIENTS, with_exprs
+from nearmiss.functions.numeric import ERFC_COEFFICIENTS, rounded_double, with_exprs
 from nearmiss.operators import attribution as att
 from nearmiss.operators import frames as op
 from nearmiss.operators import stats as stt
@@ -21,7 +21,7 @@ from nearmiss.session import cut_lineage
 
 
 def rounded(df, columns, digits=6):
-    return with_exprs(df, {c: f"round({c}, {digits}) + 0D" for c in columns})
+    return with_exprs(df, {c: f"{rounded_double(c, digits)} + 0D" for c in columns})
 
 
 def rs(columns, digits=6):

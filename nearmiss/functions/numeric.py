@@ -30,6 +30,16 @@ def with_exprs(df: DataFrame, exprs: Mapping[str, str]) -> DataFrame:
     return df.withColumns({name: F.expr(text) for name, text in exprs.items()})
 
 
+def rounded_double(text: str, digits: int) -> str:
+    """round(text, digits) of a double, the same to the last bit. Decimals, which round() goes through, are needed only
+    next to a tie and for values whose digits the multiplication may lose; a whole number divided by a power of ten is
+    the double nearest to that decimal."""
+    scale = f"1e{digits}D"
+    scaled = f"({text}) * {scale}"
+    return (f"CASE WHEN abs({text}) < 1e{9 - digits}D AND abs(abs({scaled} - rint({scaled})) - 0.5D) > 1e-6D "
+            f"THEN rint({scaled}) / {scale} ELSE round({text}, {digits}) END")
+
+
 def snap(text: str) -> str:
     return f"CASE WHEN abs({text}) < {NOISE}D THEN 0D ELSE {text} END"
 

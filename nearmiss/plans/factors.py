@@ -42,7 +42,8 @@ def scene_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, target_id, k, s and the vector f of every frame with a whole history."""
     scenes = op.every_frame_scenes(fixture.pairs(spark, sf_dir, varied_dims=True))
     context = ", ".join(f"{c} / {d!r}D" for c, d in CONTEXT.items())
-    labels = ", ".join(f"transform(sequence(0, {n - 1}), i -> IF(event_id div {by} % {n} = i, 1D, 0D))" for n, by in SURROUNDINGS.values())
-    row = ", ".join(f"p.{c} / {d!r}D" for c, d in PROFILE.items())
-    return with_exprs(scenes, {"f": f"concat(array({context}), {labels}, flatten(transform(profiles, p -> array({row}))))"}).select(
+    # element by element: the code of these is generated, that of functions over arrays is interpreted
+    labels = ", ".join(f"IF(event_id div {by} % {n} = {i}, 1D, 0D)" for n, by in SURROUNDINGS.values() for i in range(n))
+    history = ", ".join(f"get(profiles, {i}).{c} / {d!r}D" for i in range(op.HISTORY) for c, d in PROFILE.items())
+    return with_exprs(scenes, {"f": f"array({context}, {labels}, {history})"}).select(
         "event_id", "target_id", "k", "s", "f")
