@@ -434,8 +434,10 @@ def telemetry_job(spark, sf_dir):
         F.when(F.col("timestamp") % 4700 == 0, ",1,2,3").otherwise(""))
     head = tel.select("event_id").distinct().withColumns({"timestamp": F.lit(-1).cast("long"), "value": F.lit(",".join(fields))})
     lines = head.unionByName(tel.select("event_id", "timestamp", text.alias("value")))
-    lines = lines.repartition("event_id").sortWithinPartitions("event_id", "timestamp")
-    lines.select(F.concat(F.lit("event_"), F.col("event_id")).alias("file"), "value").write.partitionBy("file").option("compression", "gzip").text(path)
+    # in the order the files are written in, so that rows are sorted once; tasks put their own files in place
+    lines = lines.repartition("event_id").withColumn("file", F.concat(F.lit("event_"), F.col("event_id"))).sortWithinPartitions("file", "timestamp")
+    lines.select("file", "value").write.partitionBy("file").options(**{
+        "compression": "gzip", "mapreduce.fileoutputcommitter.algorithm.version": "2"}).text(path)
     good, bad, unread = tl.read_telemetry(spark, path, id_pattern=r"file=event_(\d+)/")
     part = lambda df, name: df.groupBy("event_id").agg(
         F.count(F.lit(1)).alias("rows"), *[F.lit(None).cast("double").alias(f"sum_{c}") for c in SUMMED]).withColumn("part", F.lit(name))

@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # methods above 8,000 bytes are not compiled by the JVM; let Spark split them instead
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # folders are listed by at most this many tasks; one for each costs more than listing it
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "200",
     # no Python stack trace per expression: plans here are built from many small expressions
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

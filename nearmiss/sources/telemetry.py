@@ -35,14 +35,20 @@ def unread_files(spark: SparkSession, path: str, id_pattern: str = ID_PATTERN) -
     is the one its last four bytes state (modulo 2^32), so a file cut off or damaged inside is found too; for that
     each packed file is one value of a row, at most 2 GB.
     """
+    return _unread(spark, path, id_pattern, _lines(spark, path, id_pattern))
+
+
+def _unread(spark: SparkSession, path: str, id_pattern: str, lines: DataFrame) -> DataFrame:
+    # files are listed once for both kinds: names of the metadata choose files before any is opened
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    is_packed = F.col("_metadata.file_name").endswith(".gz")
     named = F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).cast("long").alias("event_id")
-    plain = listed.where(~F.col("path").endswith(".gz")).select(
+    plain = listed.where(~is_packed).select(
         F.col("_metadata.file_path").alias("file"), named, F.col("length").alias("size"))
-    packed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz").load(path).select(
+    packed = listed.where(is_packed).select(
         F.col("_metadata.file_path").alias("file"), named, F.conv(F.concat(*[F.substring(F.hex(F.substring("content", -4, 4)), i, 2) for i in (7, 5, 3, 1)]), 16, 10)
         .cast("long").alias("size"))
-    got = _lines(spark, path, id_pattern).groupBy("file").agg(
+    got = lines.groupBy("file").agg(
         F.sum(F.octet_length("value") + 1).cast("long").alias("bytes_read"))
     files = plain.unionByName(packed).join(got, "file", "left").withColumn("bytes_read", F.coalesce("bytes_read", F.lit(0).cast("long")))
     # the last line may lack its end
@@ -57,15 +63,17 @@ def read_telemetry(
     """Rows of all event files with the event id taken from the file path, the malformed lines
     (wrong number or type of fields), which are set aside instead of stopping the job (empty lines are skipped), and the files that
     could not be read to their end (`unread_files`). Of those no row is kept, so their events have no rows."""
-    unread = cut_lineage(unread_files(spark, path, id_pattern), "unread")
-    lines = _lines(spark, path, id_pattern).join(unread.select("file"), "file", "left_anti").select(
+    lines = _lines(spark, path, id_pattern)
+    unread = cut_lineage(_unread(spark, path, id_pattern, lines), "unread")
+    lines = lines.join(unread.select("file"), "file", "left_anti").select(
         "event_id", F.regexp_replace("value", r"\r$", "").alias("value")).where("value <> ''")
     if header:
         lines = lines.where(~F.col("value").rlike(r'^\W*[A-Za-z_]'))
-    parsed = lines.withColumn("_r", F.from_csv(
-        "value", f"{schema}, {BAD} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
-    broken = F.col(f"_r.{BAD}").isNotNull()
-    good = parsed.where(~broken).select("event_id", "_r.*").drop(BAD)
+    # as rows of their own the fields are parsed once; a filter on a column would parse every line again
+    parsed = lines.select("event_id", "value", F.inline(F.array(F.from_csv(
+        "value", f"{schema}, {BAD} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))))
+    broken = F.col(BAD).isNotNull()
+    good = parsed.where(~broken).drop("value", BAD)
     return good, parsed.where(broken).select("event_id", F.col("value").alias(BAD)), unread
 
 

@@ -3,6 +3,7 @@
 import gzip
 
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameReader
 
 from nearmiss.sources import telemetry as tl
 
@@ -54,3 +55,18 @@ def test_target_ids_are_numbered_from_stored_keys(spark, monkeypatch):
     got = {(r["scenario"], r["target_id"], r["time"], r["x_ego"], r["x_sur"]) for r in tl.scenario_pairs(objects).collect()}
     assert got == {(sc, 2 * i + o - 1, t / 10, t / 10, t / 10 + o) for i, sc in enumerate((3, 7)) for o in (1, 2) for t in range(o, 4)}
     assert "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_are_parsed_once_and_folders_listed_once_a_reader(spark, tmp_path, monkeypatch):
+    (tmp_path / "trip_1.csv").write_text("t,s\n1,2.0\n2,x\n3,4.5\n")
+    (tmp_path / "trip_2.csv").write_text("5,6.0\n")
+    listed = []
+    for name in ("load", "text"):
+        monkeypatch.setattr(DataFrameReader, name, lambda self, *a, _f=getattr(DataFrameReader, name), **k: listed.append(a) or _f(self, *a, **k))
+    good, bad, unread = tl.read_telemetry(spark, str(tmp_path), "timestamp LONG, speed DOUBLE")
+    assert len([a for a in listed if a == (str(tmp_path),)]) == 2
+    for rows in (good, bad):
+        assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+    assert {tuple(r) for r in good.collect()} == {(1, 1, 2.0), (1, 3, 4.5), (2, 5, 6.0)} and good.columns == ["event_id", "timestamp", "speed"]
+    assert [tuple(r) for r in bad.collect()] == [(1, "2,x")] and unread.isEmpty()
+    assert good.groupBy().agg(F.sum("speed")).head()[0] == 12.5
