@@ -10,6 +10,7 @@ Null and empty texts have 0 tokens and an empty table; repeated rows each give a
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +26,7 @@ from nearmiss.llm.common import CACHE_ENTRIES, ChunkCache, byte_letters, documen
 SPECIAL = "<|endoftext|>"
 LIMIT = 1024
 _LEADING = regex.compile(r"\p{White_Space}*")
+_WORD = re.compile(" ?[A-Za-z]+")
 _CONTRACTIONS = ("'re", "'ve", "'ll")
 
 
@@ -46,15 +48,37 @@ class PrefixCounter:
             self.joined[pair], self.split[made] = made, pair
         if list(self.joined.values()) != sorted(set(self.joined.values())):
             raise ValueError("ids must follow merge order, one merge for each")
-        self.longest = max(map(len, self.ids))
+        # states stand for beginnings of tokens: the longest one that the bytes so far end with
+        self.states = {b"": 0}
+        for token in self.ids:
+            for n in range(1, len(token) + 1):
+                self.states.setdefault(token[:n], len(self.states))
+        self.begun = list(self.states)
+        self.ending: list[tuple] = [self.endings(b) for b in self.begun]
+        self.moves: dict[int, int] = {}
         self.pieces: dict[str, list[int]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.pattern = regex.compile(PATTERN)
 
+    def endings(self, begun: bytes) -> tuple[tuple[int, int], ...]:
+        """Size and id of all tokens that the bytes end with, the longest first."""
+        tails = (begun[i:] for i in range(len(begun)))
+        return tuple((len(t), self.ids[t]) for t in tails if t in self.ids)
+
+    def move(self, state: int, byte: int) -> int:
+        """The state after one more byte; kept, as far as the table goes."""
+        after = self.begun[state] + bytes((byte,))
+        while after not in self.states:
+            after = after[1:]
+        if len(self.moves) > 2_000_000:
+            self.moves.clear()
+        to = self.moves[state << 8 | byte] = self.states[after]
+        return to
+
     def neighbours(self, a: int, b: int) -> bool:
         """Whether encoding the two tokens' bytes together gives just these two tokens: no merge across the
         border, at any step of building them, comes before the merges that built both sides."""
-        key, limit = (a, b), 1 << 40
+        key, limit = a << 32 | b, 1 << 40
         known = self.fits.get(key)
         if known is not None:
             return known
@@ -87,14 +111,16 @@ class PrefixCounter:
         if known is not None:
             return known
         raw = piece.encode()
-        counts, last, find, fits, longest = [0], [-1], self.ids.get, self.fits.get, self.longest
-        for end in range(1, len(raw) + 1):
-            for start in range(max(0, end - longest), end):
-                token = find(raw[start:end])
-                if token is None:
-                    continue
+        counts, last, fits, moves, ending = [0], [-1], self.fits.get, self.moves, self.ending
+        end = state = 0
+        for byte in raw:
+            end += 1
+            move = moves.get(state << 8 | byte)
+            state = self.move(state, byte) if move is None else move
+            for size, token in ending[state]:
+                start = end - size
                 if start:
-                    good = fits((last[start], token))
+                    good = fits(last[start] << 32 | token)
                     if not (self.neighbours(last[start], token) if good is None else good):
                         continue
                 counts.append(counts[start] + 1)
@@ -116,6 +142,8 @@ class PrefixCounter:
     def plain(self, chunk: str) -> list[int]:
         """Counts of a chunk's prefixes without special strings; a run of blanks at the end of a prefix is one
         piece, and an apostrophe with one letter of a longer ending is two."""
+        if _WORD.fullmatch(chunk):  # one piece, and so is a blank before it
+            return self.piece(chunk)
         run = _LEADING.match(chunk).end()
         out = list(self.piece(chunk[:run])) if run else []
         if run == len(chunk):
@@ -126,9 +154,8 @@ class PrefixCounter:
             counts = self.piece(p)
             if p in _CONTRACTIONS:
                 counts = [counts[0], 2, counts[2]]
-            for i, c in enumerate(counts):
-                if at + i >= run:
-                    out.append(base + c)
+            own = counts[run - at:] if at < run else counts
+            out += [base + c for c in own] if base else own
             base, at = base + counts[-1], m.end()
         return out
 
