@@ -234,7 +234,8 @@ def attribute_job(spark, sf_dir):
     scenes = cut_lineage(fc.scene_vectors(spark, sf_dir), "scenes")
     mean, log_var = stt.fit_vector_lognormal(scenes, "f")
     centres = att.mini_batch_centres(scenes, "f")
-    out = att.attribute_intensity(att.enough_tasks(scenes), "f", mean, log_var, centres, fc.positions())
+    grids = att.factor_grids(scenes, "f", mean, log_var, centres, fc.positions())
+    out = att.attribute_intensity(att.enough_tasks(scenes), "f", mean, log_var, centres, fc.positions(), grids=grids)
     return rounded(out, ["intensity", *[f"{p}_{c}" for c in fc.positions() for p in ("eg", "std")]], 5)
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,10 +151,103 @@ def fit_linear_lognormal(features: DataFrame, columns: Sequence[str]) -> tuple[d
     return {"": mean[0], **dict(zip(columns, mean[1:]))}, {"": log_var[0], **dict(zip(columns, log_var[1:]))}
 
 
+def matrix_of(lists: pa.ListArray) -> np.ndarray:
+    """Lists of one length as the rows of a matrix; missing elements are NaN."""
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    if (sizes != sizes[:1]).any():
+        raise ValueError("vectors differ in length")
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    return flat.reshape(len(lists), len(flat) // max(len(lists), 1))
+
+
+def add_up(rows: DataFrame, sums: Callable[[Iterable[pa.RecordBatch]], Iterable[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
+    """Arrays that tasks make of their rows, each for a slot, added up slot by slot before they reach the driver."""
+    def task(parts):
+        for slot, total in sums(parts):
+            yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slot", "total"])
+
+    def merge(pdf):
+        return pd.DataFrame({"slot": pdf["slot"][:1], "total": [sum(map(np.frombuffer, pdf["total"])).tobytes()]})
+
+    schema = "slot int, total binary"
+    found = rows.mapInArrow(task, schema).groupBy("slot").applyInPandas(merge, schema).toPandas()
+    return {int(slot): np.frombuffer(total).copy() for slot, total in zip(found["slot"], found["total"])}
+
+
 def fit_vector_lognormal(features: DataFrame, column: str) -> tuple[list[float], list[float]]:
-    """The same two regressions on an array column; intercepts first, then the weight of every element."""
+    """The same two regressions on an array column; intercepts first, then the weight of every element.
+
+    Tasks add up products of whole batches; the small systems are those of Spark's solver. Where it has ways of its own
+    (labels that do not vary, values that are missing or not finite, systems that cannot be solved) it is called."""
     from pyspark.ml.functions import array_to_vector
-    return _two_regressions(features.select("s", array_to_vector(F.col(column)).alias("f")))
+
+    rows = features.select("s", F.col(column).cast("array<double>").alias("f"))
+    products = _products(rows)
+    mean = None if products is None else _solved(products)
+    log_var = None
+    if mean is not None:
+        size = len(mean)
+        products[:, size] = products[size] = _products(rows, mean)[size]
+        log_var = _solved(products)
+    if log_var is None:
+        return _two_regressions(features.select("s", array_to_vector(F.col(column)).alias("f")))
+    return [*map(float, mean)], [float(log_var[0]) + 1.2703628454614782, *map(float, log_var[1:])]
+
+
+#: Sums of so many tasks' sums reach the driver.
+SLOTS = 16
+
+
+def _products(rows: DataFrame, mean: np.ndarray | None = None) -> np.ndarray | None:
+    """Sums of the products of 1, the features and the label with each other: the label is the log spacing, or the log of
+    its squared distance from the mean with the given weights; then only those with the label are worked out."""
+    def sums(parts):
+        total = None
+        for part in parts:
+            if not part.num_rows:
+                continue
+            x, s = matrix_of(part.column("f")), part.column("s").to_numpy(zero_copy_only=False).astype(float)
+            with np.errstate(all="ignore"):
+                y = np.log(np.maximum(s, nm.SMALL))
+                if mean is not None:
+                    y = np.log(np.maximum((y - x @ mean[1:] - mean[0]) ** 2, nm.SMALL))
+                z = np.column_stack([np.ones(len(x)), x, y])
+                own = z.T @ z if mean is None else y @ z
+            total = own if total is None else total + own
+        if total is not None:
+            yield TaskContext.get().partitionId() % SLOTS, total
+
+    found = list(add_up(rows, sums).values())
+    if not found:
+        return None
+    total = sum(found)
+    size = round(len(total) ** 0.5) if mean is None else len(total)
+    if mean is None:
+        return total.reshape(size, size)
+    out = np.zeros((size, size))
+    out[-1] = total
+    return out
+
+
+def _solved(products: np.ndarray, reg: float = 1e-6) -> np.ndarray | None:
+    """Intercept and weights of the regression with features and label scaled to a deviation of 1 and a squared penalty
+    on the scaled weights, as LinearRegression has them; None where the scaled system cannot be solved like that."""
+    if not np.isfinite(products).all():
+        return None
+    products = products / products[0, 0]
+    bar = products[0, 1:]
+    spread = np.maximum(np.diag(products)[1:] - bar ** 2, 0.0)
+    if spread[-1] <= 0 or ((spread > 0) & (spread < 1e-12 * bar ** 2)).any():
+        return None
+    std = np.sqrt(spread)
+    scale = np.concatenate([[1.0], np.divide(1.0, std, out=np.zeros_like(std), where=std > 0)])
+    scaled = products * np.outer(scale, scale)
+    system = scaled[:-1, :-1] + np.diag([0.0, *[reg / std[-1]] * (len(std) - 1)])
+    try:
+        np.linalg.cholesky(system)
+    except np.linalg.LinAlgError:
+        return None
+    return np.linalg.solve(system, scaled[:-1, -1]) * scale[:-1] * std[-1]
 
 
 def _two_regressions(rows: DataFrame) -> tuple[list[float], list[float]]:
